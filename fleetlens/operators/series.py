@@ -175,6 +175,22 @@ def newest(readings: DataFrame, n: int, max_rows: int = MAX_ROWS) -> DataFrame:
     return ranked.filter(F.col(rank) <= n)
 
 
+def anchors(
+    readings: DataFrame, checkpoints: DataFrame, window: int = 20, max_rows: int = MAX_ROWS
+) -> DataFrame:
+    """Per series the time of the reading `window` places before the checkpoint.
+
+    A scan from there carries a full window for the first reading after the
+    checkpoint. Null when the series has too few readings up to its checkpoint.
+    """
+    bounds = checkpoints.select(*SERIES, "last_sampled_at")
+    up_to = readings.select(*SERIES, "sampled_at").join(bounds, list(SERIES))
+    up_to = up_to.filter(F.col("sampled_at") <= F.col("last_sampled_at"))
+    place = newest(up_to.drop("last_sampled_at"), window + 1, max_rows)
+    full = F.when(F.col("rank") == window + 1, F.col("sampled_at"))
+    return place.groupBy(*SERIES).agg(F.max(full).alias("anchor"))
+
+
 def latest_per_series(readings: DataFrame, carry: Sequence[str] = ("value",)) -> DataFrame:
     """The newest reading of every (device, metric, unit).
 

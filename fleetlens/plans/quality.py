@@ -120,12 +120,24 @@ def slow_minutes(
     return _alert(held(slow, SLOW_HOLD), SLOW)
 
 
-def behind_minutes(lag_per_minute: DataFrame) -> DataFrame:
+def in_flight(readings: DataFrame) -> DataFrame:
+    """Per minute the messages sampled before its start and ingested after it.
+
+    The total consumer lag as seen from the stored readings; a message counts in as
+    many minutes as it was late.
+    """
+    minute = F.expr("INTERVAL 1 MINUTE")
+    first = F.date_trunc("minute", F.col("sampled_at")) + minute
+    last = F.date_trunc("minute", F.col("ingested_at"))
+    waiting = readings.filter(first <= last)
+    minutes = waiting.select(F.explode(F.sequence(first, last, minute)).alias("minute"))
+    return minutes.groupBy("minute").agg(F.count(F.lit(1)).alias("lag"))
+
+
+def behind_minutes(lag_per_minute: DataFrame, limit: int = LAG_LIMIT) -> DataFrame:
     """Minutes at which the summed consumer lag was above its limit."""
-    behind = (
-        lag_per_minute.groupBy("minute").agg(F.sum("lag").alias("lag")).filter(F.col("lag") > LAG_LIMIT)
-    )
-    return _alert(held(behind, LAG_HOLD), BEHIND)
+    summed = lag_per_minute.groupBy("minute").agg(F.sum("lag").alias("lag"))
+    return _alert(held(summed.filter(F.col("lag") > limit), LAG_HOLD), BEHIND)
 
 
 def alerts(*conditions: DataFrame) -> DataFrame:

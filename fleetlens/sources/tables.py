@@ -30,12 +30,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def events_as_readings(spark: SparkSession, folder: str) -> DataFrame:
+def events_as_readings(
+    spark: SparkSession, folder: str, start: str | None = None, end: str | None = None
+) -> DataFrame:
     """The event table read as sensor readings: user = device, event type = metric.
 
-    Event ids ascend with time, so they serve as reading id and as stream offset.
+    Event ids ascend with time, so they serve as reading id and as stream offset. The
+    optional inclusive bounds are compared with the stored column itself, so the scan
+    can skip row groups by their statistics.
     """
-    return table(spark, folder, "events").select(
+    rows = table(spark, folder, "events")
+    if start is not None:
+        rows = rows.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        rows = rows.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
+    return rows.select(
         F.col("event_id").alias("reading_id"),
         F.col("user_id").alias("device"),
         F.col("event_type").alias("metric"),
