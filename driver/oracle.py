@@ -52,6 +52,12 @@ CTE = {
         CASE WHEN kk >= 90 THEN '1.' || kk END AS firmware,
         'telemetry.readings' AS source_topic, CAST(user_id % 4 AS INTEGER) AS source_partition,
         event_id AS source_offset FROM k""",
+    "valid": "SELECT * FROM msg WHERE value IS NOT NULL AND unit <> ''",
+    "vstats": """SELECT *, avg(value) OVER w AS mean, coalesce(stddev_pop(value) OVER w, 0) AS std
+        FROM valid WINDOW w AS (PARTITION BY device, metric ORDER BY sampled_at
+        ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)""",
+    "vjudged": """SELECT *, CASE WHEN value < 0.05 OR value > 300 THEN 'out_of_range'
+        WHEN std > 0 AND abs(value - mean) > 3.0 * std THEN 'spike' END AS finding FROM vstats""",
     "lags": """SELECT event_type AS metric, ts AS sampled_at, greatest(0, kk - 5) AS lag,
         ts + to_seconds(kk - 5) AS ingested_at FROM k""",
     "hourly": """SELECT device, metric, date_trunc('hour', sampled_at) AS hour,
@@ -64,7 +70,7 @@ NEEDS = {
     "stats": ["r"], "judged": ["stats"], "tail": ["r"], "cond": ["tail"], "win": ["cond"],
     "guarded": ["win"], "anom": ["judged", "guarded"], "lastdev": ["r"],
     "overview": ["dev", "hb", "lastdev", "anom"], "fleet": ["overview"], "status": ["fleet"],
-    "pts": ["tail"], "msg": ["k"], "lags": ["k"], "hourly": ["r"],
+    "pts": ["tail"], "msg": ["k"], "valid": ["msg"], "vstats": ["valid"], "vjudged": ["vstats"], "lags": ["k"], "hourly": ["r"],
 }
 
 BOUNDS = (0.5, 1, 2, 5, 10, 30, 60, 120, 300)
@@ -399,6 +405,56 @@ def statements() -> dict[str, str]:
             "hb", "r",
         ),
         "alerts": _alerts(),
+        "store_readings": _sql(
+            "SELECT device, metric, sampled_at, unit, source_offset, round(value, 6) AS value, "
+            "CASE WHEN value IS NULL THEN 'non_finite_value' "
+            "WHEN unit = '' THEN 'missing_metric_or_unit' ELSE 'ok' END AS reason FROM msg",
+            "msg",
+        ),
+        "store_devices": _sql(
+            "SELECT device, arg_max(kind, source_offset) AS kind, "
+            "arg_max(location, source_offset) FILTER (WHERE location IS NOT NULL) AS location, "
+            "arg_max(firmware, source_offset) FILTER (WHERE firmware IS NOT NULL) AS firmware, "
+            "arg_max(sampled_at, source_offset) AS last_seen_at, "
+            "max(source_offset) AS last_offset, count(*) AS readings, "
+            "max(sampled_at) AS last_sampled_at FROM msg GROUP BY device",
+            "msg",
+        ),
+        "sweep_findings": _sql(
+            "SELECT device, metric, finding AS type, "
+            "CASE finding WHEN 'spike' THEN 'warn' ELSE 'critical' END AS severity, "
+            "sampled_at AS reading_sampled_at, round(value, 6) AS reading_value "
+            "FROM vjudged WHERE finding IS NOT NULL",
+            "vjudged",
+        ),
+        "sweep_trail": _sql(
+            "SELECT 'ingested' AS stage, 'ok' AS status, count(*) AS n, count(*) AS readings "
+            "FROM msg UNION ALL SELECT 'validated', "
+            "CASE WHEN value IS NULL OR unit = '' THEN 'reject' ELSE 'ok' END, count(*), count(*) "
+            "FROM msg GROUP BY 2 UNION ALL SELECT 'enriched', 'ok', count(*), count(*) FROM vjudged "
+            "UNION ALL SELECT 'evaluated', CASE WHEN finding IS NULL THEN 'ok' ELSE 'warn' END, "
+            "count(*), count(*) FROM vjudged GROUP BY 2",
+            "vjudged",
+        ),
+        "stored_rollup": _sql(
+            "SELECT device, metric, date_trunc('hour', sampled_at) AS hour, "
+            "round(avg(value), 6) AS avg_value, round(min(value), 6) AS min_value, "
+            "round(max(value), 6) AS max_value, count(*) AS n FROM msg "
+            "WHERE value IS NOT NULL AND sampled_at >= TIMESTAMP '2024-01-24 00:00:00' "
+            "GROUP BY 1, 2, 3",
+            "msg",
+        ),
+        "stream_stored": _sql(
+            "SELECT metric, CAST(sampled_at AS DATE) AS day, count(*) AS n, "
+            "count(*) FILTER (WHERE value IS NULL OR unit = '') AS rejected FROM msg GROUP BY 1, 2",
+            "msg",
+        ),
+        "stream_rate": _sql(
+            "SELECT * FROM (SELECT date_trunc('minute', sampled_at) AS window_start, "
+            "count(*) AS n, round(count(*) / 60.0, 6) AS per_second FROM r GROUP BY 1) "
+            "WHERE window_start + INTERVAL 6 MINUTE <= (SELECT max(sampled_at) FROM r)",
+            "r",
+        ),
     }
     seen = "WHERE EXISTS (SELECT 1 FROM hb WHERE hb.device = a.device)"
     for name, where in (("pareto", seen), ("pareto_all_devices", "")):

@@ -8,6 +8,7 @@ compare exactly with another engine.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, TimestampType
@@ -16,8 +17,15 @@ from fleetlens.config import Limits, Settings
 from fleetlens.operators import detect, ingest, rollup, series
 from fleetlens.plans import fleet as fleets
 from fleetlens.plans import investigate, quality
+from fleetlens.session import ensure_checkpoint_dir
 from fleetlens.sources import wire
+from fleetlens.sources.store import Store
 from fleetlens.sources.tables import customers_as_devices, events_as_readings, table
+from fleetlens.streaming import queries as streams
+from fleetlens.streaming.ingest import ingest_batch
+from fleetlens.streaming.queries import start_ingest
+from fleetlens.streaming.rollup import read_rollup, refresh_rollup
+from fleetlens.streaming.sweep import sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +45,7 @@ ONLINE, STALE = 6 * 3600.0, 48 * 3600.0
 LONG_SILENCE = 24 * 3600.0
 POINTS = 8
 PARTITIONS = 4
+DELIVERIES = ("2024-01-10 00:00:00", "2024-01-15 00:00:00", "2024-01-20 00:00:00")
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -419,9 +428,12 @@ def totals(spark, folder):
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
+    return as_messages(table(spark, folder, "events"))
+
+
+def as_messages(rows: DataFrame) -> DataFrame:
     """Events as wire fields; some lack a unit, an optional field or a finite value."""
     k = F.get_json_object("props", "$.k").cast("int")
-    rows = table(spark, folder, "events")
     finite = F.when(k == 13, F.lit(float("nan"))).otherwise(F.col("value"))
     return rows.select(
         F.col("user_id").cast("string").alias("device_external_id"),
@@ -574,3 +586,116 @@ def alerts(spark, folder):
     return quality.alerts(
         quality.stalled_minutes(rows, *SPINE), quality.slow_minutes(rows), behind
     )
+
+
+# ---- the store: batches, replays, incremental sweeps, streams ----
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder of the session."""
+    return f"{ensure_checkpoint_dir(spark)}/fleetlens-{uuid4().hex}"
+
+
+def delivered(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """All messages in three deliveries; the last repeats five days of the second."""
+    raw = wire.encode(messages(spark, folder).withColumn("_at", F.to_timestamp("sampled_at")))
+    at = F.col("_at")
+    moments = [F.lit(text).cast("timestamp") for text in DELIVERIES]
+    return [
+        raw.filter(at <= moments[0]),
+        raw.filter((at > moments[0]) & (at <= moments[2])),
+        raw.filter(at > moments[1]),
+    ]
+
+
+def ingested_store(spark: SparkSession, folder: str, sweeps: bool = False) -> Store:
+    store = Store(spark, scratch(spark), snapshot_every=2)
+    for number, raw in enumerate(delivered(spark, folder)):
+        ingest_batch(store, raw, number)
+        if sweeps:
+            sweep(store, SETTINGS)
+    return store
+
+
+@query
+def store_readings(spark, folder):
+    """What is stored after three deliveries with repetitions."""
+    return ingested_store(spark, folder).facts("reading").select(
+        "device", "metric", "sampled_at", "unit", "source_offset",
+        F.when(~F.isnan("value"), F.col("value")).alias("value"),
+        F.coalesce("reject_reason", F.lit("ok")).alias("reason"),
+    )
+
+
+@query
+def store_devices(spark, folder):
+    """Device, heartbeat and series state after three deliveries with repetitions."""
+    store = ingested_store(spark, folder)
+    series_of = store.state("series").groupBy("device").agg(
+        F.sum("n").alias("readings"), F.max("last_sampled_at").alias("last_sampled_at")
+    )
+    rows = store.state("device").join(store.state("heartbeat"), "device")
+    return rows.join(series_of, "device")
+
+
+@query
+def sweep_findings(spark, folder):
+    """Point findings of three incremental sweeps, one after each delivery."""
+    store = ingested_store(spark, folder, sweeps=True)
+    found = store.facts("anomaly").filter(F.col("reading_id").isNotNull())
+    rows = investigate.device_anomalies(found, store.facts("reading"))
+    return rows.select("device", "metric", "type", "severity", "reading_sampled_at", "reading_value")
+
+
+@query
+def sweep_trail(spark, folder):
+    """Stages written by ingest and three sweeps, counted per stage and status."""
+    trail = ingested_store(spark, folder, sweeps=True).stages()
+    return trail.groupBy("stage", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("reading_id").alias("readings")
+    )
+
+
+@query
+def stored_rollup(spark, folder):
+    """The hourly rollup refreshed after each delivery, read since the week's start."""
+    store = Store(spark, scratch(spark))
+    for number, raw in enumerate(delivered(spark, folder)):
+        ingest_batch(store, raw, number)
+        refresh_rollup(store)
+    return read_rollup(store, WEEK_START).drop("sum_value")
+
+
+@query
+def stream_stored(spark, folder):
+    """The events as a stream of messages through the ingest stream into the store."""
+    events = spark.readStream.schema(table(spark, folder, "events").schema)
+    source = events.option("pathGlobFilter", "events.parquet").parquet(folder)
+    place = scratch(spark)
+    store = Store(spark, f"{place}/store")
+    stream = start_ingest(
+        wire.encode(as_messages(source)), store, f"{place}/checkpoint", seconds=None
+    )
+    stream.awaitTermination()
+    return store.facts("reading").groupBy("metric", "day").agg(
+        F.count(F.lit(1)).alias("n"), F.count("reject_reason").alias("rejected")
+    )
+
+
+@query
+def stream_rate(spark, folder):
+    """Events per second of a stream with a watermark; only closed windows are emitted."""
+    events = spark.readStream.schema(table(spark, folder, "events").schema)
+    source = events.option("pathGlobFilter", "events.parquet").parquet(folder)
+    rows = source.select(F.col("ts").cast("timestamp").alias("sampled_at"))
+    rates = streams.stream_rate(rows, "sampled_at", minutes=1, late="5 minutes")
+    place = scratch(spark)
+    stream = (
+        rates.writeStream.format("parquet")
+        .option("path", f"{place}/rates")
+        .option("checkpointLocation", f"{place}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    stream.awaitTermination()
+    return spark.read.schema(rates.schema).parquet(f"{place}/rates")

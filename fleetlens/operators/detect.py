@@ -12,7 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.config import Settings, limits_frame
 from fleetlens.functions.expressions import is_finite, seconds_between, timestamp_at
-from fleetlens.operators.series import MAX_ROWS, SERIES, by_time, newest, rolling_stats
+from fleetlens.operators.series import (
+    MAX_ROWS,
+    SERIES,
+    by_time,
+    newest,
+    rolling_stats,
+    rows_to_check,
+)
 
 # Names in the stage trail and in the anomaly table.
 OUT_OF_RANGE, SPIKE, DRIFT, OFFLINE_GAP = "out_of_range", "spike", "drift", "offline_gap"
@@ -60,13 +67,14 @@ def judge(enriched: DataFrame) -> DataFrame:
 
 
 def evaluate_points(
-    readings: DataFrame, settings: Settings, max_rows: int = MAX_ROWS
+    readings: DataFrame, settings: Settings, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Every reading with its window statistics and finding.
 
     The limits filter runs before the window, so metrics without limits are not
     shuffled at all.
     """
+    max_rows = rows_to_check(readings, max_rows)
     judged = with_limits(evaluable(readings), settings)
     return judge(rolling_stats(judged, settings.spike_window, max_rows))
 
@@ -118,13 +126,14 @@ def evaluation_stages(evaluated: DataFrame, at) -> DataFrame:
 
 
 def series_condition(
-    readings: DataFrame, settings: Settings, max_rows: int = MAX_ROWS
+    readings: DataFrame, settings: Settings, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Per series: mean of the newest readings and the largest recent gap in seconds.
 
     One limited shuffle serves both rules. The gap of the oldest row looked at needs
     its predecessor, hence one row more than the lookback.
     """
+    max_rows = rows_to_check(readings, max_rows)
     tail = newest(with_limits(evaluable(readings), settings), settings.tail_rows, max_rows)
     before = F.lag("sampled_at").over(by_time(SERIES))
     rank = F.col("rank")

@@ -40,7 +40,16 @@ def newest_first(partition: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*partition).orderBy(F.col("sampled_at").desc())
 
 
-def hot_series(readings: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame | None:
+def rows_to_check(readings: DataFrame, max_rows: int | None) -> int | None:
+    """`max_rows`, or None when even all readings together stay within it.
+
+    None tells the functions below that no series can be too large. Counting a plain
+    scan reads file footers only, so this is asked before filters and joins.
+    """
+    return None if max_rows is None or readings.count() <= max_rows else max_rows
+
+
+def hot_series(readings: DataFrame, max_rows: int | None = MAX_ROWS) -> DataFrame | None:
     """Series above `max_rows` readings with a slice width for each, or None.
 
     The width is a whole number of minutes such that even the busiest minute repeated
@@ -48,7 +57,7 @@ def hot_series(readings: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame | Non
     tasks, so the check does not suffer from the skew it looks for. The list is
     checkpointed: it is small, used several times, and must not change between uses.
     """
-    if readings.count() <= max_rows:  # answered from file footers for a plain scan
+    if rows_to_check(readings, max_rows) is None:
         return None
     n = F.count(F.lit(1)).alias("_n")
     hot = readings.groupBy(*SERIES).agg(n).filter(F.col("_n") > max_rows).drop("_n")
@@ -100,7 +109,7 @@ def over_series(
     readings: DataFrame,
     lookback: int,
     add_columns: Callable[[DataFrame, list[str]], DataFrame],
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Apply windows that look back at most `lookback` readings, series by series.
 
@@ -117,7 +126,7 @@ def over_series(
     return result.filter(~F.col(_COPY)).drop(_SLICE, _COPY)
 
 
-def rolling_stats(readings: DataFrame, window: int = 20, max_rows: int = MAX_ROWS) -> DataFrame:
+def rolling_stats(readings: DataFrame, window: int = 20, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Mean and population deviation over the reading itself and the `window` before it."""
 
     def stats(frame: DataFrame, partition: list[str]) -> DataFrame:
@@ -133,7 +142,7 @@ def rolling_stats(readings: DataFrame, window: int = 20, max_rows: int = MAX_ROW
 
 
 def rolling_mean(
-    readings: DataFrame, rows: int = 10, name: str = "rolling_mean_10", max_rows: int = MAX_ROWS
+    readings: DataFrame, rows: int = 10, name: str = "rolling_mean_10", max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Trailing mean over `rows` readings of the whole history, the current one included."""
 
@@ -145,7 +154,7 @@ def rolling_mean(
     return over_series(readings, rows - 1, mean, max_rows)
 
 
-def gaps(readings: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def gaps(readings: DataFrame, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Seconds since the previous reading of the series; null on the first one."""
 
     def gap(frame: DataFrame, partition: list[str]) -> DataFrame:
@@ -155,7 +164,7 @@ def gaps(readings: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return over_series(readings, 1, gap, max_rows)
 
 
-def newest(readings: DataFrame, n: int, max_rows: int = MAX_ROWS) -> DataFrame:
+def newest(readings: DataFrame, n: int, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """The newest `n` readings of every series, with `rank` 1 for the newest.
 
     Spark limits the groups in the scan tasks already, so a task ships at most `n`
@@ -176,7 +185,7 @@ def newest(readings: DataFrame, n: int, max_rows: int = MAX_ROWS) -> DataFrame:
 
 
 def anchors(
-    readings: DataFrame, checkpoints: DataFrame, window: int = 20, max_rows: int = MAX_ROWS
+    readings: DataFrame, checkpoints: DataFrame, window: int = 20, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Per series the time of the reading `window` places before the checkpoint.
 

@@ -48,7 +48,7 @@ def series_points(
     limit: int = SERIES_POINTS,
     device=None,
     metric: str | None = None,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """The last `limit` points of each series with a 10-point mean, in no order.
 
@@ -68,7 +68,7 @@ def series_tail(readings: DataFrame, limit: int = SERIES_POINTS, **choice) -> Da
 
 
 def series_history(
-    readings: DataFrame, device=None, metric: str | None = None, max_rows: int = MAX_ROWS
+    readings: DataFrame, device=None, metric: str | None = None, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Every point with its 10-point mean over the whole history.
 
@@ -98,7 +98,7 @@ def series_band(points: DataFrame) -> DataFrame:
 
 
 def reading_gaps(
-    readings: DataFrame, longer_than: float = 20.0, max_rows: int = MAX_ROWS
+    readings: DataFrame, longer_than: float = 20.0, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
     """Silences above the limit, longest first."""
     found = gaps(readings, max_rows).filter(F.col("gap_seconds") > F.lit(float(longer_than)))
@@ -230,7 +230,7 @@ def evaluation_view(
     stages: DataFrame,
     spike_window: int = 20,
     since=None,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Window statistics and whether each reading was evaluated; optionally bounded."""
     rows = readings if since is None else readings.filter(F.col("sampled_at") >= timestamp_at(since))

@@ -12,6 +12,7 @@ from fleetlens.operators import ingest
 from fleetlens.operators.sizes import broadcast_if_small
 from fleetlens.sources import wire
 from fleetlens.sources.store import INGEST, Store, utc_now
+from fleetlens.streaming import together
 
 KEY = list(ingest.NATURAL_KEY)
 
@@ -70,21 +71,25 @@ def _store(store: Store, raw: DataFrame, last: int, seq: int, consumer: str, now
     # Everything below starts from the rows as written, not from a second computation.
     stored = store.facts("reading", after=last, upto=seq)
 
-    store.write_facts("ingest_stage", seq, ingest.ingest_stages(stored, at))
     unusable = messages.filter(F.col("quarantine_reason").isNotNull())
-    store.write_facts(
-        "quarantine",
-        seq,
-        unusable.withColumnRenamed("quarantine_reason", "reason").withColumn("at", at),
-    )
-
+    unusable = unusable.withColumnRenamed("quarantine_reason", "reason").withColumn("at", at)
     attributes = ingest.newest_device_attributes(usable)
     known = store.state("device").join(attributes.select("device"), "device", "left_semi")
-    store.write_state("device", seq, ingest.upsert_devices(known, attributes))
-    store.write_state("heartbeat", seq, ingest.heartbeats(stored))
-    store.write_state("series", seq, _series(store, stored, at))
-    store.write_state("offsets", seq, ingest.consumer_offsets(raw, at, consumer))
+    devices = ingest.upsert_devices(known, attributes)
+    offsets = ingest.consumer_offsets(raw, at, consumer)
+    together(
+        lambda: store.write_facts("ingest_stage", seq, ingest.ingest_stages(stored, at)),
+        lambda: store.write_facts("quarantine", seq, unusable),
+        lambda: store.write_state("device", seq, devices),
+        lambda: store.write_state("heartbeat", seq, ingest.heartbeats(stored)),
+        lambda: store.write_state("series", seq, _series(store, stored, at)),
+        lambda: store.write_state("offsets", seq, offsets),
+        lambda: _write_stats(store, seq, messages, stored, consumer, now),
+    )
+
 
+def _write_stats(store: Store, seq: int, messages: DataFrame, stored: DataFrame, consumer: str, now):
+    """One row of counts per batch."""
     counts = messages.agg(
         F.count(F.lit(1)).alias("arrived"), F.count("quarantine_reason").alias("quarantined")
     ).first()
@@ -95,7 +100,7 @@ def _store(store: Store, raw: DataFrame, last: int, seq: int, consumer: str, now
     row = (counts.arrived, kept.stored, duplicates, kept.rejected, counts.quarantined, consumer, now)
     names = "arrived bigint, stored bigint, duplicates bigint, rejected bigint, quarantined bigint, "
     stats = store.spark.createDataFrame([row], names + "consumer string, at timestamp")
-    store.write_facts("batch_stats", seq, stats)
+    store.write_facts("batch_stats", seq, stats.coalesce(1))
 
 
 def _not_stored(store: Store, rows: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.config import Settings
 from fleetlens.operators import detect
-from fleetlens.operators.series import MAX_ROWS, SERIES, newest, rolling_stats
+from fleetlens.operators.series import MAX_ROWS, SERIES, newest, rolling_stats, rows_to_check
 from fleetlens.sources.store import INGEST, SWEEP, Store, utc_now
+from fleetlens.streaming import together
 
 _CONSUMER = "processor"
 _WINDOW_RULES = (detect.DRIFT, detect.OFFLINE_GAP)
@@ -26,7 +27,7 @@ def sweep(
     settings: Settings,
     now: datetime | None = None,
     all_series: bool = False,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
 ) -> bool:
     """Evaluate all new readings; False if there are none.
 
@@ -40,9 +41,10 @@ def sweep(
         return False
     now = now or utc_now()
     seq = head.seq + 1
-    fresh = store.facts("reading", after=head.read_upto, upto=last).filter(
-        F.col("reject_reason").isNull()
-    )
+    fresh = store.facts("reading", after=head.read_upto, upto=last)
+    if max_rows is not None:
+        max_rows = rows_to_check(fresh, max_rows - settings.tail_rows)
+    fresh = fresh.filter(F.col("reject_reason").isNull())
     fresh = detect.with_limits(fresh, settings).select("reading_id", *SERIES, "sampled_at", "value")
     fresh = fresh.withColumn("fresh", F.lit(True))
     rows = fresh.unionByName(
@@ -52,8 +54,12 @@ def sweep(
     stats = rolling_stats(rows, settings.spike_window, max_rows).filter("fresh").drop("fresh")
     judged = detect.judge(detect.with_limits(stats, settings)).persist(StorageLevel.DISK_ONLY)
     try:
-        store.write_facts("sweep_stage", seq, detect.evaluation_stages(judged, now))
-        store.write_state("evaluated", seq, _state(store, rows, settings, now, max_rows))
+        together(
+            lambda: store.write_facts("sweep_stage", seq, detect.evaluation_stages(judged, now)),
+            lambda: store.write_state(
+                "evaluated", seq, _state(store, rows, settings, now, max_rows)
+            ),
+        )
         points = detect.point_anomalies(judged, now)
         windows = _window_rules(store, settings, seq, now, all_series)
         store.write_facts("anomaly", seq, _with_id(points.unionByName(windows), seq))
@@ -95,7 +101,7 @@ def _unpack(state: DataFrame) -> DataFrame:
     return state.select(*SERIES, F.inline("tail"), F.lit(False).alias("fresh"))
 
 
-def _state(store: Store, rows: DataFrame, settings: Settings, now, max_rows: int) -> DataFrame:
+def _state(store: Store, rows: DataFrame, settings: Settings, now, max_rows: int | None) -> DataFrame:
     """New state of the touched series: their newest readings and their count."""
     tails = (
         newest(rows, settings.tail_rows, max_rows)
@@ -121,7 +127,8 @@ def _window_rules(store: Store, settings: Settings, seq: int, now, all_series: b
     """Drift and gap anomalies from the state just written, behind the guard."""
     state = store.state_with(seq, "evaluated") if all_series else store.written("evaluated", seq)
     tails = state.select(*SERIES, F.inline("tail"))
-    found = detect.window_anomalies(detect.series_condition(tails, settings), settings, now)
+    # at most `tail_rows` readings per series, so no series needs slicing
+    found = detect.window_anomalies(detect.series_condition(tails, settings, None), settings, now)
     raised = store.facts("anomaly").filter(F.col("type").isin(*_WINDOW_RULES))
     return detect.guard(found, raised)
 
