@@ -20,7 +20,7 @@ from fleetlens.plans import investigate, quality
 from fleetlens.session import ensure_checkpoint_dir
 from fleetlens.sources import wire
 from fleetlens.sources.store import Store
-from fleetlens.sources.tables import customers_as_devices, events_as_readings, table
+from fleetlens.sources.tables import GENERATED, customers_as_devices, events_as_readings, table
 from fleetlens.streaming import queries as streams
 from fleetlens.streaming.ingest import ingest_batch
 from fleetlens.streaming.queries import start_ingest
@@ -101,9 +101,12 @@ def guarded(spark: SparkSession, folder: str) -> DataFrame:
 
 def anomalies(spark: SparkSession, folder: str) -> DataFrame:
     """All four rules; a point finding is dated by its reading, a window one by the sweep."""
-    points = detect.point_anomalies(evaluated(spark, folder))
-    windows = guarded(spark, folder).withColumn("reading_id", F.col("reading_id").cast("long"))
-    return points.unionByName(windows)
+    rows = readings(spark, folder)
+    most = series.rows_to_check(rows, series.MAX_ROWS)
+    points = detect.point_anomalies(detect.evaluate_points(rows, SETTINGS, most))
+    state = detect.series_condition(rows, SETTINGS, most)
+    windows = detect.guard(detect.window_anomalies(state, SETTINGS, AS_OF))
+    return points.unionByName(windows.withColumn("reading_id", F.col("reading_id").cast("long")))
 
 
 def stages(spark: SparkSession, folder: str) -> DataFrame:
@@ -323,7 +326,10 @@ def series_band(spark, folder):
 
 
 def anomaly_rows(spark, folder):
-    return investigate.device_anomalies(anomalies(spark, folder), readings(spark, folder))
+    """The found anomalies are few and used twice, so they are written down once."""
+    ensure_checkpoint_dir(spark)
+    found = anomalies(spark, folder).checkpoint()
+    return investigate.device_anomalies(found, readings(spark, folder))
 
 
 @query
@@ -669,7 +675,7 @@ def stored_rollup(spark, folder):
 @query
 def stream_stored(spark, folder):
     """The events as a stream of messages through the ingest stream into the store."""
-    events = spark.readStream.schema(table(spark, folder, "events").schema)
+    events = spark.readStream.schema(GENERATED["events"])
     source = events.option("pathGlobFilter", "events.parquet").parquet(folder)
     place = scratch(spark)
     store = Store(spark, f"{place}/store")
@@ -685,7 +691,7 @@ def stream_stored(spark, folder):
 @query
 def stream_rate(spark, folder):
     """Events per second of a stream with a watermark; only closed windows are emitted."""
-    events = spark.readStream.schema(table(spark, folder, "events").schema)
+    events = spark.readStream.schema(GENERATED["events"])
     source = events.option("pathGlobFilter", "events.parquet").parquet(folder)
     rows = source.select(F.col("ts").cast("timestamp").alias("sampled_at"))
     rates = streams.stream_rate(rows, "sampled_at", minutes=1, late="5 minutes")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 try:  # YAML is optional; JSON settings always work
@@ -17,8 +18,9 @@ except ImportError:  # pragma: no cover
 # Settings above this many metrics are joined by shuffle instead of broadcast.
 BROADCAST_METRICS = 10_000
 
-LIMITS_SCHEMA = (
-    "metric string, lo double, hi double, baseline double, spike_sigma double, drift_delta double"
+_LIMITS = pa.schema(
+    [("metric", pa.string())]
+    + [(name, pa.float64()) for name in ("lo", "hi", "baseline", "spike_sigma", "drift_delta")]
 )
 
 # Metric, lowest and highest valid value, baseline, spike sigma, drift delta.
@@ -86,9 +88,10 @@ def load_settings(path: str | Path) -> Settings:
 
 
 def limits_frame(spark: SparkSession, limits: Iterable[Limits]) -> DataFrame:
-    """One row per metric; broadcast because its row count is known and checked."""
-    rows = [
-        (x.metric, x.lo, x.hi, x.baseline, x.spike_sigma, x.drift_delta) for x in limits
-    ]
-    frame = spark.createDataFrame(rows, LIMITS_SCHEMA)
+    """One row per metric; broadcast because its row count is known and checked.
+
+    Handed over as Arrow, a small table becomes a constant of the plan.
+    """
+    rows = [asdict(item) for item in limits]
+    frame = spark.createDataFrame(pa.Table.from_pylist(rows, schema=_LIMITS))
     return F.broadcast(frame) if len(rows) <= BROADCAST_METRICS else frame

@@ -88,7 +88,7 @@ def reading_key(device: Column, metric: Column, sampled_at: Column) -> Column:
 def bucket_counts(value: Column, bounds: Sequence[float], prefix: str = "le_") -> list[Column]:
     """One conditional count per upper bound (cumulative), for use inside `agg`."""
     return [
-        F.count(F.when(value <= bound, F.lit(1))).alias(bucket_name(bound, prefix)) for bound in bounds
+        F.count_if(value <= bound).alias(bucket_name(bound, prefix)) for bound in bounds
     ]
 
 
@@ -97,22 +97,21 @@ def bucket_name(bound: float, prefix: str = "le_") -> str:
 
 
 def histogram_quantile(
-    q: float, total: Column, bounds: Sequence[float], prefix: str = "le_"
+    q: float, total: str, bounds: Sequence[float], prefix: str = "le_"
 ) -> Column:
     """Quantile estimated from cumulative bucket counts by linear interpolation.
 
     The estimate walks to the first bucket holding the wanted rank and interpolates
     between its bounds; a rank beyond the last finite bound answers that bound.
     Bucket counts merge by addition, so a quantile over any number of rows needs
-    only a dozen counters per group.
+    only a dozen counters per group. `total` names the column with the full count.
     """
-    rank = F.lit(float(q)) * total
-    answer = None
-    lower, below = F.lit(0.0), F.lit(0)
+    rank = f"({q}D * {total})"
+    cases = []
+    lower, below = "0D", "0"
     for bound in bounds:
-        here = F.col(bucket_name(bound, prefix))
-        inside = lower + (F.lit(float(bound)) - lower) * (rank - below) / F.nullif(here - below, F.lit(0))
-        hit = here >= rank
-        answer = F.when(hit, inside) if answer is None else answer.when(hit, inside)
-        lower, below = F.lit(float(bound)), here
-    return F.when(total > 0, answer.otherwise(F.lit(float(bounds[-1]))))
+        here, upper = bucket_name(bound, prefix), f"{float(bound)}D"
+        share = f"({rank} - {below}) / nullif({here} - {below}, 0)"
+        cases.append(f"WHEN {here} >= {rank} THEN {lower} + ({upper} - {lower}) * {share}")
+        lower, below = upper, here
+    return F.expr(f"CASE WHEN {total} = 0 THEN NULL {' '.join(cases)} ELSE {lower} END")

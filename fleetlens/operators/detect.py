@@ -15,8 +15,8 @@ from fleetlens.functions.expressions import is_finite, seconds_between, timestam
 from fleetlens.operators.series import (
     MAX_ROWS,
     SERIES,
-    by_time,
     newest,
+    newest_first,
     rolling_stats,
     rows_to_check,
 )
@@ -135,7 +135,9 @@ def series_condition(
     """
     max_rows = rows_to_check(readings, max_rows)
     tail = newest(with_limits(evaluable(readings), settings), settings.tail_rows, max_rows)
-    before = F.lag("sampled_at").over(by_time(SERIES))
+    # the next row of the descending order is the predecessor in time, so ranks and
+    # gaps share one sort
+    before = F.lead("sampled_at").over(newest_first(SERIES))
     rank = F.col("rank")
     gap = F.when(rank <= settings.gap_lookback, seconds_between(before, "sampled_at"))
     return (
@@ -150,39 +152,48 @@ def series_condition(
     )
 
 
+def _drifted() -> Column:
+    return F.abs(F.col("recent_mean") - F.col("baseline")) > F.col("drift_delta")
+
+
+def _silent(settings: Settings) -> Column:
+    return F.col("max_gap_seconds") > F.lit(float(settings.gap_seconds))
+
+
 def drift_candidates(condition: DataFrame) -> DataFrame:
     """Series whose recent mean has left the neighbourhood of the baseline."""
-    away = F.abs(F.col("recent_mean") - F.col("baseline"))
-    return condition.filter(away > F.col("drift_delta"))
+    return condition.filter(_drifted())
 
 
 def gap_candidates(condition: DataFrame, settings: Settings) -> DataFrame:
     """Series that were silent for longer than allowed and have resumed since."""
-    return condition.filter(F.col("max_gap_seconds") > F.lit(float(settings.gap_seconds)))
+    return condition.filter(_silent(settings))
 
 
 def window_anomalies(condition: DataFrame, settings: Settings, detected_at) -> DataFrame:
-    """Drift and gap candidates as anomaly rows, before the guard."""
+    """Drift and gap candidates as anomaly rows, before the guard, in one pass."""
     drift = F.to_json(F.struct(F.round("recent_mean", 3).alias("recent_mean"), "baseline"))
     gap = F.to_json(F.struct(F.round("max_gap_seconds", 1).alias("gap_seconds")))
+    rules = ((DRIFT, _drifted(), drift), (OFFLINE_GAP, _silent(settings), gap))
     found = [
-        (drift_candidates(condition), DRIFT, drift),
-        (gap_candidates(condition, settings), OFFLINE_GAP, gap),
-    ]
-    parts = [
-        rows.select(
-            "device",
-            "metric",
-            F.lit(None).cast("string").alias("reading_id"),
-            F.lit(kind).alias("type"),
-            F.lit(SEVERITY[kind]).alias("severity"),
-            detail.alias("detail"),
-            timestamp_at(detected_at).alias("detected_at"),
-            F.lit(None).cast("timestamp").alias("resolved_at"),
+        F.when(
+            holds,
+            F.struct(
+                F.lit(kind).alias("type"),
+                F.lit(SEVERITY[kind]).alias("severity"),
+                detail.alias("detail"),
+            ),
         )
-        for rows, kind, detail in found
+        for kind, holds, detail in rules
     ]
-    return parts[0].unionByName(parts[1])
+    return condition.select(
+        "device",
+        "metric",
+        F.lit(None).cast("string").alias("reading_id"),
+        F.inline(F.array_compact(F.array(*found))),
+        timestamp_at(detected_at).alias("detected_at"),
+        F.lit(None).cast("timestamp").alias("resolved_at"),
+    )
 
 
 def guard(candidates: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:

@@ -54,13 +54,19 @@ def open_counts(anomalies: DataFrame) -> DataFrame:
 
 
 def fleet_overview(
-    devices: DataFrame, readings: DataFrame, heartbeats: DataFrame, anomalies: DataFrame
+    devices: DataFrame,
+    readings: DataFrame,
+    heartbeats: DataFrame,
+    anomalies: DataFrame,
+    only_seen: bool = False,
 ) -> DataFrame:
-    """Latest reading, last contact and open anomalies of every device, seen or not."""
+    """Latest reading, last contact and open anomalies per device, seen or not."""
     latest = latest_per_device(readings)
     unit = ["unit"] if "unit" in latest.columns else []
     return (
-        devices.join(heartbeats.select("device", "last_seen_at"), "device", "left")
+        devices.join(
+            heartbeats.select("device", "last_seen_at"), "device", "inner" if only_seen else "left"
+        )
         .join(latest, "device", "left")
         .join(open_counts(anomalies), "device", "left")
         .select(
@@ -88,8 +94,7 @@ def fleet(
     stale: float = OFFLINE_SECONDS,
 ) -> DataFrame:
     """The overview of seen devices with staleness and status at `as_of`."""
-    seen = devices.join(heartbeats.select("device"), "device", "left_semi")
-    rows = fleet_overview(seen, readings, heartbeats, anomalies)
+    rows = fleet_overview(devices, readings, heartbeats, anomalies, only_seen=True)
     age = seconds_between(F.col("last_seen_at"), timestamp_at(as_of))
     return rows.withColumn("staleness_s", age).withColumn(
         "status", device_status(F.col("staleness_s"), online, stale)

@@ -52,12 +52,12 @@ def lag_buckets(rows: DataFrame, by: tuple[str, ...] = (), lag: str = "lag_secon
         F.count(lag).alias("n"), *bucket_counts(F.col(lag), LAG_BOUNDS_SECONDS)
     )
     return counted.withColumns(
-        {name: _quantile(q, F.col("n")) for name, q in (("p50", 0.5), ("p95", 0.95))}
+        {name: _quantile(q) for name, q in (("p50", 0.5), ("p95", 0.95))}
     )
 
 
-def _quantile(q: float, total: Column) -> Column:
-    return histogram_quantile(q, total, LAG_BOUNDS_SECONDS)
+def _quantile(q: float) -> Column:
+    return histogram_quantile(q, "n", LAG_BOUNDS_SECONDS)
 
 
 def consumer_lag(offsets: DataFrame, ends: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def slow_minutes(
     )
     window = _trailing(per_minute, SLOW_WINDOW).groupBy("minute")
     summed = window.agg(*[F.sum(name).alias(name) for name in names])
-    slow = summed.filter(_quantile(0.95, F.col("n")) > F.lit(SLOW_SECONDS))
+    slow = summed.filter(_quantile(0.95) > F.lit(SLOW_SECONDS))
     return _alert(held(slow, SLOW_HOLD), SLOW)
 
 

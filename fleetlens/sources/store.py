@@ -34,7 +34,7 @@ _QUARANTINE = (
     "raw_value string, source_topic string, source_partition int, source_offset bigint, "
     "reason string, at timestamp"
 )
-_STATS = (
+STATS = (
     "arrived bigint, stored bigint, duplicates bigint, rejected bigint, quarantined bigint, "
     "consumer string, at timestamp"
 )
@@ -67,7 +67,7 @@ FACTS = {
     "reading": Facts(INGEST, tables.READING + ", day date", ("day",)),
     "ingest_stage": Facts(INGEST, tables.STAGE, ("stage",)),
     "quarantine": Facts(INGEST, _QUARANTINE),
-    "batch_stats": Facts(INGEST, _STATS),
+    "batch_stats": Facts(INGEST, STATS),
     "sweep_stage": Facts(SWEEP, tables.STAGE, ("stage",)),
     "anomaly": Facts(SWEEP, tables.ANOMALY, ("type",)),
     "hourly": Facts(ROLLUP, _HOURLY + ", day date", ("day",)),
@@ -143,8 +143,11 @@ class Store:
         """Make batch `seq` visible."""
         before = self.head(writer)
         snapshot = seq if self.is_snapshot(before, seq) else before.snapshot_seq
-        row = self.spark.createDataFrame([(consumer, batch_id, snapshot, read_upto, at)], _COMMIT)
-        row.coalesce(1).write.mode("overwrite").parquet(
+        row = self.one_row(
+            _COMMIT, consumer=consumer, batch_id=batch_id, snapshot_seq=snapshot,
+            read_upto=read_upto, at=at,
+        )
+        row.write.mode("overwrite").parquet(
             f"{self.root}/commit/writer={writer}/seq={seq}"
         )
         self._heads[writer] = Head(seq, snapshot, read_upto)
@@ -196,6 +199,12 @@ class Store:
 
     # ---- writing ----
 
+    def one_row(self, schema: str, **values) -> DataFrame:
+        """A single row of constants."""
+        fields = [field.split() for field in schema.split(", ")]
+        columns = [F.lit(values[name]).cast(kind).alias(name) for name, kind in fields]
+        return self.spark.range(1, numPartitions=1).select(*columns)
+
     def write_facts(self, name: str, seq: int, rows: DataFrame) -> None:
         table = FACTS[name]
         columns = [field.split()[0] for field in table.schema.split(", ")]

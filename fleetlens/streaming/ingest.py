@@ -11,7 +11,7 @@ from fleetlens.functions.expressions import reading_key
 from fleetlens.operators import ingest
 from fleetlens.operators.sizes import broadcast_if_small
 from fleetlens.sources import wire
-from fleetlens.sources.store import INGEST, Store, utc_now
+from fleetlens.sources.store import INGEST, STATS, Store, utc_now
 from fleetlens.streaming import together
 
 KEY = list(ingest.NATURAL_KEY)
@@ -96,11 +96,17 @@ def _write_stats(store: Store, seq: int, messages: DataFrame, stored: DataFrame,
     kept = stored.agg(
         F.count(F.lit(1)).alias("stored"), F.count("reject_reason").alias("rejected")
     ).first()
-    duplicates = counts.arrived - counts.quarantined - kept.stored
-    row = (counts.arrived, kept.stored, duplicates, kept.rejected, counts.quarantined, consumer, now)
-    names = "arrived bigint, stored bigint, duplicates bigint, rejected bigint, quarantined bigint, "
-    stats = store.spark.createDataFrame([row], names + "consumer string, at timestamp")
-    store.write_facts("batch_stats", seq, stats.coalesce(1))
+    row = store.one_row(
+        STATS,
+        arrived=counts.arrived,
+        stored=kept.stored,
+        duplicates=counts.arrived - counts.quarantined - kept.stored,
+        rejected=kept.rejected,
+        quarantined=counts.quarantined,
+        consumer=consumer,
+        at=now,
+    )
+    store.write_facts("batch_stats", seq, row)
 
 
 def _not_stored(store: Store, rows: DataFrame) -> DataFrame:
