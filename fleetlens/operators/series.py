@@ -81,7 +81,7 @@ def hot_series(readings: DataFrame, max_rows: int | None = MAX_ROWS) -> DataFram
 def _number_slices(readings: DataFrame, hot: DataFrame) -> DataFrame:
     """Number the time slice of each reading of a hot series; null for all others."""
     number = F.floor(F.unix_micros("sampled_at") / F.col("_width"))
-    return readings.join(hot, list(SERIES), "left").withColumn(_SLICE, number).drop("_width")
+    return readings.join(hot, list(SERIES), "left").select(*readings.columns, number.alias(_SLICE))
 
 
 def _copies_before_slices(sliced: DataFrame, lookback: int) -> DataFrame:

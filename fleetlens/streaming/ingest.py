@@ -35,22 +35,34 @@ def ingest_batch(
     now = now or utc_now()
     head = store.head(INGEST)
     seq = head.seq + 1
-    raw = raw.select("value", "topic", "partition", "offset").persist(StorageLevel.DISK_ONLY)
+    # Parsed once, and spilled to disk by the executors; after the loss of one, Spark
+    # reads the same offsets from the source again.
+    messages = wire.decode(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    marked = _first_arrivals(store, messages).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        _store(store, raw, head.seq, seq, consumer, now)
+        _store(store, messages, marked, head.seq, seq, consumer, now)
     finally:
-        raw.unpersist()
+        marked.unpersist()
+        messages.unpersist()
     store.commit(INGEST, seq, consumer, batch_id, 0, now)
     return True
 
 
-def _store(store: Store, raw: DataFrame, last: int, seq: int, consumer: str, now) -> None:
-    messages = wire.decode(raw)
+def _first_arrivals(store: Store, messages: DataFrame) -> DataFrame:
+    """First arrival per natural key, next to the newest stored time of its series."""
+    usable = messages.filter(F.col("quarantine_reason").isNull())
+    first = ingest.first_arrivals(usable.drop("raw_value", "quarantine_reason"))
+    known = store.state("series").select("device", "metric", "last_sampled_at")
+    return ingest.with_validation(first).join(known, ["device", "metric"], "left")
+
+
+def _store(
+    store: Store, messages: DataFrame, marked: DataFrame, last: int, seq: int, consumer: str, now
+) -> None:
     usable = messages.filter(F.col("quarantine_reason").isNull())
     at = F.lit(now).cast("timestamp")
 
-    first = ingest.with_validation(ingest.first_arrivals(usable))
-    new = _not_stored(store, first).select(
+    new = _not_stored(store, marked).select(
         reading_key(F.col("device"), F.col("metric"), F.col("sampled_at")).alias("reading_id"),
         *KEY,
         "value",
@@ -76,7 +88,15 @@ def _store(store: Store, raw: DataFrame, last: int, seq: int, consumer: str, now
     attributes = ingest.newest_device_attributes(usable)
     known = store.state("device").join(attributes.select("device"), "device", "left_semi")
     devices = ingest.upsert_devices(known, attributes)
-    offsets = ingest.consumer_offsets(raw, at, consumer)
+    offsets = ingest.consumer_offsets(
+        messages.select(
+            F.col("source_topic").alias("topic"),
+            F.col("source_partition").alias("partition"),
+            F.col("source_offset").alias("offset"),
+        ),
+        at,
+        consumer,
+    )
     together(
         lambda: store.write_facts("ingest_stage", seq, ingest.ingest_stages(stored, at)),
         lambda: store.write_facts("quarantine", seq, unusable),
@@ -109,15 +129,13 @@ def _write_stats(store: Store, seq: int, messages: DataFrame, stored: DataFrame,
     store.write_facts("batch_stats", seq, row)
 
 
-def _not_stored(store: Store, rows: DataFrame) -> DataFrame:
+def _not_stored(store: Store, marked: DataFrame) -> DataFrame:
     """Drop readings that an earlier batch stored.
 
     A reading newer than everything stored of its series cannot be a duplicate, so in
     steady state nothing is looked up. Only the others are compared with the stored
     readings of their days.
     """
-    known = store.state("series").select("device", "metric", "last_sampled_at")
-    marked = rows.join(known, ["device", "metric"], "left")
     old = F.coalesce(F.col("sampled_at") <= F.col("last_sampled_at"), F.lit(False))
     fresh = marked.filter(~old).drop("last_sampled_at")
     suspects = marked.filter(old).drop("last_sampled_at")
