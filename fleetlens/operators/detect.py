@@ -104,6 +104,7 @@ def point_anomalies(evaluated: DataFrame, detected_at="sampled_at") -> DataFrame
         detail.alias("detail"),
         when.alias("detected_at"),
         F.lit(None).cast("timestamp").alias("resolved_at"),
+        F.to_date("sampled_at").alias("reading_day"),
     )
 
 
@@ -193,6 +194,7 @@ def window_anomalies(condition: DataFrame, settings: Settings, detected_at) -> D
         F.inline(F.array_compact(F.array(*found))),
         timestamp_at(detected_at).alias("detected_at"),
         F.lit(None).cast("timestamp").alias("resolved_at"),
+        F.lit(None).cast("date").alias("reading_day"),
     )
 
 

@@ -111,11 +111,16 @@ def device_anomalies(anomalies: DataFrame, readings: DataFrame, device=None) ->
     """Anomalies with the time and value of the reading that caused them, newest first.
 
     Only the readings that were flagged are joined; the large table is reduced by a
-    join against the short list of ids instead of being sorted whole.
+    join against the short list of ids instead of being sorted whole. Where readings
+    are kept by day, the days in the list prune the folders that are read.
     """
     rows = narrow(anomalies, device)
-    flagged = rows.filter(F.col("reading_id").isNotNull()).select("reading_id").distinct()
-    causes = readings.join(flagged, "reading_id").select(
+    key = ["reading_id"]
+    flagged = rows.filter(F.col("reading_id").isNotNull())
+    if "day" in readings.columns and "reading_day" in rows.columns:
+        flagged = flagged.withColumnRenamed("reading_day", "day")
+        key.append("day")
+    causes = readings.join(flagged.select(*key).distinct(), key).select(
         "reading_id",
         F.col("sampled_at").alias("reading_sampled_at"),
         F.col("value").cast("double").alias("reading_value"),

@@ -2,9 +2,10 @@
 
 Every writer (ingest, sweep, rollup) numbers its batches 1, 2, 3, ... A batch writes
 its rows into folders named after its number and becomes visible through one small
-commit row written last. A batch that died half way is simply written again into the
-same folders. Readers name the folders of the batches they want, so an incremental
-read lists only new files however long the history is.
+commit row written last. What a batch that died half way left behind is overwritten by
+the next one, which takes the same number. The commit row also names the days a batch
+touched. Readers pick folders by batch and day, so neither an incremental read nor a
+look at a few days lists the whole history.
 
 Fact tables keep every row. State tables (one row per key) hold, per batch, the new
 state of the keys the batch touched; the newest row of a key counts. Now and then a
@@ -15,17 +16,21 @@ One process per writer at a time is assumed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens.sources import tables
 
 INGEST, SWEEP, ROLLUP = "ingest", "sweep", "rollup"
 
-_COMMIT = "consumer string, batch_id bigint, snapshot_seq bigint, read_upto bigint, at timestamp"
+_COMMIT = (
+    "consumer string, batch_id bigint, snapshot_seq bigint, read_upto bigint, days array<date>, "
+    "at timestamp"
+)
 _HOURLY = (
     "device string, metric string, hour timestamp, avg_value double, min_value double, "
     "max_value double, n bigint, sum_value double"
@@ -47,11 +52,13 @@ _EVALUATED = (
 
 @dataclass(frozen=True)
 class Facts:
-    """An append-only table: who writes it and which columns become folders."""
+    """An append-only table: its writer, the columns that become folders, and ids that
+    single rows are looked up by (the files get Bloom filters for these)."""
 
     writer: str
     schema: str
     folders: tuple[str, ...] = ()
+    lookup: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -64,11 +71,11 @@ class State:
 
 
 FACTS = {
-    "reading": Facts(INGEST, tables.READING + ", day date", ("day",)),
-    "ingest_stage": Facts(INGEST, tables.STAGE, ("stage",)),
+    "reading": Facts(INGEST, tables.READING + ", day date", ("day",), ("reading_id",)),
+    "ingest_stage": Facts(INGEST, tables.STAGE, ("stage",), ("reading_id",)),
     "quarantine": Facts(INGEST, _QUARANTINE),
     "batch_stats": Facts(INGEST, STATS),
-    "sweep_stage": Facts(SWEEP, tables.STAGE, ("stage",)),
+    "sweep_stage": Facts(SWEEP, tables.STAGE, ("stage",), ("reading_id",)),
     "anomaly": Facts(SWEEP, tables.ANOMALY, ("type",)),
     "hourly": Facts(ROLLUP, _HOURLY + ", day date", ("day",)),
 }
@@ -138,14 +145,21 @@ class Store:
         return not commits.filter(later).isEmpty()
 
     def commit(
-        self, writer: str, seq: int, consumer: str, batch_id: int, read_upto: int, at: datetime
+        self,
+        writer: str,
+        seq: int,
+        consumer: str,
+        batch_id: int,
+        at: datetime,
+        read_upto: int = 0,
+        days: list | None = None,
     ) -> None:
-        """Make batch `seq` visible."""
+        """Make batch `seq` visible. `days` lists the day folders it has written."""
         before = self.head(writer)
         snapshot = seq if self.is_snapshot(before, seq) else before.snapshot_seq
         row = self.one_row(
             _COMMIT, consumer=consumer, batch_id=batch_id, snapshot_seq=snapshot,
-            read_upto=read_upto, at=at,
+            read_upto=read_upto, days=days or [], at=at,
         )
         row.write.mode("overwrite").parquet(
             f"{self.root}/commit/writer={writer}/seq={seq}"
@@ -167,12 +181,41 @@ class Store:
             return reader.parquet(base).filter(F.col("seq") <= head.seq)
         return reader.parquet(*[f"{base}/seq={number}" for number in numbers])
 
-    def facts(self, name: str, after: int = 0, upto: int | None = None) -> DataFrame:
-        """Rows of the committed batches with number in (after, upto]."""
+    def facts(
+        self,
+        name: str,
+        after: int = 0,
+        upto: int | None = None,
+        days: Callable[[Column], Column] | None = None,
+    ) -> DataFrame:
+        """Rows of the committed batches with number in (after, upto].
+
+        `days` is a condition on the day, for tables kept by day; only the folders of
+        matching days are listed.
+        """
         table = FACTS[name]
         head = self.head(table.writer)
         last = head.seq if upto is None else upto
-        return self._read(name, table.schema, range(after + 1, last + 1), head)
+        if days is None:
+            return self._read(name, table.schema, range(after + 1, last + 1), head)
+        schema = f"{table.schema}, seq bigint"
+        commits = self._commits(table.writer)
+        folders = []
+        if commits is not None:
+            touched = commits.filter(F.col("seq").between(after + 1, last))
+            touched = touched.select("seq", F.explode("days").alias("day"))
+            folders = touched.filter(days(F.col("day"))).collect()  # batches times days
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        base = f"{self.root}/{name}"
+        paths = [f"{base}/seq={row.seq}/day={row.day}" for row in folders]
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
+
+    def days_of(self, name: str, seq: int) -> list:
+        """The day folders a batch has written."""
+        table = FACTS[name]
+        rows = self._read(name, table.schema, range(seq, seq + 1), Head())
+        return [row.day for row in rows.select("day").distinct().collect()]
 
     def state(self, name: str) -> DataFrame:
         """The current row of every key."""
@@ -202,15 +245,16 @@ class Store:
     def one_row(self, schema: str, **values) -> DataFrame:
         """A single row of constants."""
         fields = [field.split() for field in schema.split(", ")]
-        columns = [F.lit(values[name]).cast(kind).alias(name) for name, kind in fields]
+        columns = [_constant(values[name]).cast(kind).alias(name) for name, kind in fields]
         return self.spark.range(1, numPartitions=1).select(*columns)
 
     def write_facts(self, name: str, seq: int, rows: DataFrame) -> None:
         table = FACTS[name]
         columns = [field.split()[0] for field in table.schema.split(", ")]
-        rows.select(*columns).write.mode("overwrite").partitionBy(*table.folders).parquet(
-            f"{self.root}/{name}/seq={seq}"
-        )
+        writer = rows.select(*columns).write.mode("overwrite").partitionBy(*table.folders)
+        for column in table.lookup:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(f"{self.root}/{name}/seq={seq}")
 
     def write_state(self, name: str, seq: int, touched: DataFrame) -> None:
         """Store the new state of the touched keys, or of all keys when it is time."""
@@ -220,6 +264,10 @@ class Store:
         touched.write.mode("overwrite").parquet(f"{self.root}/{name}/seq={seq}")
 
 
+def _constant(value) -> Column:
+    return F.array(*[F.lit(item) for item in value]) if isinstance(value, list) else F.lit(value)
+
+
 def _newest(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
     rest = [name for name in rows.columns if name not in (*key, "seq")]
     newest = F.max_by(F.struct(*rest), "seq").alias("_row")

@@ -19,7 +19,8 @@ READING = (
 STAGE = "reading_id string, stage string, status string, detail string, at timestamp"
 ANOMALY = (
     "anomaly_id string, device string, metric string, reading_id string, type string, "
-    "severity string, detail string, detected_at timestamp, resolved_at timestamp"
+    "severity string, detail string, detected_at timestamp, resolved_at timestamp, "
+    "reading_day date"
 )
 HEARTBEAT = "device string, last_seen_at timestamp, last_offset bigint"
 CHECKPOINT = "device string, metric string, last_sampled_at timestamp, updated_at timestamp"

@@ -23,14 +23,17 @@ def ingest_batch(
     batch_id: int,
     consumer: str = ingest.CONSUMER,
     now: datetime | None = None,
+    origin: str | None = None,
 ) -> bool:
     """Store a batch of raw messages; False if it had been stored before.
 
     Serves streams (as the body of `foreachBatch`) and bulk backfills alike. The batch
     becomes visible in one step at the end, and the source's offsets are acknowledged
-    only after this function returns: stored first, acknowledged second.
+    only after this function returns: stored first, acknowledged second. Batches are
+    numbered per `origin`, the consumer unless a stream names itself.
     """
-    if store.refresh().is_committed(INGEST, consumer, batch_id):
+    origin = origin or consumer
+    if store.refresh().is_committed(INGEST, origin, batch_id):
         return False
     now = now or utc_now()
     head = store.head(INGEST)
@@ -44,7 +47,7 @@ def ingest_batch(
     finally:
         marked.unpersist()
         messages.unpersist()
-    store.commit(INGEST, seq, consumer, batch_id, 0, now)
+    store.commit(INGEST, seq, origin, batch_id, now, days=store.days_of("reading", seq))
     return True
 
 
@@ -142,7 +145,7 @@ def _not_stored(store: Store, marked: DataFrame) -> DataFrame:
     days = [row.day for row in suspects.select(F.to_date("sampled_at").alias("day")).distinct().collect()]
     if not days:
         return fresh
-    stored = store.facts("reading").filter(F.col("day").isin(days)).select(*KEY)
+    stored = store.facts("reading", days=lambda day: day.isin(days)).select(*KEY)
     repeated = stored.join(broadcast_if_small(suspects.select(*KEY)), KEY, "left_semi")
     return fresh.unionByName(ingest.unseen(suspects, repeated))
 

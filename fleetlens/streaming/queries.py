@@ -28,8 +28,10 @@ def start_ingest(
 ) -> StreamingQuery:
     """Store a raw message stream. Without `seconds`, drain the backlog and stop.
 
-    Spark replays a micro-batch after a crash; the store recognises it by its id, so
-    delivery is at least once and the effect is exactly once.
+    Spark replays a micro-batch after a crash; the store recognises it by the id of the
+    query and the batch, so delivery is at least once and the effect is exactly once. A
+    stream that starts over with a new checkpoint has a new id: its messages are read
+    again and recognised one by one.
     """
     return (
         raw.writeStream.foreachBatch(lambda rows, batch: _ingest(store, rows, batch, consumer))
@@ -40,7 +42,8 @@ def start_ingest(
 
 
 def _ingest(store: Store, rows: DataFrame, batch: int, consumer: str) -> None:
-    ingest_batch(store, rows, batch, consumer)
+    query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    ingest_batch(store, rows, batch, consumer, origin=f"{consumer} {query}" if query else None)
 
 
 def start_sweeps(

@@ -27,14 +27,15 @@ def refresh_rollup(store: Store, now: datetime | None = None) -> bool:
     fresh = evaluable(store.facts("reading", after=head.read_upto, upto=last))
     parts = hourly(fresh).withColumn("day", F.to_date("hour"))
     store.write_facts("hourly", seq, parts.repartitionByRange("day", "metric", "device"))
-    store.commit(ROLLUP, seq, _CONSUMER, seq, last, now or utc_now())
+    days = store.days_of("hourly", seq)
+    store.commit(ROLLUP, seq, _CONSUMER, seq, now or utc_now(), read_upto=last, days=days)
     return True
 
 
 def read_rollup(store: Store, since=None) -> DataFrame:
     """One row per device, metric and hour; only the days asked for are read."""
-    parts = store.facts("hourly")
-    if since is not None:
-        since = F.lit(since).cast("timestamp")
-        parts = parts.filter((F.col("day") >= F.to_date(since)) & (F.col("hour") >= since))
-    return merge_hourly(parts)
+    if since is None:
+        return merge_hourly(store.facts("hourly"))
+    since = F.lit(since).cast("timestamp")
+    parts = store.facts("hourly", days=lambda day: day >= F.to_date(since))
+    return merge_hourly(parts.filter(F.col("hour") >= since))

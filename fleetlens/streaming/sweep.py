@@ -65,7 +65,7 @@ def sweep(
         store.write_facts("anomaly", seq, _with_id(points.unionByName(windows), seq))
     finally:
         judged.unpersist()
-    store.commit(SWEEP, seq, _CONSUMER, seq, last, now)
+    store.commit(SWEEP, seq, _CONSUMER, seq, now, read_upto=last)
     return True
 
 

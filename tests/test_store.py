@@ -62,7 +62,7 @@ def test_first_arrival_wins_within_and_across_batches(spark, store):
 def test_unfinished_batch_is_invisible_and_written_again(spark, store, monkeypatch):
     assert ingest_batch(store, raw(spark, series_of("d", [1.0, 2.0])), 0)
 
-    def fail(*_):
+    def fail(*_, **__):
         raise RuntimeError("lost")
 
     more = raw(spark, series_of("d", [3.0], START + timedelta(seconds=60)), first=2)
@@ -229,5 +229,6 @@ def test_incremental_reads_name_only_new_folders(spark, store):
     assert files and all("/seq=4/" in name for name in files)
     assert all("/seq=3/" in n or "/seq=4/" in n for n in store.state("series").inputFiles())
     assert store.state("series").first().n == 4
-    day = store.facts("reading").filter(F.col("day") == F.lit("2026-01-02").cast("date"))
-    assert len(day.inputFiles()) >= 1 and day.count() == 1
+    day = store.facts("reading", days=lambda day: day == F.lit("2026-01-02").cast("date"))
+    assert all("/seq=2/day=2026-01-02/" in n for n in day.inputFiles()) and day.count() == 1
+    assert store.facts("reading", days=lambda day: day < F.lit("2026-01-01").cast("date")).isEmpty()

@@ -33,6 +33,11 @@ def test_files_to_store_and_sweeps(spark, store, tmp_path):
     assert store.refresh().facts("reading").count() == 21
     drain()  # nothing new
     assert store.refresh().facts("batch_stats").count() == 2
+    # a lost checkpoint: everything is read again and nothing is stored twice
+    again = file_stream(spark, str(folder))
+    streams.start_ingest(again, store, str(tmp_path / "new"), seconds=None).awaitTermination()
+    assert store.refresh().facts("reading").count() == 21
+    assert store.facts("batch_stats").filter("stored = 0 and duplicates = 26").count() == 1
     sweeps = str(tmp_path / "sweeps")
     streams.start_sweeps(store, Settings(), sweeps, drain=True).awaitTermination()
     assert [r.type for r in store.refresh().facts("anomaly").collect()] == ["spike"]
