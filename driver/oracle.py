@@ -420,6 +420,12 @@ def statements() -> dict[str, str]:
             "max(sampled_at) AS last_sampled_at FROM msg GROUP BY device",
             "msg",
         ),
+        "store_latest": _sql(
+            "SELECT device, metric, sampled_at, round(value, 6) AS value, unit FROM (SELECT *, "
+            "row_number() OVER (PARTITION BY device, metric ORDER BY sampled_at DESC) AS place "
+            "FROM msg) WHERE place = 1",
+            "msg",
+        ),
         "sweep_findings": _sql(
             "SELECT device, metric, finding AS type, "
             "CASE finding WHEN 'spike' THEN 'warn' ELSE 'critical' END AS severity, "

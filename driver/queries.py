@@ -649,6 +649,13 @@ def store_devices(spark, folder):
     return rows.join(series_of, "device")
 
 
+@query
+def store_latest(spark, folder):
+    """The newest reading per series as kept by ingest."""
+    rows = filled_store(spark, folder).latest()
+    return rows.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
 @query
 def sweep_findings(spark, folder):
     """Point findings of incremental sweeps, one after each delivery."""

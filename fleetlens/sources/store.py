@@ -43,7 +43,10 @@ STATS = (
     "arrived bigint, stored bigint, duplicates bigint, rejected bigint, quarantined bigint, "
     "consumer string, at timestamp"
 )
-_SERIES = "device string, metric string, last_sampled_at timestamp, n bigint, updated_at timestamp"
+_SERIES = (
+    "device string, metric string, last_sampled_at timestamp, value double, unit string, "
+    "n bigint, updated_at timestamp"
+)
 _EVALUATED = (
     "device string, metric string, last_sampled_at timestamp, n bigint, "
     "tail array<struct<sampled_at: timestamp, value: double>>, updated_at timestamp"
@@ -125,24 +128,24 @@ class Store:
     def head(self, writer: str) -> Head:
         """The last batch of a writer, as of the last refresh or own commit."""
         if writer not in self._heads:
-            self._heads[writer] = self._find_head(writer)
+            self._heads[writer], _ = self._find_head(writer)
         return self._heads[writer]
 
-    def _find_head(self, writer: str) -> Head:
+    def _find_head(self, writer: str, consumer: str | None = None) -> tuple[Head, int | None]:
+        """The head of a writer and the last batch stored for a consumer."""
         commits = self._commits(writer)
         if commits is None:
-            return Head()
+            return Head(), None
         newest = F.max_by(F.struct("seq", "snapshot_seq", "read_upto"), "seq").alias("h")
-        row = commits.agg(newest).first().h
-        return Head(row.seq, row.snapshot_seq, row.read_upto) if row else Head()
+        of_consumer = F.when(F.col("consumer") == F.lit(consumer), F.col("batch_id"))
+        row = commits.agg(newest, F.max(of_consumer).alias("batch")).first()
+        head = Head(row.h.seq, row.h.snapshot_seq, row.h.read_upto) if row.h else Head()
+        return head, row.batch
 
     def is_committed(self, writer: str, consumer: str, batch_id: int) -> bool:
         """Whether this batch of a consumer, or a later one, is already stored."""
-        commits = self._commits(writer)
-        if commits is None:
-            return False
-        later = (F.col("consumer") == consumer) & (F.col("batch_id") >= batch_id)
-        return not commits.filter(later).isEmpty()
+        self._heads[writer], batch = self._find_head(writer, consumer)
+        return batch is not None and batch >= batch_id
 
     def commit(
         self,
@@ -217,15 +220,26 @@ class Store:
         rows = self._read(name, table.schema, range(seq, seq + 1), Head())
         return [row.day for row in rows.select("day").distinct().collect()]
 
-    def state(self, name: str) -> DataFrame:
-        """The current row of every key."""
+    def state(self, name: str, only: tuple[str, ...] = ()) -> DataFrame:
+        """The current row of every key; with `only`, just these columns beside the key."""
         table = STATES[name]
         head = self.head(table.writer)
         rows = self._read(name, table.schema, range(head.snapshot_seq, head.seq + 1), head)
+        if only:
+            rows = rows.select(*table.key, *only, "seq")
         if head.seq == head.snapshot_seq:
             return rows.drop("seq")
         return _newest(rows, table.key)
 
+    def latest(self) -> DataFrame:
+        """The newest reading of every series, kept up to date by ingest.
+
+        Usable wherever a query asks for readings but needs only the latest ones, such
+        as the fleet view and the device list; its size is the number of series.
+        """
+        rows = self.state("series", ("last_sampled_at", "value", "unit"))
+        return rows.withColumnRenamed("last_sampled_at", "sampled_at")
+
     def written(self, name: str, seq: int) -> DataFrame:
         """The rows a batch in progress has written into a state table."""
         table = STATES[name]

@@ -6,12 +6,11 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 
-def together(*writes: Callable[[], None]) -> None:
+def together(*writes: Callable[[], object]) -> list:
     """Run independent writes as concurrent Spark jobs; the first error is raised.
 
     The tables of one micro-batch are small and do not depend on each other, so their
     fixed costs overlap instead of adding up.
     """
     with ThreadPoolExecutor(max_workers=len(writes)) as pool:
-        for done in [pool.submit(write) for write in writes]:
-            done.result()
+        return [done.result() for done in [pool.submit(write) for write in writes]]

@@ -43,11 +43,11 @@ def ingest_batch(
     messages = wire.decode(raw).persist(StorageLevel.MEMORY_AND_DISK)
     marked = _first_arrivals(store, messages).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        _store(store, messages, marked, head.seq, seq, consumer, now)
+        days = _store(store, messages, marked, head.seq, seq, consumer, now)
     finally:
         marked.unpersist()
         messages.unpersist()
-    store.commit(INGEST, seq, origin, batch_id, now, days=store.days_of("reading", seq))
+    store.commit(INGEST, seq, origin, batch_id, now, days=days)
     return True
 
 
@@ -55,13 +55,14 @@ def _first_arrivals(store: Store, messages: DataFrame) -> DataFrame:
     """First arrival per natural key, next to the newest stored time of its series."""
     usable = messages.filter(F.col("quarantine_reason").isNull())
     first = ingest.first_arrivals(usable.drop("raw_value", "quarantine_reason"))
-    known = store.state("series").select("device", "metric", "last_sampled_at")
+    known = store.state("series", ("last_sampled_at",))
     return ingest.with_validation(first).join(known, ["device", "metric"], "left")
 
 
 def _store(
     store: Store, messages: DataFrame, marked: DataFrame, last: int, seq: int, consumer: str, now
-) -> None:
+) -> list:
+    """Write all tables of the batch; answers the days its readings fall on."""
     usable = messages.filter(F.col("quarantine_reason").isNull())
     at = F.lit(now).cast("timestamp")
 
@@ -100,7 +101,7 @@ def _store(
         at,
         consumer,
     )
-    together(
+    *_, days = together(
         lambda: store.write_facts("ingest_stage", seq, ingest.ingest_stages(stored, at)),
         lambda: store.write_facts("quarantine", seq, unusable),
         lambda: store.write_state("device", seq, devices),
@@ -109,15 +110,18 @@ def _store(
         lambda: store.write_state("offsets", seq, offsets),
         lambda: _write_stats(store, seq, messages, stored, consumer, now),
     )
+    return days
 
 
 def _write_stats(store: Store, seq: int, messages: DataFrame, stored: DataFrame, consumer: str, now):
-    """One row of counts per batch."""
+    """One row of counts per batch; answers the days of the stored readings."""
     counts = messages.agg(
         F.count(F.lit(1)).alias("arrived"), F.count("quarantine_reason").alias("quarantined")
     ).first()
     kept = stored.agg(
-        F.count(F.lit(1)).alias("stored"), F.count("reject_reason").alias("rejected")
+        F.count(F.lit(1)).alias("stored"),
+        F.count("reject_reason").alias("rejected"),
+        F.collect_set("day").alias("days"),
     ).first()
     row = store.one_row(
         STATS,
@@ -130,6 +134,7 @@ def _write_stats(store: Store, seq: int, messages: DataFrame, stored: DataFrame,
         at=now,
     )
     store.write_facts("batch_stats", seq, row)
+    return kept.days
 
 
 def _not_stored(store: Store, marked: DataFrame) -> DataFrame:
@@ -153,14 +158,19 @@ def _not_stored(store: Store, marked: DataFrame) -> DataFrame:
 def _series(store: Store, stored: DataFrame, at) -> DataFrame:
     """New state of the series this batch added readings to."""
     added = stored.groupBy("device", "metric").agg(
-        F.max("sampled_at").alias("_last"), F.count(F.lit(1)).alias("_n")
+        F.max_by(F.struct("sampled_at", "value", "unit"), "sampled_at").alias("_new"),
+        F.count(F.lit(1)).alias("_n"),
     )
-    old = store.state("series").drop("updated_at")
+    old = store.state("series", ("last_sampled_at", "value", "unit", "n"))
     merged = added.join(old, ["device", "metric"], "left")
+    newer = F.coalesce(F.col("_new.sampled_at") > F.col("last_sampled_at"), F.lit(True))
     return merged.select(
         "device",
         "metric",
-        F.greatest("last_sampled_at", "_last").alias("last_sampled_at"),
+        F.when(newer, F.col("_new.sampled_at")).otherwise(F.col("last_sampled_at")).alias(
+            "last_sampled_at"
+        ),
+        *[F.when(newer, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in ("value", "unit")],
         (F.coalesce("n", F.lit(0)) + F.col("_n")).alias("n"),
         at.alias("updated_at"),
     )

@@ -76,7 +76,7 @@ def _context(store: Store, fresh: DataFrame, read_upto: int, settings: Settings)
     no longer covers its window is judged against its true predecessors as well: the
     few series concerned are read from the stored history.
     """
-    state = store.state("evaluated").join(
+    state = store.state("evaluated", ("n", "tail")).join(
         fresh.select(*SERIES).distinct(), list(SERIES), "left_semi"
     )
     window = settings.spike_window
@@ -109,7 +109,7 @@ def _state(store: Store, rows: DataFrame, settings: Settings, now, max_rows: int
         .agg(F.sort_array(F.collect_list(F.struct("sampled_at", "value"))).alias("tail"))
     )
     added = rows.filter("fresh").groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_added"))
-    before = store.state("evaluated").select(*SERIES, F.col("n").alias("_n"))
+    before = store.state("evaluated", ("n",)).withColumnRenamed("n", "_n")
     return (
         tails.join(added, list(SERIES))
         .join(before, list(SERIES), "left")
