@@ -181,13 +181,12 @@ def unevaluated(spark, folder):
 def bounded_eval(spark, folder):
     """Incremental evaluation: readings after the checkpoint, from their anchors on."""
     moment = F.lit(CHECKPOINT).cast("timestamp")
-    rows = detect.with_limits(detect.evaluable(readings(spark, folder)), SETTINGS)
+    rows = detect.judgeable(readings(spark, folder), SETTINGS)
     fresh = rows.filter(F.col("sampled_at") > moment)
     before = rows.filter(F.col("sampled_at") <= moment)
     tail = series.newest(before, SETTINGS.spike_window).drop("rank")
-    judged = detect.judge(
-        series.rolling_stats(tail.unionByName(fresh), SETTINGS.spike_window)
-    ).filter(F.col("sampled_at") > moment)
+    stats = series.rolling_stats(tail.unionByName(fresh), SETTINGS.spike_window)
+    judged = detect.judge(detect.with_limits(stats.filter(F.col("sampled_at") > moment), SETTINGS))
     return judged.select(
         "reading_id", "mean", "std", F.coalesce("finding", F.lit("ok")).alias("finding")
     )

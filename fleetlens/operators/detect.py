@@ -27,14 +27,21 @@ SEVERITY = {OUT_OF_RANGE: "critical", SPIKE: "warn", DRIFT: "warn", OFFLINE_GAP:
 INGESTED, VALIDATED, ENRICHED, EVALUATED = "ingested", "validated", "enriched", "evaluated"
 OK, WARN, REJECT = "ok", "warn", "reject"
 
-_LIMIT_COLUMNS = ("lo", "hi", "baseline", "spike_sigma", "drift_delta")
-
-
 def evaluable(readings: DataFrame) -> DataFrame:
     """Readings with an ordinary number; one NaN would poison the 20 windows after it."""
     return readings.filter(is_finite(F.col("value")))
 
 
+def judgeable(readings: DataFrame, settings: Settings) -> DataFrame:
+    """Ordinary numbers of metrics that have limits.
+
+    The limits themselves are attached after the shuffle of the windows, so they do not
+    travel with every reading.
+    """
+    limited = limits_frame(readings.sparkSession, settings.limits).select("metric")
+    return evaluable(readings).join(limited, "metric", "left_semi")
+
+
 def with_limits(readings: DataFrame, settings: Settings) -> DataFrame:
     """Attach the limits of each metric; metrics without limits are not judged."""
     return readings.join(limits_frame(readings.sparkSession, settings.limits), "metric")
@@ -69,14 +76,10 @@ def judge(enriched: DataFrame) -> DataFrame:
 def evaluate_points(
     readings: DataFrame, settings: Settings, max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
-    """Every reading with its window statistics and finding.
-
-    The limits filter runs before the window, so metrics without limits are not
-    shuffled at all.
-    """
+    """Every reading with its window statistics and finding."""
     max_rows = rows_to_check(readings, max_rows)
-    judged = with_limits(evaluable(readings), settings)
-    return judge(rolling_stats(judged, settings.spike_window, max_rows))
+    stats = rolling_stats(judgeable(readings, settings), settings.spike_window, max_rows)
+    return judge(with_limits(stats, settings))
 
 
 def severity_of(kind: Column) -> Column:
@@ -135,22 +138,19 @@ def series_condition(
     its predecessor, hence one row more than the lookback.
     """
     max_rows = rows_to_check(readings, max_rows)
-    tail = newest(with_limits(evaluable(readings), settings), settings.tail_rows, max_rows)
+    tail = newest(judgeable(readings, settings), settings.tail_rows, max_rows)
     # the next row of the descending order is the predecessor in time, so ranks and
     # gaps share one sort
     before = F.lead("sampled_at").over(newest_first(SERIES))
     rank = F.col("rank")
     gap = F.when(rank <= settings.gap_lookback, seconds_between(before, "sampled_at"))
-    return (
+    recent = F.when(rank <= settings.drift_window, F.col("value"))
+    condition = (
         tail.withColumn("_gap", gap)
         .groupBy(*SERIES)
-        .agg(
-            F.avg(F.when(rank <= settings.drift_window, F.col("value"))).alias("recent_mean"),
-            F.max("_gap").alias("max_gap_seconds"),
-            F.max("sampled_at").alias("last_sampled_at"),
-            *[F.max(name).alias(name) for name in _LIMIT_COLUMNS],
-        )
+        .agg(F.avg(recent).alias("recent_mean"), F.max("_gap").alias("max_gap_seconds"))
     )
+    return with_limits(condition, settings)
 
 
 def _drifted() -> Column:
