@@ -22,6 +22,7 @@ SQL_SETTINGS = {
 def session(app: str = "fleetlens", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings above. On a cluster, `spark-submit` sets the rest."""
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     for key, value in {**SQL_SETTINGS, **extra}.items():
