@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import fingerprints, lines, mixing, quality
+from fleetlens.llm import byte_bpe, fingerprints, lines, mixing, quality, token_counts
+
+PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +23,10 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder))
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counted(documents(spark, folder), public_tokenizers.path(PIECES), "doc_id")
+
+
 def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprinted(documents(spark, folder))
 
@@ -27,6 +35,10 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(documents(spark, folder).select("doc_id", "text", "lang"), "doc_id").drop("lang")
 
 
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.digests(documents(spark, folder), public_tokenizers.path(RANKS), "doc_id")
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     deduped = lines.deduped(documents(spark, folder).select("doc_id", "text"))
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -34,7 +46,9 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
+    "op3_token_counts": op3_token_counts,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
+    "op7_byte_bpe": op7_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
