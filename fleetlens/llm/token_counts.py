@@ -31,7 +31,7 @@ from fleetlens.llm.text import whole
 LIMIT = 4096
 CHUNK = 16_384
 CACHED_WORDS = 500_000
-CACHED_STATES = 60_000
+CACHED_STATES = 100_000
 CACHED_PAIRS = 300_000
 MARK = "▁"
 
@@ -65,6 +65,16 @@ def merged(symbols: list[str], scores: dict[str, float], leave: int = 1) -> list
     return parts
 
 
+class State:
+    """The places at which a token may be open, and the moves compiled so far."""
+
+    __slots__ = ("moves", "opens")
+
+    def __init__(self, opens: tuple[Open, ...]):
+        self.opens = opens
+        self.moves: dict[str, tuple[State, int]] = {}
+
+
 class Transducer:
     """Compiled lazily; forgetting what is compiled changes no result."""
 
@@ -75,9 +85,8 @@ class Transducer:
         self.opens = {piece[:n] for piece in scores for n in range(1, len(piece))}
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.start: tuple[Open, ...] = (("", None, 0),)
-        self.moves: dict[tuple[Open, ...], dict[str, tuple[tuple[Open, ...], int]]] = {}
-        self.first = self.moves.setdefault(self.start, {})
+        self.start = State((("", None, 0),))
+        self.states: dict[tuple[Open, ...], State] = {}
 
     def split(self, token: str) -> tuple[str, str] | None:
         """The two parts a token is merged from last; none if merging never makes it."""
@@ -118,9 +127,10 @@ class Transducer:
             self.pairs[last, token] = known
         return known
 
-    def step(self, state: tuple[Open, ...], char: str) -> tuple[tuple[Open, ...], int]:
+    def step(self, state: State, char: str) -> tuple[State, int]:
+        """The state after a character, and the tokens it emits."""
         alive, found, count = [], None, 0
-        for read, last, ahead in state:
+        for read, last, ahead in state.opens:
             grown = read + char
             if (grown in self.scores or not read) and self.follows(last, grown):
                 found, count = grown, ahead + (1 if grown in self.scores else len(char.encode()))
@@ -128,33 +138,29 @@ class Transducer:
                 alive.append((grown, last, ahead))
         alive.append(("", found, count))
         emitted = min(ahead for _, _, ahead in alive)
-        return tuple((read, last, ahead - emitted) for read, last, ahead in alive), emitted
+        opens = tuple((read, last, ahead - emitted) for read, last, ahead in alive)
+        if len(self.states) >= CACHED_STATES:
+            self.states.clear()
+            self.start = State(self.start.opens)
+        move = self.states.setdefault(opens, State(opens)), emitted
+        state.moves[char] = move
+        return move
 
     def count(self, word: str) -> int:
         """Tokens of a word, from the first state."""
-        state, moves, total = self.start, self.first, 0
+        state, total = self.start, 0
         for char in word:
-            move = moves.get(char)
-            if move is None:
-                if len(self.moves) >= CACHED_STATES:
-                    self.moves.clear()
-                    self.first = self.moves.setdefault(self.start, {})
-                    moves = self.moves.setdefault(state, {})
-                move = moves[char] = self.step(state, char)
-            state, emitted = move
+            move = state.moves.get(char)
+            state, emitted = move if move is not None else self.step(state, char)
             total += emitted
-            moves = self.moves.get(state)
-            if moves is None:
-                moves = self.moves.setdefault(state, {})
-        return total + state[-1][2]
-
+        return total + state.opens[-1][2]
 
     def first_token(self, word: str) -> str:
         """The first token of a word, found from its last one backwards."""
         state, lasts = self.start, []
         for char in word:
             state, _ = self.step(state, char)
-            lasts.append(state[-1][1])
+            lasts.append(state.opens[-1][1])
         end = len(word)
         while end > len(lasts[end - 1]):
             end -= len(lasts[end - 1])
