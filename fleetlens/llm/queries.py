@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import byte_bpe, fingerprints, lines, mixing, quality, token_counts
+from fleetlens.llm import byte_bpe, fingerprints, lines, mixing, near_dups, quality, token_counts
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.counted(documents(spark, folder), public_tokenizers.path(PIECES), "doc_id")
 
 
+def op4_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.grouped(documents(spark, folder).select("doc_id", "text"))
+
+
 def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprinted(documents(spark, folder))
 
@@ -47,6 +51,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
+    "op4_near_dups": op4_near_dups,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
