@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import byte_bpe, fingerprints, lines, mixing, near_dups, quality, token_counts, toxicity
+from fleetlens.llm import byte_bpe, fingerprints, lines, mixing, near_dups, pii, quality, token_counts, toxicity
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -47,6 +47,10 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judged(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found(documents(spark, folder), "doc_id")
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     deduped = lines.deduped(documents(spark, folder).select("doc_id", "text"))
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -60,5 +64,6 @@ QUERIES: dict[str, Query] = {
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
 }
