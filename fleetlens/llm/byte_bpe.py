@@ -29,6 +29,7 @@ from fleetlens.llm.batches import Columns, with_columns
 CACHED_PIECES = 600_000
 LONGEST_CACHED = 64
 SHORT_PIECE = 48
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 # Code points that count as white space in the pre-tokenisation pattern.
 WHITE_SPACE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -274,6 +275,14 @@ class Vocabulary:
         return self.bytes[np.arange(starts[-1]) + np.repeat(self.offsets[ids] - starts[:-1], sizes)].tobytes()
 
 
+def _digests(known: Vocabulary, packed: list[bytes]) -> Columns:
+    return [
+        [len(p) // 4 for p in packed],
+        [hashlib.sha256(p).hexdigest() for p in packed],
+        [hashlib.sha256(known.decode(p)).hexdigest() for p in packed],
+    ]
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -308,16 +317,22 @@ def decoded(rows: DataFrame, path: str, *carried: str) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
+def encoded_with_digests(docs: DataFrame, path: str, *carried: str) -> DataFrame:
+    """The carried columns, ids, and the columns of `digests`."""
+
+    def make(texts: list[str]) -> Columns:
+        known = vocabulary(path)
+        packed = [known.ids(found) for found in pieces(texts)]
+        return [[np.frombuffer(p, "<u4") for p in packed], *_digests(known, packed)]
+
+    return with_columns(docs, f"ids array<int>, {DIGESTS}", make, *carried)
+
+
 def digests(docs: DataFrame, path: str, *carried: str) -> DataFrame:
     """The carried columns, n_tokens, and the SHA-256 of the ids and of what they decode to."""
 
     def make(texts: list[str]) -> Columns:
         known = vocabulary(path)
-        packed = [known.ids(found) for found in pieces(texts)]
-        return [
-            [len(p) // 4 for p in packed],
-            [hashlib.sha256(p).hexdigest() for p in packed],
-            [hashlib.sha256(known.decode(p)).hexdigest() for p in packed],
-        ]
+        return _digests(known, [known.ids(found) for found in pieces(texts)])
 
-    return with_columns(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", make, *carried)
+    return with_columns(docs, DIGESTS, make, *carried)

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.llm.text import word_count
+from fleetlens.operators.sizes import broadcast_if_small
 from fleetlens.session import ensure_checkpoint_dir
 
 WEIGHTS = (3, 1, 2)
@@ -109,29 +110,48 @@ def thresholds(sized: DataFrame, aims: DataFrame) -> DataFrame:
     return bounds.drop("left")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), one row per row of `docs`.
+def _near(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """`rows` with the columns of their source's bounds, which are broadcast if few."""
+    small = broadcast_if_small(bounds.withColumnRenamed("source", "_s"))
+    return rows.join(small, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
-    `docs` has doc_id, text and source; other columns are ignored. An empty table gives
-    an empty result.
+
+def bounds_of(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, draw) of `docs`, and per source its target and threshold.
+
+    Both are written to the checkpoint folder, so texts are read once for all levels.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     sized = docs.select(
         "doc_id", "source", word_count("text").alias("size"), draw(F.col("doc_id")).alias("draw")
     ).checkpoint()
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    bounds = thresholds(sized, targets(sizes, weights, share, most).checkpoint())
-    once_more = (F.col("draw") < F.col("threshold")).cast("long")
+    return sized, thresholds(sized, targets(sizes, weights, share, most).checkpoint()).checkpoint()
+
+
+def copies() -> Column:
+    return F.col("passes") + (F.col("draw") < F.col("threshold")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken), one row per row of `docs`.
+
+    `docs` has doc_id, text and source; other columns are ignored. An empty table gives
+    an empty result.
+    """
+    sized, bounds = bounds_of(docs, weights, share, most)
     return (
-        sized.join(bounds.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("copies", F.col("passes") + once_more)
-        .select(
-            "doc_id",
-            "source",
-            "size",
-            "source_size",
-            "target",
-            "copies",
-            (F.col("copies") * F.col("size")).alias("taken"),
-        )
+        _near(sized, bounds)
+        .withColumn("copies", copies())
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The rows of `docs` the mix takes, each as often as it takes them."""
+    _, bounds = bounds_of(docs, weights, share, most)
+    kept = bounds.select("source", "passes", "threshold")
+    drawn = _near(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", draw(F.col("doc_id")).alias("draw")), kept)
+    taken = drawn.withColumn("copies", copies()).filter(F.col("copies") > 0)
+    again = taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return again.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

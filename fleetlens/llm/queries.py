@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import byte_bpe, fingerprints, lines, mixing, near_dups, pii, quality, token_counts, toxicity
+from fleetlens.llm import byte_bpe, fingerprints, lines, mixing, near_dups, pii, quality, scoring, token_counts, toxicity
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -19,6 +20,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.judged(documents(spark, folder), "doc_id")
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder))
 
@@ -57,6 +62,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_near_dups": op4_near_dups,
@@ -66,4 +72,5 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
