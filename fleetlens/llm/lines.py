@@ -97,17 +97,17 @@ def kept_text(lines: Column, bitmap: Column) -> Column:
 
 
 def deduped(docs: DataFrame, documents: int = DOCUMENTS, code_points: int = CODE_POINTS) -> DataFrame:
-    """`docs` with n_lines, n_dropped and kept_text added."""
-    maps = drop_bitmaps(docs, documents, code_points).select(
-        F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "n_dropped", "bitmap"
-    )
-    keyed = docs.drop("n_lines", "n_dropped", "kept_text", "bitmap").withColumn("_text_version", F.xxhash64(whole("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_version") == F.col("_version"))
-    lines = lines_of()
-    return (
-        keyed.join(maps, same, "left")
-        .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long")))
-        .withColumn("kept_text", F.when(F.col("bitmap").isNull(), whole("text")).otherwise(kept_text(lines, F.col("bitmap"))))
-        .drop("_id", "_version", "_text_version", "bitmap")
+    """`docs` with n_lines, n_dropped and kept_text; columns of these names give way."""
+    made = ("n_lines", "n_dropped", "kept_text")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.col("doc_id").alias("id"), whole("text").alias("text"))
+    keyed = keyed.withColumn("text_version", F.xxhash64("text"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_version") == F.col("version"))
+    joined = keyed.join(drop_bitmaps(docs, documents, code_points), same, "left")
+    kept = F.when(F.col("bitmap").isNull(), F.col("text")).otherwise(kept_text(lines_of(), F.col("bitmap")))
+    return joined.select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in made],
+        F.size(lines_of()).cast("long").alias("n_lines"),
+        F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"),
+        kept.alias("kept_text"),
     )

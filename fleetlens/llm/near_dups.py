@@ -261,7 +261,10 @@ def crossing(buckets: DataFrame, ties: DataFrame, parts: DataFrame) -> DataFrame
 
 
 def deduped(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each group, the one with the smallest id."""
-    kept = grouped(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """`docs` with one row of each group, the one with the smallest id; rows without an id stay."""
+    kept = grouped(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).filter("kept_id IS NOT NULL").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"))
+    named = rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id"]).select("row")
+    every = named.unionByName(rows.filter(F.col("id").isNull()).select("row"))
+    return every.select(*[F.col("row")[c].alias(c) for c in docs.columns])
