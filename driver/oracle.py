@@ -7,14 +7,16 @@ CTE = {
         ts AS sampled_at FROM events""",
     "stats": """SELECT *, avg(value) OVER w AS mean, coalesce(stddev_pop(value) OVER w, 0) AS std
         FROM r WINDOW w AS (PARTITION BY device, metric ORDER BY sampled_at
-        ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)""",
+        ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     "judged": """SELECT *, CASE WHEN value < 0.05 OR value > 300 THEN 'out_of_range'
-        WHEN std > 0 AND abs(value - mean) > 3.0 * std THEN 'spike' END AS finding FROM stats""",
+        WHEN std > 0 AND abs(value - mean) > 3.0 * std THEN 'spike' END AS finding FROM stats
+        WHERE metric <> 'view'""",
     "tail": """SELECT *, row_number() OVER (PARTITION BY device, metric ORDER BY sampled_at DESC) AS rn,
         (epoch_us(sampled_at) - epoch_us(lag(sampled_at) OVER
           (PARTITION BY device, metric ORDER BY sampled_at))) / 1e6 AS gap FROM r""",
-    "cond": """SELECT device, metric, avg(value) FILTER (WHERE rn <= 30) AS recent_mean,
-        max(gap) FILTER (WHERE rn <= 200) AS max_gap FROM tail GROUP BY device, metric""",
+    "cond": """SELECT device, metric, avg(value) FILTER (WHERE rn <= 5) AS recent_mean,
+        max(gap) FILTER (WHERE rn <= 8) AS max_gap FROM tail
+        WHERE metric <> 'view' GROUP BY device, metric""",
     "win": """SELECT device, metric, 'drift' AS type, 'warn' AS severity FROM cond
         WHERE abs(recent_mean - 50) > 25
         UNION ALL SELECT device, metric, 'offline_gap', 'critical' FROM cond WHERE max_gap > 864000""",
@@ -22,7 +24,8 @@ CTE = {
         GROUP BY device, type, severity""",
     "anom": """SELECT device, metric, reading_id, finding AS type,
         CASE finding WHEN 'spike' THEN 'warn' ELSE 'critical' END AS severity,
-        sampled_at AS detected_at, CAST(NULL AS TIMESTAMP) AS resolved_at
+        sampled_at AS detected_at,
+        CASE WHEN reading_id % 3 = 0 THEN sampled_at + INTERVAL 1 HOUR END AS resolved_at
         FROM judged WHERE finding IS NOT NULL
         UNION ALL SELECT device, metric, NULL, type, severity, TIMESTAMP '2024-01-31 00:00:00', NULL
         FROM guarded""",
@@ -55,9 +58,10 @@ CTE = {
     "valid": "SELECT * FROM msg WHERE value IS NOT NULL AND unit <> ''",
     "vstats": """SELECT *, avg(value) OVER w AS mean, coalesce(stddev_pop(value) OVER w, 0) AS std
         FROM valid WINDOW w AS (PARTITION BY device, metric ORDER BY sampled_at
-        ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)""",
+        ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     "vjudged": """SELECT *, CASE WHEN value < 0.05 OR value > 300 THEN 'out_of_range'
-        WHEN std > 0 AND abs(value - mean) > 3.0 * std THEN 'spike' END AS finding FROM vstats""",
+        WHEN std > 0 AND abs(value - mean) > 3.0 * std THEN 'spike' END AS finding FROM vstats
+        WHERE metric <> 'view'""",
     "lags": """SELECT event_type AS metric, ts AS sampled_at, greatest(0, kk - 5) AS lag,
         ts + to_seconds(kk - 5) AS ingested_at FROM k""",
     "hourly": """SELECT device, metric, date_trunc('hour', sampled_at) AS hour,
@@ -96,6 +100,12 @@ def _buckets(lag: str) -> str:
     return ", ".join(f"count(*) FILTER (WHERE {lag} <= {b}) AS {_name(b)}" for b in BOUNDS)
 
 
+def _shown(column: str, name: str) -> str:
+    """Three places, null within a hair of a half step."""
+    off = f"abs({column} * 1000 - floor({column} * 1000) - 0.5)"
+    return f"CASE WHEN {off} > 1e-4 THEN round({column}, 3) END AS {name}"
+
+
 def _sql(body: str, *fragments: str) -> str:
     order: list[str] = []
 
@@ -145,7 +155,7 @@ def statements() -> dict[str, str]:
         ),
         "unevaluated": _sql(
             "SELECT reading_id, device, metric FROM r "
-            "WHERE sampled_at > TIMESTAMP '2024-01-25 00:00:00'",
+            "WHERE sampled_at > TIMESTAMP '2024-01-25 00:00:00' OR metric = 'view'",
             "r",
         ),
         "bounded_eval": _sql(
@@ -155,16 +165,16 @@ def statements() -> dict[str, str]:
         ),
         "evaluation_view": _sql(
             f"SELECT reading_id, round(value, 6) AS value, {_STATS_COLUMNS}, "
-            "sampled_at <= TIMESTAMP '2024-01-25 00:00:00' AS evaluated FROM stats",
+            "sampled_at <= TIMESTAMP '2024-01-25 00:00:00' AND metric <> 'view' AS evaluated FROM stats",
             "stats",
         ),
         "evaluation_view_since": _sql(
             "SELECT reading_id, round(value, 6) AS value, round(avg(value) OVER w, 6) AS mean, "
             "round(coalesce(stddev_pop(value) OVER w, 0), 6) AS std, "
-            "sampled_at <= TIMESTAMP '2024-01-25 00:00:00' AS evaluated "
+            "sampled_at <= TIMESTAMP '2024-01-25 00:00:00' AND metric <> 'view' AS evaluated "
             "FROM r WHERE sampled_at >= TIMESTAMP '2024-01-24 00:00:00' "
             "WINDOW w AS (PARTITION BY device, metric ORDER BY sampled_at "
-            "ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)",
+            "ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)",
             "r",
         ),
         "eval_checkpoint": _sql(
@@ -221,13 +231,14 @@ def statements() -> dict[str, str]:
         ),
         "series_tail": _sql(
             "SELECT device, metric, sampled_at, round(value, 6) AS value, "
-            "round(rolling_mean_10, 6) AS rolling_mean_10 FROM pts",
+            "round(rolling_mean_10, 6) AS rolling_mean_10, "
+            f"{_shown('value', 'shown_value')}, {_shown('rolling_mean_10', 'shown_mean')} FROM pts",
             "pts",
         ),
         "rolling_full": _sql(
-            "SELECT device, metric, sampled_at, round(value, 6) AS value, round(avg(value) OVER "
+            "SELECT device, metric, sampled_at, round(value, 3) AS value, round(avg(value) OVER "
             "(PARTITION BY device, metric ORDER BY sampled_at "
-            "ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rolling_mean_10 FROM r",
+            "ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 3) AS rolling_mean_10 FROM r",
             "r",
         ),
         "series_band": _sql(
@@ -259,8 +270,8 @@ def statements() -> dict[str, str]:
         ),
         "genealogy": _sql(
             "SELECT reading_id, device, metric, round(value, 6) AS value, sampled_at, stage, status, "
-            "\"at\" FROM (SELECT *, 'ingested' AS stage, 'ok' AS status, sampled_at AS \"at\" FROM judged "
-            "UNION ALL SELECT *, 'validated', 'ok', sampled_at FROM judged "
+            "\"at\" FROM (SELECT *, NULL AS finding, 'ingested' AS stage, 'ok' AS status, sampled_at AS \"at\" FROM stats "
+            "UNION ALL SELECT *, NULL, 'validated', 'ok', sampled_at FROM stats "
             "UNION ALL SELECT *, 'enriched', 'ok', TIMESTAMP '2024-01-31 00:00:00' FROM judged "
             "UNION ALL SELECT *, 'evaluated', CASE WHEN finding IS NULL THEN 'ok' ELSE 'warn' END, "
             "TIMESTAMP '2024-01-31 00:00:00' FROM judged)",
@@ -282,9 +293,9 @@ def statements() -> dict[str, str]:
             "r",
         ),
         "latest_per_series": _sql(
-            "SELECT device, metric, round(value, 6) AS value, sampled_at, reading_id FROM r a "
-            "WHERE sampled_at = (SELECT max(b.sampled_at) FROM r b "
-            "WHERE b.device = a.device AND b.metric = a.metric)",
+            "SELECT device, metric, round(arg_max(value, sampled_at), 6) AS value, "
+            "max(sampled_at) AS sampled_at, arg_max(reading_id, sampled_at) AS reading_id "
+            "FROM r GROUP BY device, metric",
             "r",
         ),
         "latest_per_device": _sql(
@@ -398,8 +409,9 @@ def statements() -> dict[str, str]:
             "tail",
         ),
         "missing_hours": _sql(
-            "SELECT hb.device, slot FROM hb, generate_series(TIMESTAMP '2024-01-15 00:00:00', "
-            "TIMESTAMP '2024-01-15 23:00:00', INTERVAL 1 HOUR) g(slot) WHERE NOT EXISTS "
+            "SELECT hb.device, slot FROM hb, (SELECT unnest(generate_series(min(date_trunc('hour', "
+            "sampled_at)), max(date_trunc('hour', sampled_at)), INTERVAL 1 HOUR)) AS slot FROM r) "
+            "WHERE NOT EXISTS "
             "(SELECT 1 FROM r WHERE r.device = hb.device "
             "AND date_trunc('hour', r.sampled_at) = slot)",
             "hb", "r",
@@ -446,10 +458,46 @@ def statements() -> dict[str, str]:
             "SELECT device, metric, date_trunc('hour', sampled_at) AS hour, "
             "round(avg(value), 6) AS avg_value, round(min(value), 6) AS min_value, "
             "round(max(value), 6) AS max_value, count(*) AS n FROM msg "
-            "WHERE value IS NOT NULL AND sampled_at >= TIMESTAMP '2024-01-24 00:00:00' "
-            "GROUP BY 1, 2, 3",
+            "WHERE value IS NOT NULL AND unit <> '' GROUP BY 1, 2, 3",
+            "msg",
+        ),
+        "total_consumer_lag": _sql(
+            "SELECT 'ingester' AS consumer, sum(greatest(0, ends - done - 1))::BIGINT AS lag FROM "
+            "(SELECT max(source_offset) + 1 AS ends, max(source_offset) "
+            "FILTER (WHERE sampled_at <= TIMESTAMP '2024-01-25 00:00:00') AS done "
+            "FROM msg GROUP BY source_partition)",
+            "msg",
+        ),
+        "store_batch_stats": _sql(
+            "SELECT (count(*) + repeated)::BIGINT AS arrived, count(*) AS stored, repeated AS duplicates, "
+            "count(*) FILTER (WHERE value IS NULL OR unit = '') AS rejected, 0::BIGINT AS quarantined "
+            "FROM msg, (SELECT count(*) AS repeated FROM msg WHERE sampled_at > "
+            "TIMESTAMP '2024-01-15 00:00:00' AND sampled_at <= TIMESTAMP '2024-01-20 00:00:00') "
+            "GROUP BY repeated",
+            "msg",
+        ),
+        "store_offsets": _sql(
+            "SELECT 'ingester' AS consumer, source_topic AS topic, source_partition AS partition, "
+            "max(source_offset) AS last_offset FROM msg GROUP BY source_topic, source_partition",
             "msg",
         ),
+        "store_evaluated": _sql(
+            "SELECT device, metric, max(sampled_at) AS last_sampled_at, count(*) AS n, "
+            "CAST(least(count(*), 9) AS INTEGER) AS kept FROM valid WHERE metric <> 'view' "
+            "GROUP BY device, metric",
+            "valid",
+        ),
+        "batch_equals_sweep": _sql(
+            "SELECT device, metric, finding AS type, "
+            "CASE finding WHEN 'spike' THEN 'warn' ELSE 'critical' END AS severity, "
+            "sampled_at AS detected_at FROM vjudged WHERE finding IS NOT NULL",
+            "vjudged",
+        ),
+        "sweep_late": _sql(
+            f"SELECT device, metric, sampled_at, {_shown('mean', 'shown_mean')} FROM vjudged "
+            "WHERE source_offset % 7 = 0",
+            "vjudged",
+        ),
         "stream_stored": _sql(
             "SELECT metric, CAST(sampled_at AS DATE) AS day, count(*) AS n, "
             "count(*) FILTER (WHERE value IS NULL OR unit = '') AS rejected FROM msg GROUP BY 1, 2",
@@ -462,6 +510,12 @@ def statements() -> dict[str, str]:
             "r",
         ),
     }
+    for name in ("enrich_stats", "reading_gaps", "series_tail", "rolling_full"):
+        out[f"{name}_sliced"] = out[name]
+    out["hourly_of_store"] = out["stored_rollup"]
+    out["stored_rollup_since"] = (
+        f"SELECT * FROM ({out['stored_rollup']}) WHERE hour >= TIMESTAMP '2024-01-24 00:00:00'"
+    )
     seen = "WHERE EXISTS (SELECT 1 FROM hb WHERE hb.device = a.device)"
     for name, where in (("pareto", seen), ("pareto_all_devices", "")):
         out[name] = _sql(
@@ -499,8 +553,8 @@ def _alerts() -> str:
     sums = ", ".join(f"sum({_name(b)}) AS {_name(b)}" for b in BOUNDS)
     return _sql(
         f""", m AS (SELECT DISTINCT date_trunc('minute', ingested_at) AS minute FROM lags),
-        spine AS (SELECT minute FROM generate_series(TIMESTAMP '2024-01-15 00:00:00',
-          TIMESTAMP '2024-01-15 23:00:00', INTERVAL 1 MINUTE) g(minute)),
+        spine AS (SELECT unnest(generate_series(min(minute), max(minute), INTERVAL 1 MINUTE))
+          AS minute FROM m),
         idle AS (SELECT minute FROM spine s WHERE NOT EXISTS (SELECT 1 FROM m
           WHERE m.minute IN (s.minute, s.minute - INTERVAL 1 MINUTE))),
         per AS (SELECT date_trunc('minute', ingested_at) AS minute, count(*) AS n, {_buckets('lag')}

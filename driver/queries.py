@@ -30,8 +30,11 @@ from fleetlens.streaming.sweep import sweep
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The parameters all queries below share with their SQL twins.
-METRICS = ("click", "error", "purchase", "signup", "view")
+METRICS = ("click", "error", "purchase", "signup")  # "view" has no limits
 SETTINGS = Settings(
+    spike_window=6,
+    drift_window=5,
+    gap_lookback=8,
     gap_seconds=240 * 3600,
     limits=tuple(Limits(m, 0.05, 300.0, 50.0, 3.0, 25.0) for m in METRICS),
 )
@@ -40,7 +43,7 @@ RANGE = ("2024-01-10 00:00:00", "2024-01-11 00:00:00")
 WEEK_START = "2024-01-24 00:00:00"
 CHECKPOINT = "2024-01-25 00:00:00"
 MID_HOUR = "2024-01-15 12:30:00"
-SPINE = ("2024-01-15 00:00:00", "2024-01-15 23:00:00")
+SLICE_ROWS = 10  # so few that most series are cut
 ONLINE, STALE = 6 * 3600.0, 48 * 3600.0
 LONG_SILENCE = 24 * 3600.0
 POINTS = 8
@@ -106,7 +109,9 @@ def anomalies(spark: SparkSession, folder: str) -> DataFrame:
     points = detect.point_anomalies(detect.evaluate_points(rows, SETTINGS, most))
     state = detect.series_condition(rows, SETTINGS, most)
     windows = detect.guard(detect.window_anomalies(state, SETTINGS, AS_OF))
-    return points.unionByName(windows.withColumn("reading_id", F.col("reading_id").cast("long")))
+    found = points.unionByName(windows.withColumn("reading_id", F.col("reading_id").cast("long")))
+    settled = F.col("detected_at") + F.expr("INTERVAL 1 HOUR")
+    return found.withColumn("resolved_at", F.when(F.col("reading_id") % 3 == 0, settled))
 
 
 def stages(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,6 +134,13 @@ def enrich_stats(spark, folder):
     return rows.select("reading_id", "mean", "std")
 
 
+@query
+def enrich_stats_sliced(spark, folder):
+    """The same with nearly every series cut into time slices."""
+    rows = series.rolling_stats(readings(spark, folder), SETTINGS.spike_window, SLICE_ROWS)
+    return rows.select("reading_id", "mean", "std")
+
+
 @query
 def evaluate_points(spark, folder):
     rows = evaluated(spark, folder)
@@ -309,9 +321,37 @@ def reading_gaps(spark, folder):
     return investigate.reading_gaps(readings(spark, folder), LONG_SILENCE)
 
 
+@query
+def reading_gaps_sliced(spark, folder):
+    return investigate.reading_gaps(readings(spark, folder), LONG_SILENCE, max_rows=SLICE_ROWS)
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """Points with what is displayed of them; null within a hair of a half step, where
+    engines may round either way."""
+    named = {"raw_value": F.col("value"), "raw_mean": F.col("rolling_mean_10")}
+    rows = investigate.rounded(rows.withColumns(named))
+
+    def clear(raw: str, name: str):
+        off = F.abs(F.col(raw) * 1000 - F.floor(F.col(raw) * 1000) - 0.5)
+        return F.when(off > 1e-4, F.col(name))
+
+    return rows.select(
+        "device", "metric", "sampled_at", F.col("raw_value").alias("value"),
+        F.col("raw_mean").alias("rolling_mean_10"),
+        clear("raw_value", "value").alias("shown_value"),
+        clear("raw_mean", "rolling_mean_10").alias("shown_mean"),
+    )
+
+
 @query
 def series_tail(spark, folder):
-    return investigate.series_tail(readings(spark, folder), POINTS)
+    return shown(investigate.series_points(readings(spark, folder), POINTS))
+
+
+@query
+def series_tail_sliced(spark, folder):
+    return shown(investigate.series_points(readings(spark, folder), POINTS, max_rows=SLICE_ROWS))
 
 
 @query
@@ -319,6 +359,11 @@ def rolling_full(spark, folder):
     return investigate.series_history(readings(spark, folder))
 
 
+@query
+def rolling_full_sliced(spark, folder):
+    return investigate.series_history(readings(spark, folder), max_rows=SLICE_ROWS)
+
+
 @query
 def series_band(spark, folder):
     return investigate.series_band(investigate.series_points(readings(spark, folder), POINTS))
@@ -526,15 +571,24 @@ def ingest_checkpoint(spark, folder):
     return fleets.consumers(rows)
 
 
-@query
-def consumer_lag(spark, folder):
-    """Lag of a consumer that stopped at the checkpoint."""
+def lags(spark, folder) -> DataFrame:
     raw = wire.encode(messages(spark, folder).withColumn("_at", F.to_timestamp("sampled_at")))
     done = raw.filter(F.col("_at") <= F.lit(CHECKPOINT).cast("timestamp"))
     ends = raw.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("end_offset"))
     return quality.consumer_lag(ingest.consumer_offsets(done, AS_OF), ends)
 
 
+@query
+def consumer_lag(spark, folder):
+    """Lag of a consumer that stopped at the checkpoint."""
+    return lags(spark, folder)
+
+
+@query
+def total_consumer_lag(spark, folder):
+    return quality.total_lag(lags(spark, folder))
+
+
 @query
 def ingested_by_device(spark, folder):
     return ingest.ingested_by_device(ingest.with_validation(received(spark, folder)))
@@ -555,6 +609,12 @@ def lagged(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def extent(rows: DataFrame, time) -> tuple[str, str]:
+    """The first and the last moment of a table."""
+    ends = rows.agg(F.min(time).cast("string").alias("a"), F.max(time).cast("string").alias("b")).first()
+    return ends.a, ends.b
+
+
 @query
 def event_rate(spark, folder):
     return quality.event_rate(readings(spark, folder), "sampled_at", 1)
@@ -579,17 +639,19 @@ def gap_histogram(spark, folder):
 
 @query
 def missing_hours(spark, folder):
-    seen = heartbeats(spark, folder)
-    return rollup.missing_hours(readings(spark, folder), seen, *SPINE)
+    rows = readings(spark, folder)
+    hour = F.date_trunc("hour", F.col("sampled_at"))
+    return rollup.missing_hours(rows, heartbeats(spark, folder), *extent(rows, hour))
 
 
 @query
 def alerts(spark, folder):
-    """Minutes at which the pipeline would have alerted over the spine's day."""
+    """Minutes at which the pipeline would have alerted, from its first arrival to its last."""
     rows = quality.with_lag(lagged(spark, folder))
     behind = quality.behind_minutes(quality.in_flight(rows), limit=1)
+    minute = F.date_trunc("minute", F.col("ingested_at"))
     return quality.alerts(
-        quality.stalled_minutes(rows, *SPINE), quality.slow_minutes(rows), behind
+        quality.stalled_minutes(rows, *extent(rows, minute)), quality.slow_minutes(rows), behind
     )
 
 
@@ -675,10 +737,75 @@ def sweep_trail(spark, folder):
 
 @query
 def stored_rollup(spark, folder):
-    """The hourly rollup refreshed after each delivery, read since the week's start."""
+    """The hourly rollup refreshed after each delivery."""
+    return read_rollup(filled_store(spark, folder)).drop("sum_value")
+
+
+@query
+def stored_rollup_since(spark, folder):
+    """The same since the week's start, where only the days asked for are read."""
     return read_rollup(filled_store(spark, folder), WEEK_START).drop("sum_value")
 
 
+@query
+def hourly_of_store(spark, folder):
+    """The rollup on the fly over the stored readings: the same rule, the same rows."""
+    readings_of = filled_store(spark, folder).facts("reading")
+    return investigate.hourly_since(readings_of, "2024-01-01 00:00:00")
+
+
+@query
+def store_batch_stats(spark, folder):
+    """Counts of both deliveries added up; the second repeats what the first has stored."""
+    names = ("arrived", "stored", "duplicates", "rejected", "quarantined")
+    return filled_store(spark, folder).facts("batch_stats").agg(*[F.sum(n).alias(n) for n in names])
+
+
+@query
+def store_offsets(spark, folder):
+    rows = filled_store(spark, folder).state("offsets")
+    return rows.select("consumer", "topic", "partition", "last_offset")
+
+
+@query
+def store_evaluated(spark, folder):
+    """The state the sweeps keep per series."""
+    rows = filled_store(spark, folder).state("evaluated")
+    return rows.select("device", "metric", "last_sampled_at", "n", F.size("tail").alias("kept"))
+
+
+@query
+def batch_equals_sweep(spark, folder):
+    """Point findings of one pass over the stored readings, against the sweeps' own twin."""
+    found = detect.point_anomalies(
+        detect.evaluate_points(filled_store(spark, folder).facts("reading"), SETTINGS)
+    )
+    return found.select("device", "metric", "type", "severity", "detected_at")
+
+
+@query
+def sweep_late(spark, folder):
+    """Findings after a third delivery whose readings are far behind the state.
+
+    Every seventh message is held back until the others are stored and swept, with so
+    few rows a slice that a series' history is cut; each is judged in its true window.
+    """
+    raw = wire.encode(messages(spark, folder))
+    late = F.col("offset") % 7 == 0
+    store = Store(spark, scratch(spark))
+    for number, part in enumerate((raw.filter(~late), raw.filter(late))):
+        ingest_batch(store, part, number)
+        sweep(store, SETTINGS, max_rows=4 * SLICE_ROWS)
+        refresh_rollup(store)
+    held = store.stages().filter("stage = 'enriched'").select("reading_id", "detail")
+    stored = store.facts("reading")
+    judged = detect.evaluate_points(stored, SETTINGS).select("reading_id", F.col("mean").alias("exact"))
+    rows = stored.filter(F.col("source_offset") % 7 == 0).join(held, "reading_id").join(judged, "reading_id")
+    off = F.abs(F.col("exact") * 1000 - F.floor(F.col("exact") * 1000) - 0.5)
+    mean = F.get_json_object("detail", "$.mean").cast("double")
+    return rows.select("device", "metric", "sampled_at", F.when(off > 1e-4, mean).alias("shown_mean"))
+
+
 @query
 def stream_stored(spark, folder):
     """The events as a stream of messages through the ingest stream into the store."""

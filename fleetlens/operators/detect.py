@@ -27,9 +27,17 @@ SEVERITY = {OUT_OF_RANGE: "critical", SPIKE: "warn", DRIFT: "warn", OFFLINE_GAP:
 INGESTED, VALIDATED, ENRICHED, EVALUATED = "ingested", "validated", "enriched", "evaluated"
 OK, WARN, REJECT = "ok", "warn", "reject"
 
+
 def evaluable(readings: DataFrame) -> DataFrame:
-    """Readings with an ordinary number; one NaN would poison the 20 windows after it."""
-    return readings.filter(is_finite(F.col("value")))
+    """Readings that take part in windows, rules and rollups.
+
+    Ordinary numbers only, as one NaN would poison the 20 windows after it, and no
+    reading that ingest has rejected, where the rows tell.
+    """
+    usable = readings.filter(is_finite(F.col("value")))
+    if "reject_reason" in readings.columns:
+        usable = usable.filter(F.col("reject_reason").isNull())
+    return usable
 
 
 def judgeable(readings: DataFrame, settings: Settings) -> DataFrame:

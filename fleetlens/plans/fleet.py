@@ -19,7 +19,7 @@ from fleetlens.functions.expressions import (
     status_rank,
     timestamp_at,
 )
-from fleetlens.operators.series import latest_per_device, latest_per_series
+from fleetlens.operators.series import latest_per_device
 
 NO_LOCATION = "—"  # fixed value: label of devices without a location
 
@@ -172,7 +172,3 @@ def consumers(offsets: DataFrame) -> DataFrame:
         "topic", "partition", "consumer"
     )
 
-
-def latest(readings: DataFrame, carry=("value",)) -> DataFrame:
-    """The newest reading of every series."""
-    return latest_per_series(readings, carry)

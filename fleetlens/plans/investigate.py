@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetlens.functions.expressions import timestamp_at
-from fleetlens.operators.detect import mark_evaluated
+from fleetlens.operators.detect import evaluable, mark_evaluated
 from fleetlens.operators.rollup import hourly
 from fleetlens.operators.series import (
     MAX_ROWS,
@@ -20,6 +20,7 @@ from fleetlens.operators.series import (
 # Bounds and defaults of the report sizes, and the display band.
 SERIES_POINTS, SERIES_POINTS_MAX = 120, 2000
 RECENT, RECENT_MAX = 20, 200
+DISPLAYED = 3
 FLAGGED = 6
 BAND_SIGMA, BAND_SHARE, BAND_FLOOR = 1.5, 0.01, 0.2
 SEVERITIES = ("critical", "warn", "info")
@@ -62,9 +63,15 @@ def series_points(
     return points.select(*SERIES, "sampled_at", value, mean.alias("rolling_mean_10"))
 
 
+def rounded(rows: DataFrame) -> DataFrame:
+    """Values and rolling means as they are shown, to three places."""
+    shown = {c: F.round(c, DISPLAYED) for c in ("value", "rolling_mean_10")}
+    return rows.withColumns(shown)
+
+
 def series_tail(readings: DataFrame, limit: int = SERIES_POINTS, **choice) -> DataFrame:
     """`series_points`, oldest first."""
-    return series_points(readings, limit, **choice).orderBy(*SERIES, "sampled_at")
+    return rounded(series_points(readings, limit, **choice)).orderBy(*SERIES, "sampled_at")
 
 
 def series_history(
@@ -76,7 +83,7 @@ def series_history(
     as the table and is left unsorted.
     """
     rows = rolling_mean(narrow(readings, device, metric), 10, max_rows=max_rows)
-    rows = rows.select(*SERIES, "sampled_at", "value", "rolling_mean_10")
+    rows = rounded(rows.select(*SERIES, "sampled_at", "value", "rolling_mean_10"))
     return rows if device is None else rows.orderBy("metric", "sampled_at")
 
 
@@ -216,8 +223,8 @@ def metric_range(readings: DataFrame, devices: DataFrame, metric: str, start, en
 
 
 def hourly_since(readings: DataFrame, since) -> DataFrame:
-    """The hourly rollup computed on the fly from the readings since a moment."""
-    rows = readings.filter(F.col("sampled_at") >= timestamp_at(since))
+    """The hourly rollup computed on the fly from the usable readings since a moment."""
+    rows = evaluable(readings).filter(F.col("sampled_at") >= timestamp_at(since))
     return hourly(rows).drop("sum_value")
 
 

@@ -7,7 +7,7 @@ already aggregated rows, instead of a window function over one global sequence.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.functions.expressions import (
     LAG_BOUNDS_SECONDS,
@@ -123,15 +123,32 @@ def slow_minutes(
 def in_flight(readings: DataFrame) -> DataFrame:
     """Per minute the messages sampled before its start and ingested after it.
 
-    The total consumer lag as seen from the stored readings; a message counts in as
-    many minutes as it was late.
+    The total consumer lag as seen from the stored readings. Each late message is one
+    step up and one step down, added up per minute before anything is shuffled; the
+    running sum goes day by day, on top of what the days before have left. How late a
+    message was costs nothing, only the minutes of the answer are spread out.
     """
     minute = F.expr("INTERVAL 1 MINUTE")
     first = F.date_trunc("minute", F.col("sampled_at")) + minute
     last = F.date_trunc("minute", F.col("ingested_at"))
-    waiting = readings.filter(first <= last)
-    minutes = waiting.select(F.explode(F.sequence(first, last, minute)).alias("minute"))
-    return minutes.groupBy("minute").agg(F.count(F.lit(1)).alias("lag"))
+    up = F.struct(first.alias("minute"), F.lit(1).cast("long").alias("step"))
+    down = F.struct((last + minute).alias("minute"), F.lit(-1).cast("long").alias("step"))
+    steps = readings.filter(first <= last).select(F.inline(F.array(up, down)))
+    summed = steps.groupBy("minute").agg(F.sum("step").alias("step")).withColumn("day", F.to_date("minute"))
+    days = summed.groupBy("day").agg(F.sum("step").alias("rest"), F.min("minute").alias("opens"))
+    in_order = Window.orderBy("day")  # one row per day
+    days = days.select(
+        "day",
+        F.coalesce(F.sum("rest").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.lead("opens").over(in_order).alias("following"),
+    )
+    in_day = Window.partitionBy("day").orderBy("minute")
+    running = summed.select(
+        "day", "minute", F.sum("step").over(in_day).alias("lag"), F.lead("minute").over(in_day).alias("until")
+    ).join(days, "day")
+    level = running.select("minute", F.coalesce("until", "following").alias("until"), (F.col("lag") + F.col("before")).alias("lag"))
+    spans = level.filter((F.col("lag") > 0) & F.col("until").isNotNull())
+    return spans.select(F.explode(F.sequence("minute", F.col("until") - minute, minute)).alias("minute"), "lag")
 
 
 def behind_minutes(lag_per_minute: DataFrame, limit: int = LAG_LIMIT) -> DataFrame:

@@ -120,6 +120,14 @@ class Store:
                 return None
             raise
 
+    def commit_folder(self, writer: str) -> str:
+        """The folder of a writer's commits, made if the store is new."""
+        folder = f"{self.root}/commit/writer={writer}"
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(path)
+        return folder
+
     def refresh(self) -> Store:
         """Look for commits of other processes at the next read."""
         self._heads.clear()
@@ -214,6 +222,31 @@ class Store:
         paths = [f"{base}/seq={row.seq}/day={row.day}" for row in folders]
         return self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
 
+    def days_touched(self, writer: str, after: int, upto: int) -> list:
+        """The days the batches with number in (after, upto] have written, calendar days only."""
+        commits = self._commits(writer)
+        if commits is None:
+            return []
+        touched = commits.filter(F.col("seq").between(after + 1, upto))
+        return [row.day for row in touched.select(F.explode("days").alias("day")).distinct().collect()]
+
+    def newest_days(self, name: str, days: Callable[[Column], Column] | None = None) -> DataFrame:
+        """Rows of a table whose batches write whole days anew: each day as written last."""
+        table = FACTS[name]
+        head, commits = self.head(table.writer), self._commits(table.writer)
+        schema = f"{table.schema}, seq bigint"
+        folders = []
+        if commits is not None:
+            written = commits.filter(F.col("seq") <= head.seq).select("seq", F.explode("days").alias("day"))
+            if days is not None:
+                written = written.filter(days(F.col("day")))
+            folders = written.groupBy("day").agg(F.max("seq").alias("seq")).collect()  # one per day
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        base = f"{self.root}/{name}"
+        paths = [f"{base}/seq={row.seq}/day={row.day}" for row in folders]
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
+
     def days_of(self, name: str, seq: int) -> list:
         """The day folders a batch has written."""
         table = FACTS[name]

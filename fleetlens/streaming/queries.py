@@ -51,11 +51,10 @@ def start_sweeps(
 ) -> StreamingQuery:
     """Sweep and refresh the rollup whenever ingest has committed something.
 
-    The stream watches the ingest commits. Batches committed while a sweep runs are
+    The stream watches the ingest commits, also of a store that has none yet. Batches committed while a sweep runs are
     picked up together by the next one, so a slow sweep never holds ingest back.
     """
-    commits = f"{store.root}/commit/writer={INGEST}"
-    watched = store.spark.readStream.schema(_COMMITS).parquet(commits)
+    watched = store.spark.readStream.schema(_COMMITS).parquet(store.commit_folder(INGEST))
     every = None if drain else (seconds or settings.cycle_seconds)
     return (
         watched.writeStream.foreachBatch(lambda rows, batch: _sweep(store, settings))

@@ -1,4 +1,4 @@
-"""The stored hourly rollup, refreshed from new readings only."""
+"""The stored hourly rollup: one row per series and hour, refreshed from new readings only."""
 
 from __future__ import annotations
 
@@ -14,19 +14,23 @@ _CONSUMER = "rollup"
 
 
 def refresh_rollup(store: Store, now: datetime | None = None) -> bool:
-    """Add the readings ingested since the last refresh; False if there are none.
+    """Add the usable readings ingested since the last refresh; False if there are none.
 
-    Sums, counts and extremes of disjoint batches combine, so a refresh never reads
-    old readings again, also not when late ones touch an old day.
+    Sums, counts and extremes of disjoint readings combine, so a refresh never reads
+    old readings again. It writes the days anew that the new readings fall on, merged
+    with what was stored of these days; all other days stay as they are.
     """
     store.refresh()
     head, last = store.head(ROLLUP), store.head(INGEST).seq
     if head.read_upto >= last:
         return False
     seq = head.seq + 1
-    fresh = evaluable(store.facts("reading", after=head.read_upto, upto=last))
-    parts = hourly(fresh).withColumn("day", F.to_date("hour"))
-    store.write_facts("hourly", seq, parts.repartitionByRange("day", "metric", "device"))
+    touched = store.days_touched(INGEST, head.read_upto, last)
+    fresh = hourly(evaluable(store.facts("reading", after=head.read_upto, upto=last)))
+    before = store.newest_days("hourly", lambda day: day.isin(touched))
+    merged = merge_hourly(before.select(fresh.columns).unionByName(fresh))
+    rows = merged.withColumn("day", F.to_date("hour"))
+    store.write_facts("hourly", seq, rows.repartitionByRange("day", "metric", "device"))
     days = store.days_of("hourly", seq)
     store.commit(ROLLUP, seq, _CONSUMER, seq, now or utc_now(), read_upto=last, days=days)
     return True
@@ -35,7 +39,7 @@ def refresh_rollup(store: Store, now: datetime | None = None) -> bool:
 def read_rollup(store: Store, since=None) -> DataFrame:
     """One row per device, metric and hour; only the days asked for are read."""
     if since is None:
-        return merge_hourly(store.facts("hourly"))
+        return store.newest_days("hourly").drop("day", "seq")
     since = F.lit(since).cast("timestamp")
-    parts = store.facts("hourly", days=lambda day: day >= F.to_date(since))
-    return merge_hourly(parts.filter(F.col("hour") >= since))
+    rows = store.newest_days("hourly", lambda day: day >= F.to_date(since))
+    return rows.filter(F.col("hour") >= since).drop("day", "seq")

@@ -1,8 +1,10 @@
 """Incremental evaluation of everything ingested since the last sweep, in one job.
 
 The state of a series is its newest readings, as many as any rule looks back on. A
-sweep joins the new readings with the state of the series they belong to; its cost
-follows the number of new readings, not the length of the history.
+sweep joins the new readings with the state of the series they belong to. A reading so
+late that the state does not reach back to its window has its series looked up in the
+history, on the days that hold its window; such a series is cut into slices like any
+other that is too long for one task.
 """
 
 from __future__ import annotations
@@ -10,12 +12,12 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetlens.config import Settings
 from fleetlens.operators import detect
 from fleetlens.operators.series import MAX_ROWS, SERIES, newest, rolling_stats, rows_to_check
-from fleetlens.sources.store import INGEST, SWEEP, Store, utc_now
+from fleetlens.sources.store import INGEST, ROLLUP, SWEEP, Store, utc_now
 from fleetlens.streaming import together
 
 _CONSUMER = "processor"
@@ -42,14 +44,15 @@ def sweep(
     now = now or utc_now()
     seq = head.seq + 1
     fresh = store.facts("reading", after=head.read_upto, upto=last)
-    if max_rows is not None:
-        max_rows = rows_to_check(fresh, max_rows - settings.tail_rows)
-    fresh = fresh.filter(F.col("reject_reason").isNull())
+    fresh_rows = fresh
+    fresh = detect.evaluable(fresh)
     fresh = detect.with_limits(fresh, settings).select("reading_id", *SERIES, "sampled_at", "value")
     fresh = fresh.withColumn("fresh", F.lit(True))
-    rows = fresh.unionByName(
-        _context(store, fresh, head.read_upto, settings), allowMissingColumns=True
-    )
+    context, from_history = _context(store, fresh, head.read_upto, settings)
+    rows = fresh.unionByName(context, allowMissingColumns=True)
+    if max_rows is not None and not from_history:
+        # with the state, a series has at most its new readings and its tail
+        max_rows = rows_to_check(fresh_rows, max_rows - settings.tail_rows)
 
     stats = rolling_stats(rows, settings.spike_window, max_rows).filter("fresh").drop("fresh")
     judged = detect.judge(detect.with_limits(stats, settings)).persist(StorageLevel.DISK_ONLY)
@@ -69,12 +72,14 @@ def sweep(
     return True
 
 
-def _context(store: Store, fresh: DataFrame, read_upto: int, settings: Settings) -> DataFrame:
+def _context(
+    store: Store, fresh: DataFrame, read_upto: int, settings: Settings
+) -> tuple[DataFrame, bool]:
     """Earlier readings that the windows of the fresh ones reach back to.
 
     Normally these come from the state. A reading that arrived so late that the state
     no longer covers its window is judged against its true predecessors as well: the
-    few series concerned are read from the stored history.
+    few series concerned are read from the stored history, which the second result tells.
     """
     state = store.state("evaluated", ("n", "tail")).join(
         fresh.select(*SERIES).distinct(), list(SERIES), "left_semi"
@@ -85,16 +90,43 @@ def _context(store: Store, fresh: DataFrame, read_upto: int, settings: Settings)
     very_late = (
         fresh.join(partial, list(SERIES))
         .filter(F.col("sampled_at") <= F.col("_from"))
-        .select(*SERIES)
-        .distinct()
+        .groupBy(*SERIES)
+        .agg(F.to_date(F.min("sampled_at")).alias("_first"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    if very_late.isEmpty():
-        return _unpack(state)
-    history = store.facts("reading", upto=read_upto).filter(F.col("reject_reason").isNull())
-    history = history.join(very_late, list(SERIES), "left_semi")
-    return _unpack(state.join(very_late, list(SERIES), "left_anti")).unionByName(
+    try:
+        if very_late.isEmpty():
+            return _unpack(state), False
+        days = _days_before(store, very_late, read_upto, window)
+    finally:
+        very_late.unpersist()
+    chosen = None if days is None else lambda day: day >= F.lit(days)
+    history = detect.evaluable(store.facts("reading", upto=read_upto, days=chosen))
+    series = very_late.select(*SERIES)
+    history = history.join(series, list(SERIES), "left_semi")
+    return _unpack(state.join(series, list(SERIES), "left_anti")).unionByName(
         history.select(*SERIES, "sampled_at", "value", F.lit(False).alias("fresh"))
+    ), True
+
+
+def _days_before(store: Store, very_late: DataFrame, read_upto: int, window: int):
+    """The first day to read so that every late reading has `window` predecessors.
+
+    The stored rollup counts readings per hour; going back day by day from the day
+    before a series' first late reading, the window is full once the counts add up to
+    it. None, for all days, while the rollup is behind the sweep or a series is short.
+    """
+    if store.head(ROLLUP).read_upto < read_upto:
+        return None
+    counts = store.newest_days("hourly").groupBy(*SERIES, "day").agg(F.sum("n").alias("n"))
+    before = counts.join(very_late, list(SERIES)).filter(F.col("day") < F.col("_first"))
+    backwards = Window.partitionBy(*SERIES).orderBy(F.col("day").desc())
+    full = before.withColumn("_n", F.sum("n").over(backwards)).filter(F.col("_n") >= window)
+    starts = very_late.select(*SERIES).join(
+        full.groupBy(*SERIES).agg(F.max("day").alias("_start")), list(SERIES), "left"
     )
+    row = starts.agg(F.min("_start").alias("day"), F.count_if(F.col("_start").isNull()).alias("short")).first()
+    return None if row.short else row.day
 
 
 def _unpack(state: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from fleetlens.plans import investigate
 from fleetlens.sources.store import INGEST, Store
 from fleetlens.sources.tables import RAW
 from fleetlens.streaming.ingest import ingest_batch
+from fleetlens.streaming import sweep as sweeps_module
 from fleetlens.streaming.rollup import read_rollup, refresh_rollup
 from fleetlens.streaming.sweep import sweep
 
@@ -235,3 +236,62 @@ def test_incremental_reads_name_only_new_folders(spark, store):
     day = store.facts("reading", days=lambda day: day == F.lit("2026-01-02").cast("date"))
     assert all("/seq=2/day=2026-01-02/" in n for n in day.inputFiles()) and day.count() == 1
     assert store.facts("reading", days=lambda day: day < F.lit("2026-01-01").cast("date")).isEmpty()
+
+
+def test_one_rule_for_rejects(spark, store):
+    """Rejected readings are in no rollup, stored or on the fly, and no rule judges them."""
+    sent = series_of("d", [22.0, 23.0]) + [message("d", 99.0, START + timedelta(seconds=30), unit="")]
+    ingest_batch(store, raw(spark, sent), 0)
+    sweep(store, TEMP)
+    refresh_rollup(store)
+    stored = store.facts("reading")
+    assert stored.filter("reject_reason is not null").count() == 1
+    assert detect.evaluate_points(stored, TEMP).count() == 2
+    assert store.facts("anomaly").isEmpty()
+    fly = rows_of(investigate.hourly_since(stored, START), "n", "avg_value")
+    assert fly == rows_of(read_rollup(store), "n", "avg_value") == [(2, 22.5)]
+
+
+def test_rollup_keeps_one_row_per_hour(spark, store):
+    values = series_of("d", [20.0 + i for i in range(8)], step=10)
+    for number in range(4):
+        ingest_batch(store, raw(spark, values[2 * number : 2 * number + 2], first=2 * number), number)
+        refresh_rollup(store)
+    assert rows_of(read_rollup(store), "n", "min_value", "max_value") == [(8, 20.0, 27.0)]
+    late = series_of("d", [5.0], START - timedelta(days=2))
+    ingest_batch(store, raw(spark, late, first=50), 4)
+    refresh_rollup(store)
+    assert sorted(r.n for r in read_rollup(store).collect()) == [1, 8]
+
+
+def test_late_readings_read_only_the_days_they_need(spark, store):
+    small = Settings(limits=TEMP.limits, spike_window=3, drift_window=2, gap_lookback=4)
+    for day in range(6):
+        start = START + timedelta(days=day)
+        ingest_batch(store, raw(spark, series_of("d", [22.0 + day] * 6, start), first=10 * day), day)
+        sweep(store, small)
+        refresh_rollup(store)
+    late = series_of("d", [61.0], START + timedelta(days=3, hours=2))
+    ingest_batch(store, raw(spark, late, first=99), 6)
+    fresh = store.refresh().facts("reading", after=6).withColumn("fresh", F.lit(True))
+    context, from_history = sweeps_module._context(store, fresh, 6, small)
+    assert from_history
+    days = {str(r.sampled_at.date()) for r in context.collect()}
+    assert min(days) == str((START + timedelta(days=2)).date())
+    assert sweep(store, small, max_rows=4)
+    found = store.facts("anomaly").filter("reading_id is not null and type = 'out_of_range'")
+    assert found.count() == 1
+    trail = store.stages().filter("stage = 'enriched'").join(found.select("reading_id"), "reading_id")
+    # its window: three readings of its own day, 25 each, and itself
+    assert '"mean":34.0' in trail.first().detail
+
+
+def test_lag_of_very_late_messages_is_not_spread_over_readings(spark):
+    from fleetlens.plans import quality
+
+    rows = [(START, START + timedelta(minutes=m)) for m in (0, 3, 3, 90, 60 * 24 * 40)]
+    got = quality.in_flight(spark.createDataFrame(rows, "sampled_at timestamp, ingested_at timestamp"))
+    lags = {r.minute: r.lag for r in got.collect()}
+    naive = START.replace(tzinfo=None)
+    want = {naive + timedelta(minutes=m): sum(late >= m for late in (3, 3, 90, 60 * 24 * 40)) for m in range(1, 60 * 24 * 40 + 1)}
+    assert lags == want

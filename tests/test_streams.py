@@ -51,6 +51,18 @@ def test_files_to_store_and_sweeps(spark, store, tmp_path):
     assert found == ["drift", "offline_gap", "out_of_range", "spike"]
 
 
+def test_sweeps_of_a_new_store(spark, store, tmp_path):
+    """A sweep stream may be started before anything was ingested."""
+    sweeps = str(tmp_path / "sweeps")
+    streams.start_sweeps(store, Settings(), sweeps, drain=True).awaitTermination()
+    folder = tmp_path / "in"
+    drop_file(folder, "a.json", [message("d", 500.0, START)], 0)
+    source = file_stream(spark, str(folder))
+    streams.start_ingest(source, store, str(tmp_path / "mark"), seconds=None).awaitTermination()
+    streams.start_sweeps(store, Settings(), sweeps, drain=True).awaitTermination()
+    assert {r.type for r in store.refresh().facts("anomaly").collect()} == {"out_of_range", "drift"}
+
+
 def test_rate_stream_emits_closed_windows_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

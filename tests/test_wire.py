@@ -17,15 +17,16 @@ def decoded(spark, *values):
 
 
 def test_round_trip(spark):
-    fields = ("temp-01", "temp-probe", "temperature_c", 22.5, "C", "2026-01-01T00:00:00+00:00")
-    rows = spark.createDataFrame([(*fields, "rack-a", "1.4.2"), (*fields, None, None)], WIRE)
-    sent = wire.encode(rows).withColumns({"partition": F.lit(0), "offset": F.lit(0).cast("long")})
-    assert {r.key for r in sent.collect()} == {"temp-01"}
+    given = ("pump-7", "flow-meter", "litres_per_min", -3.75, "l/min", "2026-03-09T17:45:30.250000+00:00")
+    rows = spark.createDataFrame([(*given, "hall 2", "0.9-beta"), (*given, None, None)], WIRE)
+    sent = wire.encode(rows).withColumns({"partition": F.lit(2), "offset": F.lit(41).cast("long")})
+    assert {r.key for r in sent.collect()} == {"pump-7"}
     assert '"location":null' in sent.filter("value like '%null%'").first().value
     back = wire.decode(sent).orderBy(F.col("location").asc_nulls_last()).collect()
-    assert [(r.location, r.firmware) for r in back] == [("rack-a", "1.4.2"), (None, None)]
-    assert all(r.quarantine_reason is None and r.value == 22.5 for r in back)
-    assert all(r.sampled_at == datetime(2026, 1, 1) for r in back)
+    assert [(r.location, r.firmware) for r in back] == [("hall 2", "0.9-beta"), (None, None)]
+    assert all(r.quarantine_reason is None and r.value == -3.75 for r in back)
+    assert all(r.sampled_at == datetime(2026, 3, 9, 17, 45, 30, 250000) for r in back)
+    assert {(r.source_partition, r.source_offset) for r in back} == {(2, 41)}
 
 
 def test_tolerant_reader(spark):
