@@ -12,7 +12,6 @@ import os
 import statistics
 import time
 from collections.abc import Callable
-from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -76,7 +75,7 @@ def stored(spark: SparkSession, folder: str) -> dict[str, float]:
     """Bulk ingest, the stored rollup, and an incremental sweep of one day."""
     raw = wire.encode(q.messages(spark, folder).withColumn("_at", F.to_timestamp("sampled_at")))
     last_day = F.col("_at") >= F.lit("2024-01-30 00:00:00").cast("timestamp")
-    store = Store(spark, mkdtemp(prefix="fleetlens-bench-"))
+    store = Store(spark, q.scratch(spark))
     out = {}
 
     def once(name: str, run: Callable[[], object]) -> None:
