@@ -236,9 +236,11 @@ def statements() -> dict[str, str]:
             "pts",
         ),
         "rolling_full": _sql(
-            "SELECT device, metric, sampled_at, round(value, 3) AS value, round(avg(value) OVER "
-            "(PARTITION BY device, metric ORDER BY sampled_at "
-            "ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 3) AS rolling_mean_10 FROM r",
+            "SELECT device, metric, sampled_at, round(value, 6) AS value, "
+            "round(rolling_mean_10, 6) AS rolling_mean_10, "
+            f"{_shown('value', 'shown_value')}, {_shown('rolling_mean_10', 'shown_mean')} FROM "
+            "(SELECT *, avg(value) OVER (PARTITION BY device, metric ORDER BY sampled_at "
+            "ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS rolling_mean_10 FROM r)",
             "r",
         ),
         "series_band": _sql(
