@@ -5,12 +5,15 @@ hashes a document keeps the smallest and the largest, so that 125 evaluations gi
 signature of 250 values; bands of five are compared. Documents with equal sets are one
 class, and only a class's first document goes on.
 
-Within a bucket (equal band) nothing is paired with everything. Each document is tied
-to the first one of the bucket; of those ties the one that shares most bands is
-confirmed first, then those between documents not yet known to be connected, and last
-what buckets still hold of pairs between different components. So a large group of
-near copies costs about one comparison a document. Comparisons are made where the
-first document's set is: its text goes to each part of its group once.
+Within a bucket (equal band) nothing is paired with everything. Documents are tied to
+the most central one of the bucket, the one that meets most others over all bands; of
+each document's ties the one that shares most bands is confirmed first. After that,
+only buckets that still hold several components are looked at: the documents of the
+most central one's component are tied to the most central one outside it, and all
+others to the most central one. Rounds go on until one adds no link. So each round
+costs a few comparisons a document, however large a group is, and what is known to be
+connected is not compared again. Comparisons are made where the first document's set
+is: its text goes to each part of its group once.
 
 Rows that repeat an id are one document, linked by what any of its texts is linked by.
 Rows without an id are not compared: their component is null, and they are kept. Texts
@@ -37,8 +40,7 @@ PERCENT = 75
 PERMUTATIONS = 125
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
-# A link shares fewer bands than this with a chance of 2 in 100,000 at the threshold.
-LEAST_BANDS = 2
+TIES = 1_000_003
 SEED = 20240607
 AT_ONCE = 4096
 
@@ -189,13 +191,34 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long").distinct()
 
 
-def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose two documents are not in one component."""
-    u = parts.select(F.col("node").alias("u"), F.col("component").alias("_cu"))
-    v = parts.select(F.col("node").alias("v"), F.col("component").alias("_cv"))
-    joined = pairs.join(u, "u", "left").join(v, "v", "left")
-    differ = F.coalesce("_cu", F.col("u")) != F.coalesce("_cv", F.col("v"))
-    return joined.filter(differ).drop("_cu", "_cv")
+def ordered_by_centrality(members: DataFrame) -> DataFrame:
+    """(bucket, v, weight) of the buckets with two documents or more.
+
+    weight orders documents by the sizes of all their buckets; a hash of the id tells
+    equal ones apart.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
+    shared = members.join(sizes, "bucket").withColumnRenamed("doc_id", "v").checkpoint()
+    total = shared.groupBy("v").agg(F.sum("size").alias("met"))
+    weight = F.col("met") * TIES + F.pmod(F.xxhash64("v"), F.lit(TIES))
+    return shared.select("bucket", "v").join(total.select("v", weight.alias("weight")), "v").checkpoint()
+
+
+def ties(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(u, v, n_bands): the pairs to compare next, u a central document of v's bucket."""
+    known = parts.select(F.col("node").alias("v"), "component")
+    placed = buckets.join(known, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    spread = placed.groupBy("bucket").agg(
+        F.max_by("v", "weight").alias("u1"),
+        F.max_by("component", "weight").alias("c1"),
+        F.min("component").alias("_a"),
+        F.max("component").alias("_b"),
+    )
+    still_open = spread.filter("_a != _b").select("bucket", "u1", "c1")
+    held = placed.join(still_open, "bucket").checkpoint()
+    outside = held.filter("component != c1").groupBy("bucket").agg(F.max_by("v", "weight").alias("u2"))
+    tied = held.join(outside, "bucket").withColumn("u", F.when(F.col("component") == F.col("c1"), F.col("u2")).otherwise(F.col("u1")))
+    return tied.groupBy("u", "v").agg(F.count("*").alias("n_bands"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -216,26 +239,26 @@ def grouped(docs: DataFrame) -> DataFrame:
         .checkpoint()
     )
     heads = named.join(classes.select("s1", "s2", F.col("head").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
-    members = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("_last"))
-    shared = shared.filter(F.col("u") != F.col("_last")).drop("_last")
-    buckets = members.join(shared, "bucket").withColumnRenamed("doc_id", "v").checkpoint()
-
-    ties = buckets.filter(F.col("u") != F.col("v")).groupBy("u", "v").agg(F.count("*").alias("n_bands")).checkpoint()
-    wanted = ties.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    buckets = ordered_by_centrality(heads.select("doc_id", F.explode("bands").alias("bucket")))
+    wanted = buckets.select(F.col("v").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").checkpoint()
 
-    nearest = ties.groupBy("v").agg(F.max(F.struct("n_bands", (-F.col("u")).alias("minus_u"))).alias("best"))
-    first = nearest.select((-F.col("best.minus_u")).alias("u"), "v")
-    links = confirmed(first, texts).checkpoint()
-    parts = components(links).checkpoint()
-
-    rest = apart(ties.join(first, ["u", "v"], "left_anti").filter(F.col("n_bands") >= LEAST_BANDS).select("u", "v"), parts)
-    links = links.unionByName(confirmed(rest, texts)).checkpoint()
-    parts = components(links).checkpoint()
-
-    links = links.unionByName(confirmed(crossing(buckets, ties, parts), texts)).unionByName(copies)
-    ends = components(links).withColumnRenamed("node", "_node")
+    alone = buckets.select(F.col("v").alias("node"), F.col("v").alias("component")).limit(0)
+    every = ties(buckets, alone).checkpoint()
+    asked = every.groupBy("v").agg(F.max(F.struct("n_bands", (-F.col("u")).alias("minus_u"))).alias("best"))
+    pairs = in_order(asked.select((-F.col("best.minus_u")).alias("u"), "v")).checkpoint()
+    links = confirmed(pairs, texts).checkpoint()
+    parts, tested = components(links).checkpoint(), pairs
+    while True:
+        pairs = in_order(ties(buckets, parts)).join(tested, ["u", "v"], "left_anti").checkpoint()
+        more = confirmed(pairs, texts).checkpoint()
+        if more.isEmpty():
+            break
+        links = links.unionByName(more).checkpoint()
+        tested = tested.unionByName(pairs).checkpoint()
+        parts = components(links).checkpoint()
+
+    ends = components(links.unionByName(copies)).withColumnRenamed("node", "_node")
     return (
         prints.select("doc_id", "n_shingles")
         .join(ends, F.col("doc_id") == F.col("_node"), "left")
@@ -245,19 +268,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     )
 
 
-def crossing(buckets: DataFrame, ties: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components that were not ties, on enough bands.
-
-    Only buckets that hold more than one component are looked at.
-    """
-    known = parts.select(F.col("node").alias("v"), "component")
-    placed = buckets.select("bucket", "v").join(known, "v", "left").withColumn("component", F.coalesce("component", "v"))
-    mixed_ones = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    open_ones = placed.join(mixed_ones.filter("a != b").select("bucket"), "bucket", "left_semi").checkpoint()
-    other = open_ones.select("bucket", F.col("v").alias("u"), F.col("component").alias("_c"))
-    met = open_ones.join(other, "bucket").filter((F.col("u") < F.col("v")) & (F.col("component") != F.col("_c")))
-    enough = met.groupBy("u", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_BANDS)
-    return enough.join(ties.select("u", "v"), ["u", "v"], "left_anti").select("u", "v")
+def in_order(pairs: DataFrame) -> DataFrame:
+    """Each pair (u, v) once."""
+    return pairs.select("u", "v").filter(F.col("u") != F.col("v")).distinct()
 
 
 def deduped(docs: DataFrame) -> DataFrame:
