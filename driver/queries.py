@@ -432,6 +432,26 @@ def anomaly_table(spark, folder):
     return rows.drop("detail")
 
 
+@query
+def anomaly_details(spark, folder):
+    """The fields inside `detail`; rounded ones are held against the exact number."""
+    rows = investigate.with_detail_fields(anomalies(spark, folder))
+    means = evaluated(spark, folder).select("reading_id", F.col("mean").alias("_mean"))
+    tails = condition(spark, folder).select(
+        "device", "metric", F.col("recent_mean").alias("_recent"), F.col("max_gap_seconds").alias("_gap")
+    )
+    joined = rows.join(means, "reading_id", "left").join(tails, ["device", "metric"], "left")
+
+    def close(shown: str, exact: str, step: float):
+        return (F.abs(F.col(shown) - F.col(exact)) <= step * 0.5001).alias(f"{shown}_close")
+
+    return joined.select(
+        "device", "metric", "reading_id", "type", "value", "sigma", "lo", "hi", "baseline",
+        close("mean", "_mean", 0.001), close("recent_mean", "_recent", 0.001),
+        close("gap_seconds", "_gap", 0.1),
+    )
+
+
 @query
 def range_by_metric(spark, folder):
     return investigate.range_by_metric(readings(spark, folder, *RANGE), *RANGE)

@@ -21,6 +21,10 @@ from fleetlens.operators.series import (
 SERIES_POINTS, SERIES_POINTS_MAX = 120, 2000
 RECENT, RECENT_MAX = 20, 200
 DISPLAYED = 3
+DETAIL_FIELDS = (
+    "value double, mean double, sigma double, range array<double>, recent_mean double, "
+    "baseline double, gap_seconds double"
+)
 FLAGGED = 6
 BAND_SIGMA, BAND_SHARE, BAND_FLOOR = 1.5, 0.01, 0.2
 SEVERITIES = ("critical", "warn", "info")
@@ -203,6 +207,15 @@ def anomaly_table(anomalies: DataFrame) -> DataFrame:
     )
 
 
+def with_detail_fields(anomalies: DataFrame) -> DataFrame:
+    """The JSON `detail` as typed columns; null where a rule has no such field."""
+    parsed = anomalies.withColumn("_d", F.from_json("detail", DETAIL_FIELDS))
+    names = ("value", "mean", "sigma", "recent_mean", "baseline", "gap_seconds")
+    fields = [F.col(f"_d.{name}").alias(name) for name in names]
+    ends = [F.get("_d.range", F.lit(i)).alias(name) for i, name in enumerate(("lo", "hi"))]
+    return parsed.select(*anomalies.columns, *fields, *ends)
+
+
 def range_by_metric(readings: DataFrame, start, end) -> DataFrame:
     """Count and average per metric over an inclusive time range."""
     return (
