@@ -46,8 +46,6 @@ def repeated_words(found: Column) -> Column:
     Windows are compared by 64-bit hashes; only texts in which one occurs twice are
     sorted.
     """
-    starts = F.sequence(F.lit(0), F.size(found) - WINDOW)
-
     def of(hashes: Column) -> Column:
         at = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
 
@@ -63,8 +61,13 @@ def repeated_words(found: Column) -> Column:
         once = F.size(F.array_distinct(hashes)) == F.size(hashes)
         return F.when(once, F.lit(0)).otherwise(let(F.sort_array(at), positions))
 
-    hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get(found, i + j) for j in range(WINDOW)]))
-    return F.when(F.size(found) < WINDOW, F.lit(0)).otherwise(let(hashed, of))
+    def counted_in(own: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(own) - WINDOW)
+        hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get(own, i + j) for j in range(WINDOW)]))
+        return F.when(F.size(own) < WINDOW, F.lit(0)).otherwise(let(hashed, of))
+
+    # Bound here, as the optimizer may put the words' expression in place of their column.
+    return let(found, counted_in)
 
 
 def duplicate_lines(text: str | Column) -> Column:
@@ -168,14 +171,17 @@ def references(rows: DataFrame) -> DataFrame:
 def common_counts(short: Column, n_words: Column, common: Column) -> Column:
     """How often a text has each common word, and last how many other words."""
 
-    def times(word: Column) -> Column:
-        left = F.replace(short, F.concat(F.lit(" "), word, F.lit(" ")), F.lit(""))
-        return ((F.octet_length(short) - F.octet_length(left)) / (F.octet_length(word) + 2)).cast("long")
+    def counts(own: Column) -> Column:
+        def times(word: Column) -> Column:
+            left = F.replace(own, F.concat(F.lit(" "), word, F.lit(" ")), F.lit(""))
+            return ((F.octet_length(own) - F.octet_length(left)) / (F.octet_length(word) + 2)).cast("long")
+
+        return F.transform(common, times)
 
     def closed(each: Column) -> Column:
         return F.concat(each, F.array(n_words - F.aggregate(each, F.lit(0).cast("long"), lambda s, n: s + n)))
 
-    return let(F.transform(common, times), closed)
+    return let(let(short, counts), closed)
 
 
 def verdicts(rows: DataFrame, known: DataFrame) -> DataFrame:
