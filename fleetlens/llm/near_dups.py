@@ -15,6 +15,11 @@ costs a few comparisons a document, however large a group is, and what is known
 connected is not compared again. Comparisons are made where the first document's set
 is: its text goes to each part of its group once.
 
+Rounds only connect cheaply what is near central documents. At the end every bucket that
+still holds several components is compared exactly: all its pairs of different components
+are measured on full sets. A bucket is cut into blocks of bounded size for that, and each
+pair of blocks is one piece of work, so that no task holds a large bucket.
+
 Rows that repeat an id are one document, linked by what any of its texts is linked by.
 Rows without an id are not compared: their component is null, and they are kept. Texts
 without words have no shingles and are linked with nothing but rows of their id.
@@ -43,6 +48,9 @@ BANDS = 2 * PERMUTATIONS // ROWS
 TIES = 1_000_003
 SEED = 20240607
 AT_ONCE = 4096
+# Shingles in a block of a bucket; every document counts as SLOT more.
+BLOCK = 400_000
+SLOT = 256
 
 
 @lru_cache(maxsize=1)
@@ -204,10 +212,14 @@ def ordered_by_centrality(members: DataFrame) -> DataFrame:
     return shared.select("bucket", "v").join(total.select("v", weight.alias("weight")), "v").checkpoint()
 
 
+def with_component(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    known = parts.select(F.col("node").alias("v"), "component")
+    return buckets.join(known, "v", "left").withColumn("component", F.coalesce("component", "v"))
+
+
 def ties(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     """(u, v, n_bands): the pairs to compare next, u a central document of v's bucket."""
-    known = parts.select(F.col("node").alias("v"), "component")
-    placed = buckets.join(known, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    placed = with_component(buckets, parts)
     spread = placed.groupBy("bucket").agg(
         F.max_by("v", "weight").alias("u1"),
         F.max_by("component", "weight").alias("c1"),
@@ -221,6 +233,92 @@ def ties(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     return tied.groupBy("u", "v").agg(F.count("*").alias("n_bands"))
 
 
+def links_across(nodes: list[int], sides: list[int] | None, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between different nodes some of whose sets are similar enough, without cycles.
+
+    With sides, sets of the same side are not compared. Each set is counted against all
+    others at once, through the lists of sets that have a shingle.
+    """
+    own, sizes = np.array(nodes, np.int64), np.array([len(s) for s in sets], np.int64)
+    parent = {n: n for n in nodes}
+
+    def top(n: int) -> int:
+        while parent[n] != n:
+            parent[n] = n = parent[parent[n]]
+        return n
+
+    if len(parent) < 2 or not sizes.any():
+        return []
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    counts = np.bincount(ids)
+    starts, firsts = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+    out = []
+    for i, (first, size) in enumerate(zip(firsts.tolist(), sizes.tolist())):
+        held = ids[first : first + size]
+        lengths = counts[held]
+        at = np.repeat(starts[held] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        both = np.bincount(holders[at], minlength=len(sets))
+        near = (both > 0) & (100 * both >= PERCENT * (sizes + size - both)) & (own != own[i])
+        for j in np.flatnonzero(near[:i]).tolist():
+            if sides is None or sides[i] != sides[j]:
+                a, b = top(nodes[i]), top(nodes[j])
+                if a != b:
+                    parent[b] = a
+                    out.append((nodes[i], nodes[j]))
+    return out
+
+
+def missed(buckets: DataFrame, parts: DataFrame, texts: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between the components that share a bucket, from all pairs across them.
+
+    texts are (doc_id, text), sizes (doc_id, n_shingles); an id may have several of each.
+    """
+    placed = with_component(buckets, parts)
+    spread = placed.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
+    held = placed.join(spread.filter("_a != _b").select("bucket"), "bucket").select("bucket", "v", "component").distinct().checkpoint()
+    loads = sizes.groupBy("doc_id").agg(F.sum(F.col("n_shingles") + SLOT).alias("load")).withColumnRenamed("doc_id", "v")
+    blocks = held.join(loads, "v").groupBy("bucket").agg(F.ceil(F.sum("load") / block).cast("int").alias("blocks"))
+    cut = held.join(blocks, "bucket").withColumn("side", F.pmod(F.xxhash64("v", "bucket"), F.col("blocks")).cast("int"))
+    pieces = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pieces = pieces.select(
+        "bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "component", "v"
+    )
+    n = partitions(buckets)
+    rows = pieces.join(texts.select(F.col("doc_id").alias("v"), "text"), "v").drop("v")
+    ordered = rows.repartition(n, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, nodes, sides, sets = None, [], [], []
+
+        def settled() -> list[tuple[int, int]]:
+            return links_across(nodes, None if held[1] == held[2] else sides, sets) if held else []
+
+        def record(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"]
+            )
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = shingle_sets(["" if t is None else t for t in part.column("text").to_pylist()])
+                pieces = zip(*(part.column(c).to_pylist() for c in ("bucket", "low", "high")))
+                links = []
+                for piece, node, side, own in zip(
+                    pieces, part.column("component").to_pylist(), part.column("side").to_pylist(), found
+                ):
+                    if piece != held:
+                        links += settled()
+                        held, nodes, sides, sets = piece, [], [], []
+                    nodes.append(node)
+                    sides.append(side)
+                    sets.append(own)
+                yield record(links)
+        yield record(settled())
+
+    return ordered.mapInArrow(run, "u long, v long").distinct()
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of `docs` (doc_id, text)."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -242,6 +340,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     buckets = ordered_by_centrality(heads.select("doc_id", F.explode("bands").alias("bucket")))
     wanted = buckets.select(F.col("v").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").checkpoint()
+    sizes = named.select("doc_id", "n_shingles").join(wanted, "doc_id", "left_semi")
 
     alone = buckets.select(F.col("v").alias("node"), F.col("v").alias("component")).limit(0)
     every = ties(buckets, alone).checkpoint()
@@ -258,6 +357,7 @@ def grouped(docs: DataFrame) -> DataFrame:
         tested = tested.unionByName(pairs).checkpoint()
         parts = components(links).checkpoint()
 
+    links = links.unionByName(missed(buckets, parts, texts, sizes)).checkpoint()
     ends = components(links.unionByName(copies)).withColumnRenamed("node", "_node")
     return (
         prints.select("doc_id", "n_shingles")

@@ -72,6 +72,38 @@ def test_near_copies_of_many_kinds(spark, frame):
     assert got == {i: top(i) for i in ids}
 
 
+def test_links_between_documents_that_are_not_central(spark, frame):
+    """Two like documents whose shared buckets are full of others, more central and unlike both."""
+    rows, like = [], []
+    for case in range(6):
+        passage = [f"c{case}p{i}" for i in range(79)]
+        tail = lambda name, n: [f"c{case}{name}{i}" for i in range(n)]  # noqa: B023, E731
+        for family in range(8):
+            shared = passage + tail(f"f{family}t", 14)
+            rows += [(len(rows) + i, " ".join(shared[:-1] + [f"own{i}"])) for i in range(12)]
+        like.append((len(rows), len(rows) + 1))
+        rows += [(len(rows) + i, " ".join(passage + tail(name, 12))) for i, name in enumerate("ab")]
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.grouped(frame(rows)).collect()}
+    assert [(got[a], got[b]) for a, b in like] == [(a, a) for a, _ in like]
+    assert len(set(got.values())) == 6 * 9
+
+
+def test_buckets_in_blocks(spark, frame):
+    """However small the blocks of a bucket, all its pairs of different components are compared."""
+    near_dups.ensure_checkpoint_dir(spark)
+    draw = random.Random(3)
+    rows = []
+    for pair in range(20):
+        words = [f"p{pair}w{i}" for i in range(60)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, edited(words, 1, draw))]
+    buckets = spark.createDataFrame([(1, i, i) for i, _ in rows], "bucket long, v long, weight long")
+    none = spark.createDataFrame([], "node long, component long")
+    sizes = frame(rows).select("doc_id", F.lit(56).alias("n_shingles"))
+    for block in (near_dups.BLOCK, 1000):
+        links = near_dups.missed(buckets, none, frame(rows), sizes, block).collect()
+        assert sorted(sorted(r) for r in links) == [[2 * i, 2 * i + 1] for i in range(20)]
+
+
 def test_shingle_sets_are_sets_of_words():
     texts = ["A b c d e f", "a B c d e f", "a b c d e", "a b c d", "a b c  d ", "", " ", "a b c d e f a b c d e f"]
     sets = near_dups.shingle_sets(texts)
