@@ -64,6 +64,8 @@ BARE = ".,;:!?\"'“”„«»()[]{}*_#$%&|<>-"
 
 KINDS = 8
 FEATURES = KINDS + 3
+# Kinds that are neither negated nor reported: insults, aimed ones, threats.
+PLAIN = frozenset((0, 4, KINDS))
 
 
 class Grammar(NamedTuple):
@@ -109,12 +111,12 @@ class Weights(dict):
 
 
 def clause_of(found: list[str], at: int) -> tuple[int, int]:
-    """The clause a token is in, no further than a few words past the scopes."""
+    """The clause a token is in, from its first token to its end mark."""
     start = at
-    while start > 0 and at - start < 12 and found[start - 1][-1:] not in ENDS:
+    while start > 0 and found[start - 1][-1:] not in ENDS:
         start -= 1
     end = at
-    while end + 1 < len(found) and end - at < 12 and found[end][-1:] not in ENDS:
+    while end + 1 < len(found) and found[end][-1:] not in ENDS:
         end += 1
     return start, end + 1
 
@@ -149,7 +151,11 @@ def run_clause(clause: list[str], weights: Weights) -> list[tuple[int, float]]:
 
 
 def features(text: str, weights: Weights) -> list[float]:
-    """Per kind the weights of its insults, then threats, the best clause and the share of words."""
+    """Per kind the weights of its insults, then threats, the best clause and the share of words.
+
+    A clause is run once, from its start to its end. The best clause and the share take
+    only what is neither negated nor reported.
+    """
     out = [0.0] * FEATURES
     found = tokens(text)
     hits = [i for i, token in enumerate(found) if weights[token]]
@@ -158,13 +164,13 @@ def features(text: str, weights: Weights) -> list[float]:
         if at < done:
             continue
         start, end = clause_of(found, at)
-        emitted = run_clause(found[max(start, done) : end], weights)
         done = end
-        matched += len(emitted)
         total = 0.0
-        for kind, weight in emitted:
+        for kind, weight in run_clause(found[start:end], weights):
             out[kind] += weight
-            total += weight
+            if kind in PLAIN:
+                matched += 1
+                total += weight
         out[KINDS + 1] = max(out[KINDS + 1], total)
     out[KINDS + 2] = 100.0 * matched / max(1, len(found))
     return out

@@ -223,6 +223,19 @@ def test_clauses():
     assert toxicity.features("", weights) == [0.0] * toxicity.FEATURES
 
 
+def test_long_clauses():
+    """State holds over the whole clause; negated and reported insults are in no plain feature."""
+    weights = toxicity.Weights(toxicity.Grammar({"fool": 1.0}, {}))
+    far = " ".join(f"w{i}" for i in range(40))
+    kinds = lambda text: {k: v for k, v in enumerate(toxicity.features(text, weights)) if v}
+    assert kinds(f"he said {far} you fool") == {6: 1.0}
+    assert kinds(f'" {far} fool') == {2: 1.0}
+    assert kinds(f"not fool {far}. a day") == {1: 1.0}
+    share = 100 * 2 / 43
+    assert kinds(f"you fool {far} fool") == {4: 2.0, toxicity.KINDS + 1: 2.0, toxicity.KINDS + 2: share}
+    assert kinds(f"we kill {far} you") == {toxicity.KINDS: 1.0, toxicity.KINDS + 1: 1.0, toxicity.KINDS + 2: share / 2}
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
