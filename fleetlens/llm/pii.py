@@ -6,9 +6,10 @@ other secrets) get votes from labelers of three sorts: patterns of shape, gazett
 known beginnings and cue words, and context. Votes are counted over the whole corpus
 by pattern of votes, which is bounded by the number of labelers; expectation
 maximisation over those counts estimates how reliable each labeler is and how likely
-each pattern is personal data. With these as soft labels, and the base matches and
-their failures as further evidence, a logistic span classifier over votes and shape is
-fitted, and it decides about every candidate.
+each pattern is personal data. With these as soft labels a logistic span classifier
+over votes and shape is fitted, and it decides about every candidate. Base matches and
+their failures are no evidence for it, and nothing else is a candidate: no other
+national phone form, name, address or id number.
 
 Null and empty texts have no spans. Rows are judged by themselves, so repeated rows
 have equal spans. With no candidates in the corpus there is nothing to fit, and only
@@ -42,13 +43,15 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 LOOSE_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-]*[0-9])")
-KEY = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{4}[A-Z0-9]{16}|[A-Za-z]{2,5}_[A-Za-z0-9]{20,64}|[0-9a-f]{32,64})(?![A-Za-z0-9])")
-ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(password|passwd|pwd|secret|token|api_?key|access_?key)(\s{0,3}[=:]\s{0,3})([\"']?)([^\s\"'#*$%&|<>]{6,128})")
+KEY = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{4}[A-Z0-9]{16}|[A-Za-z]{2,5}_[A-Za-z0-9]{20,}+|[0-9a-f]{32,}+)(?![A-Za-z0-9])")
+ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(password|passwd|pwd|secret|token|api_?key|access_?key)(\s{0,3}[=:]\s{0,3})([\"']?)([^\s\"'#*$%&|<>]{6,}+)")
 DIGIT = re.compile(r"[0-9]")
 NAMES = ("passw", "pwd", "secret", "token", "key")
 
 # Beginnings of well-known keys, and words that announce personal data.
 KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "sk_", "pk_", "xoxb_", "glpat_")
+# Spans longer than this are as varied as can be asked of so many characters.
+VARIED = 64
 CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono", "+1"),
     "secret": ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key"),
@@ -118,7 +121,7 @@ def _votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     before, after = text[max(0, start - 24) : start], text[end : end + 2]
     digits = "".join(c for c in span if c.isdigit())
     cue = any(c in before.lower() for c in CUES[kind])
-    spread = len(set(span.lower())) / max(1, len(span))
+    spread = len(set(span.lower())) / max(1, min(VARIED, len(span)))
     if kind == "phone":
         shape = 1 if "(" in span or span.count("-") == 2 else 0
         known = 1 if digits[:1] not in ("0", "1") and digits[3:4] != "0" else -1

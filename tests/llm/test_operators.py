@@ -211,6 +211,20 @@ def test_personal_spans(spark, frame):
     assert masked == "call [phone] or [phone] now"
 
 
+def test_long_secrets(spark, frame):
+    """Secrets of any length are found and masked whole."""
+    draw = random.Random(6)
+    made = lambda letters, n: "".join(draw.choices(letters, k=n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    secrets = [made("0123456789abcdef", 128), "ghp_" + made(letters, 100), made(letters, 300), made(letters, 5000)]
+    texts = [f"key {secrets[0]} end", f"token {secrets[1]} end", f"token={secrets[2]} end", f'secret = "{secrets[3]}" end']
+    docs = frame(list(enumerate(texts)))
+    got = {r["doc_id"]: r["spans"] for r in pii.found(docs, "doc_id").collect()}
+    assert got == {i: f"secret:{t.index(s)}:{t.index(s) + len(s)}" for i, (t, s) in enumerate(zip(texts, secrets))}
+    masked = {r["doc_id"]: r["masked"] for r in pii.masked(docs, "doc_id").collect()}
+    assert masked == {i: t.replace(s, "[secret]") for i, (t, s) in enumerate(zip(texts, secrets))}
+
+
 def test_clauses():
     weights = toxicity.Weights(toxicity.Grammar({"fool": 1.0}, {"block": 2.0}))
     run = lambda text: toxicity.run_clause(toxicity.tokens(text), weights)
