@@ -8,7 +8,21 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import byte_bpe, fingerprints, lines, mixing, near_dups, pii, quality, scoring, token_counts, toxicity
+from fleetlens.llm import (
+    byte_bpe,
+    conversations,
+    filter_audit,
+    fingerprints,
+    lines,
+    mixing,
+    near_dups,
+    pii,
+    quality,
+    quality_net,
+    scoring,
+    token_counts,
+    toxicity,
+)
 
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -61,6 +75,18 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audited(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_net.judged(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(spark.read.parquet(f"{folder}/conversations.parquet")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_mixing": op2_mixing,
@@ -72,5 +98,8 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }

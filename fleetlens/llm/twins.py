@@ -64,4 +64,47 @@ FROM lines l LEFT JOIN shared s ON l.key = s.key
 GROUP BY row, doc_id
 """
 
-TWINS = {"op2_mixing": MIXING, "op10_line_dedup": LINE_DEDUP}
+FILTER_AUDIT = rf"""
+WITH texts AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '{WORD}') AS words,
+           min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+    FROM documents
+), failing AS (
+    SELECT doc_id, part,
+           CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+           + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+           + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 4 ELSE 0 END
+           + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+           + CASE WHEN least < doc_id THEN 16 ELSE 0 END AS mask
+    FROM texts
+), known AS (
+    SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), masks AS (
+    SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM failing LEFT JOIN known USING (doc_id) GROUP BY part, mask
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+    SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, CAST(list_sum(bits[1:step - 1]) AS BIGINT) AS prefix
+    FROM orders, range(1, 6) t(step)
+), counted AS (
+    SELECT part, filter_order, step, bit,
+           CAST(coalesce(sum(n) FILTER (mask & (coalesce(prefix, 0) | bit) = 0), 0) AS BIGINT) AS kept,
+           CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & coalesce(prefix, 0) = 0), 0) AS BIGINT) AS removed,
+           CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & coalesce(prefix, 0) > 0), 0) AS BIGINT) AS redundant,
+           CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+           CAST(coalesce(sum(good) FILTER (mask & bit > 0 AND mask & coalesce(prefix, 0) = 0), 0) AS BIGINT) AS good_lost,
+           CAST(coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & coalesce(prefix, 0) = 0), 0) AS BIGINT) AS toxic_lost
+    FROM masks, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley, letter AS filter
+FROM counted JOIN letters USING (bit)
+"""
+
+TWINS = {"op2_mixing": MIXING, "op10_line_dedup": LINE_DEDUP, "op11_filter_audit": FILTER_AUDIT}

@@ -4,9 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetlens.llm import byte_bpe, fingerprints, lines, mixing, near_dups, pii, quality, scoring, token_counts, toxicity
+from fleetlens.llm import (
+    byte_bpe,
+    conversations,
+    filter_audit,
+    fingerprints,
+    lines,
+    mixing,
+    near_dups,
+    pii,
+    quality,
+    quality_net,
+    scoring,
+    token_counts,
+    toxicity,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,6 +32,11 @@ def toxic(docs):
     return toxicity.judged(docs, labels)
 
 
+def good(docs):
+    labels = docs.sparkSession.createDataFrame([(1, 0), (3, 1), (None, 1), (7, None)], "doc_id long, quality int")
+    return quality_net.judged(docs, labels)
+
+
 OPERATORS = {
     "scoring": lambda d: scoring.judged(d, "doc_id"),
     "mixing": mixing.mix,
@@ -28,6 +48,7 @@ OPERATORS = {
     "toxicity": toxic,
     "pii": lambda d: pii.found(d, "doc_id"),
     "lines": lines.deduped,
+    "quality_net": good,
 }
 
 
@@ -67,3 +88,17 @@ def test_defined_results(odd):
     assert sized[0]["size"] == sized[2]["size"] == 0 and sized[6]["size"] == 12_000
     scores = {r["doc_id"]: r for r in scoring.judged(odd, "doc_id").collect()}
     assert scores[1]["log_likelihood"] == 0 and scores[1]["mean_log_likelihood"] is None
+
+
+def test_audit_of_odd_inputs(spark, odd, clashing, nothing):
+    labels = spark.createDataFrame([(3, 1, 0), (3, 0, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    rows = {(r["part"], r["filter_order"], r["step"]): r for r in filter_audit.audited(odd, labels).collect()}
+    assert {p for p, _, _ in rows} == {"", "s0", "s1"} and len(rows) == 3 * 600
+    # Of the two copies of one text the second goes, repeated ids and null ids are no copies.
+    assert sum(rows[p, "EABCD", 1]["removed"] for p in ("", "s0", "s1")) == 2
+    # Id 3 is there twice, in the same part, and labelled both ways.
+    assert rows["s1", "ABCDE", 1]["good_lost"] == rows["s1", "ABCDE", 1]["toxic_lost"] == 2
+    again = filter_audit.audited(clashing, labels.withColumn("n", F.lit("clash")))
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, rows.values()))
+    assert filter_audit.audited(nothing, labels).count() == 0
+    assert filter_audit.audited(odd, labels.limit(0)).agg(F.sum("good_lost")).first()[0] == 0
