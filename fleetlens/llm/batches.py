@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-BYTES = 4_000_000
+BYTES = 500_000
 
 Columns = list[list]
 

@@ -8,17 +8,19 @@ class, and only a class's first document goes on.
 Within a bucket (equal band) nothing is paired with everything. Documents are tied to
 the most central one of the bucket, the one that meets most others over all bands; of
 each document's ties the one that shares most bands is confirmed first. After that,
-only buckets that still hold several components are looked at: the documents of the
-most central one's component are tied to the most central one outside it, and all
-others to the most central one. Rounds go on until one adds no link. So each round
-costs a few comparisons a document, however large a group is, and what is known to be
-connected is not compared again. Comparisons are made where the first document's set
-is: its text goes to each part of its group once.
-
-Rounds only connect cheaply what is near central documents. At the end every bucket that
-still holds several components is compared exactly: all its pairs of different components
-are measured on full sets. A bucket is cut into blocks of bounded size for that, and each
-pair of blocks is one piece of work, so that no task holds a large bucket.
+only buckets that still hold several components are looked at: documents outside the
+most central one's component are tied to it and to the most central one outside. Rounds
+go on as long as they pay. So each round costs a few comparisons a document, however
+large a group is, and what is known to be connected is not compared again.
+Comparisons are made where the first document's set is: its text goes to each part of
+its group once.
+
+Rounds only connect cheaply what is near central documents. At the end all documents of
+buckets that still hold several components are compared by a prefix filter: of each set
+only the rarest shingles are looked at, as many as must hold one of any set that is
+similar enough, and pairs across components that share one of those are confirmed. So
+documents that are alike, but below the limit, meet through no shingle of their common
+part, and no link between documents that share a bucket is lost.
 
 Rows that repeat an id are one document, linked by what any of its texts is linked by.
 Rows without an id are not compared: their component is null, and they are kept. Texts
@@ -28,6 +30,7 @@ without words have no shingles and are linked with nothing but rows of their id.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,9 +51,15 @@ BANDS = 2 * PERMUTATIONS // ROWS
 TIES = 1_000_003
 SEED = 20240607
 AT_ONCE = 4096
-# Shingles in a block of a bucket; every document counts as SLOT more.
-BLOCK = 400_000
-SLOT = 256
+# Bytes hashed at once, and the longest word that is hashed letter by letter.
+PIECE = 250_000
+LONG_WORD = 4096
+WHITE = [bytes([c]) for c in (32, *range(9, 14))]
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+# Rounds end where fewer than one in so many comparisons gives a link.
+YIELD = 50
+# A key with over 1 / HOT_KEYS of all rows is hot; there are fewer than HOT_KEYS of them.
+HOT_KEYS = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -65,7 +74,7 @@ def constants() -> dict[str, np.ndarray]:
     letters[65:91] = letters[97:123]
     return {
         "letters": letters,
-        "base": odd(1),
+        "offsets": odd(LONG_WORD),
         "places": odd(SHINGLE),
         "lengths": odd(SHINGLE + 1),
         "factors": odd(PERMUTATIONS),
@@ -82,31 +91,71 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = constants()["base"]
-    inverse = np.array([pow(int(base[0]), -1, 2**64)], np.uint64)
-    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.repeat(x, n)]), dtype=np.uint64) for x in (base, inverse))
+def _long_word(raw: bytes, start: int, end: int) -> np.ndarray:
+    """The hash of a word of over LONG_WORD bytes, a piece at a time."""
+    made = hashlib.blake2b(digest_size=8)
+    for at in range(start, end, PIECE):
+        made.update(raw[at : min(at + PIECE, end)].lower())
+    return np.frombuffer(made.digest(), np.uint64)
+
+
+def _hashed(raw: bytes, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in a stretch that cuts none, and where they start.
+
+    A word is the sum of its letters, each times a factor of its place in the word.
+    """
+    fixed = constants()
+    data = np.frombuffer(raw, np.uint8, end - start, start)
+    word = (data != 32) & ((data < 9) | (data > 13))
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    lengths = ends - starts
+    places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    letters = fixed["letters"][data[word]] * fixed["offsets"][np.minimum(places, LONG_WORD - 1)]
+    sums = np.add.reduceat(letters, np.cumsum(lengths) - lengths)
+    hashes = mixed(sums + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        hashes[i] = _long_word(raw, start + int(starts[i]), start + int(ends[i]))[0]
+    return hashes, starts + start
+
+
+def _stretches(raw: bytes) -> Iterator[tuple[int, int]]:
+    """Consecutive stretches of about PIECE bytes that cut no word; a longer word is one."""
+    start = 0
+    while len(raw) - start > PIECE:
+        found = max(raw.rfind(space, start + 1, start + PIECE) for space in WHITE)
+        if found < 0:
+            after = SPACE.search(raw, start + PIECE)
+            found = after.start() if after else len(raw)
+        yield start, found
+        start = found
+    yield start, len(raw)
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where they start."""
+    found = []
+    for start, end in _stretches(raw):
+        if end - start > PIECE:  # one long word, perhaps after a space
+            inside = start + (raw[start : start + 1] in WHITE)
+            found.append((_long_word(raw, inside, end), np.array([inside])))
+        else:
+            found.append(_hashed(raw, start, end))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, ascending.
 
-    All words of the texts are hashed at once: prefix sums of letter times power give
-    the polynomial hash of any stretch, and moving sums of word hashes give shingles.
+    Words are hashed a bounded number of bytes at a time, of many short texts at once;
+    moving sums of word hashes give shingles.
     """
     fixed = constants()
-    raw = [t.encode() + b" " for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    word = ~space
-    before = np.concatenate([[True], space[:-1]])
-    starts = np.flatnonzero(word & before)
-    ends = np.flatnonzero(space & np.concatenate([[False], word[:-1]]))
-    powers, inverses = _powers(1 << max(20, int(len(data)).bit_length()))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(fixed["letters"][data] * powers[: len(data)], dtype=np.uint64)])
-    words = mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
+    words, starts = word_hashes(b" ".join(raw)) if raw else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     owners = np.searchsorted(np.cumsum(sizes), starts, side="right")
     counts = np.bincount(owners, minlength=len(texts))
     firsts = np.cumsum(counts) - counts
@@ -218,105 +267,115 @@ def with_component(buckets: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def ties(buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """(u, v, n_bands): the pairs to compare next, u a central document of v's bucket."""
+    """(u, v, n_bands): the pairs to compare next, u a central document of v's bucket.
+
+    v is outside the component of the bucket's most central document; u is that
+    document, and the most central one outside if v is neither it nor of its component.
+    """
     placed = with_component(buckets, parts)
     spread = placed.groupBy("bucket").agg(
-        F.max_by("v", "weight").alias("u1"),
-        F.max_by("component", "weight").alias("c1"),
+        F.max_by(F.struct(F.col("v").alias("u1"), F.col("component").alias("c1")), "weight").alias("top"),
         F.min("component").alias("_a"),
         F.max("component").alias("_b"),
     )
-    still_open = spread.filter("_a != _b").select("bucket", "u1", "c1")
-    held = placed.join(still_open, "bucket").checkpoint()
-    outside = held.filter("component != c1").groupBy("bucket").agg(F.max_by("v", "weight").alias("u2"))
-    tied = held.join(outside, "bucket").withColumn("u", F.when(F.col("component") == F.col("c1"), F.col("u2")).otherwise(F.col("u1")))
-    return tied.groupBy("u", "v").agg(F.count("*").alias("n_bands"))
+    still_open = spread.filter("_a != _b").select("bucket", "top.*")
+    outside = placed.join(still_open, "bucket").filter("component != c1")
+    second = outside.groupBy("bucket").agg(
+        F.max_by(F.struct(F.col("v").alias("u2"), F.col("component").alias("c2")), "weight").alias("top"),
+        F.min("component").alias("_a"),
+        F.max("component").alias("_b"),
+    )
+    among = second.filter("_a != _b").select("bucket", "top.*")
+    to_first = outside.select(F.col("u1").alias("u"), "v")
+    to_second = outside.join(among, "bucket").filter("component != c2").select(F.col("u2").alias("u"), "v")
+    return to_first.unionByName(to_second).groupBy("u", "v").agg(F.count("*").alias("n_bands"))
 
 
-def links_across(nodes: list[int], sides: list[int] | None, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between different nodes some of whose sets are similar enough, without cycles.
+def met(rows: DataFrame, groups: DataFrame, on: str, total: int) -> DataFrame:
+    """Inner join of rows with groups, one row (on, n, ...) for each key with n rows.
 
-    With sides, sets of the same side are not compared. Each set is counted against all
-    others at once, through the lists of sets that have a shingle.
+    Keys with many rows are few and broadcast, so none of them meets in one task.
     """
-    own, sizes = np.array(nodes, np.int64), np.array([len(s) for s in sets], np.int64)
-    parent = {n: n for n in nodes}
-
-    def top(n: int) -> int:
-        while parent[n] != n:
-            parent[n] = n = parent[parent[n]]
-        return n
-
-    if len(parent) < 2 or not sizes.any():
-        return []
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
-    counts = np.bincount(ids)
-    starts, firsts = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
-    out = []
-    for i, (first, size) in enumerate(zip(firsts.tolist(), sizes.tolist())):
-        held = ids[first : first + size]
-        lengths = counts[held]
-        at = np.repeat(starts[held] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        both = np.bincount(holders[at], minlength=len(sets))
-        near = (both > 0) & (100 * both >= PERCENT * (sizes + size - both)) & (own != own[i])
-        for j in np.flatnonzero(near[:i]).tolist():
-            if sides is None or sides[i] != sides[j]:
-                a, b = top(nodes[i]), top(nodes[j])
-                if a != b:
-                    parent[b] = a
-                    out.append((nodes[i], nodes[j]))
-    return out
+    is_hot = F.col("n") * HOT_KEYS > total
+    hot, cold = groups.filter(is_hot), groups.filter(~is_hot)
+    light = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
+    return light.unionByName(rows.join(F.broadcast(hot), on))
 
 
-def missed(buckets: DataFrame, parts: DataFrame, texts: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between the components that share a bucket, from all pairs across them.
-
-    texts are (doc_id, text), sizes (doc_id, n_shingles); an id may have several of each.
-    """
-    placed = with_component(buckets, parts)
-    spread = placed.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
-    held = placed.join(spread.filter("_a != _b").select("bucket"), "bucket").select("bucket", "v", "component").distinct().checkpoint()
-    loads = sizes.groupBy("doc_id").agg(F.sum(F.col("n_shingles") + SLOT).alias("load")).withColumnRenamed("doc_id", "v")
-    blocks = held.join(loads, "v").groupBy("bucket").agg(F.ceil(F.sum("load") / block).cast("int").alias("blocks"))
-    cut = held.join(blocks, "bucket").withColumn("side", F.pmod(F.xxhash64("v", "bucket"), F.col("blocks")).cast("int"))
-    pieces = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pieces = pieces.select(
-        "bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "component", "v"
-    )
-    n = partitions(buckets)
-    rows = pieces.join(texts.select(F.col("doc_id").alias("v"), "text"), "v").drop("v")
-    ordered = rows.repartition(n, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+def exploded(texts: DataFrame) -> DataFrame:
+    """(v, k, size, component, hash): a row for each shingle of each text of (v, component, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, nodes, sides, sets = None, [], [], []
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(["" if t is None else t for t in part.column("text").to_pylist()])
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                own = pa.array(np.repeat(np.arange(len(sets)), sizes))
+                hashes = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                kept = [part.column(c).take(own) for c in ("v", "k", "component")]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(np.repeat(sizes, sizes)), pa.array(hashes)], ["v", "k", "component", "size", "hash"]
+                )
 
-        def settled() -> list[tuple[int, int]]:
-            return links_across(nodes, None if held[1] == held[2] else sides, sets) if held else []
+    chosen = texts.select("v", F.xxhash64("v", "text").alias("k"), "component", "text")
+    return chosen.mapInArrow(run, "v long, k long, component long, size long, hash long")
 
-        def record(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"]
-            )
 
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = shingle_sets(["" if t is None else t for t in part.column("text").to_pylist()])
-                pieces = zip(*(part.column(c).to_pylist() for c in ("bucket", "low", "high")))
-                links = []
-                for piece, node, side, own in zip(
-                    pieces, part.column("component").to_pylist(), part.column("side").to_pylist(), found
-                ):
-                    if piece != held:
-                        links += settled()
-                        held, nodes, sides, sets = piece, [], [], []
-                    nodes.append(node)
-                    sides.append(side)
-                    sets.append(own)
-                yield record(links)
-        yield record(settled())
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """(hash, n, v, component, size): the rarest shingles of each text that others have too.
 
-    return ordered.mapInArrow(run, "u long, v long").distinct()
+    Two sets of a similarity of PERCENT or more share one of the size - needed + 1 first
+    shingles of each, in any order that is the same for both, where needed is PERCENT of
+    the size; here the rarest come first.
+    """
+    counts = sets.groupBy("hash").agg(F.count("*").alias("n")).checkpoint()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = met(sets, counts, "hash", total).groupBy("v", "k", "component", "size").agg(
+        F.sort_array(F.collect_list(F.struct("n", "hash"))).alias("every")
+    )
+    first = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1
+    return found.select("v", "component", "size", F.inline(F.slice("every", F.lit(1), first.cast("int")))).filter("n > 1")
+
+
+def missed(buckets: DataFrame, parts: DataFrame, texts: DataFrame, tested: DataFrame) -> DataFrame:
+    """All links (u, v) left between components that share a bucket; texts are (doc_id, text).
+
+    The documents of open buckets are compared by their rare shingles, each pair once
+    whatever the number of its buckets: a shingle that only one component has is left
+    out, and sizes must allow the similarity.
+    """
+    placed = with_component(buckets, parts)
+    spread = placed.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
+    held = placed.join(spread.filter("_a != _b").select("bucket"), "bucket").select("v", "component").distinct()
+    open_texts = texts.withColumnRenamed("doc_id", "v").join(held, "v").select("v", "component", "text")
+    rare = rare_shingles(exploded(open_texts).checkpoint()).checkpoint()
+    spread = rare.groupBy("hash").agg(F.count("*").alias("n"), F.min("component").alias("_a"), F.max("component").alias("_b"))
+    between = spread.filter("_a != _b").select("hash", "n").checkpoint()
+    both = met(rare.drop("n"), between, "hash", rare.count()).drop("n").checkpoint()
+    other = both.select("hash", *[F.col(c).alias(f"_{c}") for c in ("v", "component", "size")])
+    near = (
+        (F.col("v") < F.col("_v"))
+        & (F.col("component") != F.col("_component"))
+        & (100 * F.least("size", "_size") >= PERCENT * F.greatest("size", "_size"))
+    )
+    pairs = both.join(other, "hash").filter(near).select(F.col("v").alias("u"), F.col("_v").alias("v")).distinct()
+    known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return confirmed(pairs.join(known, ["u", "v"], "left_anti").checkpoint(), texts)
+
+
+def joined_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """`parts` (node, component) after more links (u, v)."""
+    name = lambda side: F.coalesce(F.col(f"_{side}"), F.col(side)).alias(side)
+    moved = links
+    for side in ("u", "v"):
+        known = parts.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        moved = moved.join(known, side, "left")
+    merged = components(moved.select(name("u"), name("v")))
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    old = parts.join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    # Nodes without a component so far are their own.
+    new = merged.join(parts.select("node"), "node", "left_anti")
+    return old.unionByName(new)
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -340,7 +399,6 @@ def grouped(docs: DataFrame) -> DataFrame:
     buckets = ordered_by_centrality(heads.select("doc_id", F.explode("bands").alias("bucket")))
     wanted = buckets.select(F.col("v").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").checkpoint()
-    sizes = named.select("doc_id", "n_shingles").join(wanted, "doc_id", "left_semi")
 
     alone = buckets.select(F.col("v").alias("node"), F.col("v").alias("component")).limit(0)
     every = ties(buckets, alone).checkpoint()
@@ -351,14 +409,16 @@ def grouped(docs: DataFrame) -> DataFrame:
     while True:
         pairs = in_order(ties(buckets, parts)).join(tested, ["u", "v"], "left_anti").checkpoint()
         more = confirmed(pairs, texts).checkpoint()
-        if more.isEmpty():
-            break
-        links = links.unionByName(more).checkpoint()
+        n_more = more.count()
+        if n_more:
+            parts = joined_parts(parts, more).checkpoint()
         tested = tested.unionByName(pairs).checkpoint()
-        parts = components(links).checkpoint()
+        if n_more * YIELD <= pairs.count():
+            break
 
-    links = links.unionByName(missed(buckets, parts, texts, sizes)).checkpoint()
-    ends = components(links.unionByName(copies)).withColumnRenamed("node", "_node")
+    last = missed(buckets, parts, texts, tested).checkpoint()
+    parts = joined_parts(parts, last).checkpoint()
+    ends = joined_parts(parts, copies).withColumnRenamed("node", "_node")
     return (
         prints.select("doc_id", "n_shingles")
         .join(ends, F.col("doc_id") == F.col("_node"), "left")

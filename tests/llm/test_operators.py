@@ -88,20 +88,50 @@ def test_links_between_documents_that_are_not_central(spark, frame):
     assert len(set(got.values())) == 6 * 9
 
 
-def test_buckets_in_blocks(spark, frame):
-    """However small the blocks of a bucket, all its pairs of different components are compared."""
+def test_open_buckets(spark, frame):
+    """All pairs of different components in a bucket are compared, each once over all buckets."""
     near_dups.ensure_checkpoint_dir(spark)
     draw = random.Random(3)
     rows = []
     for pair in range(20):
         words = [f"p{pair}w{i}" for i in range(60)]
         rows += [(2 * pair, " ".join(words)), (2 * pair + 1, edited(words, 1, draw))]
-    buckets = spark.createDataFrame([(1, i, i) for i, _ in rows], "bucket long, v long, weight long")
+    # Edits of one text, many of them about as similar as the limit.
+    base = [f"b{i}" for i in range(110)]
+    rows += [(100 + i, edited(base, draw.randint(1, 4), draw)) for i in range(80)]
+    sets = {}
+    for i, text in rows:
+        own = text.split()
+        sets[i] = {tuple(own[j : j + 5]) for j in range(len(own) - 4)}
+    like = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    want = {(a, b) for a in sets for b in sets if a < b and like(a, b)}
+    assert len([p for p in want if p[0] >= 100]) > 300
+    buckets = spark.createDataFrame([(b, i, i) for b in (1, 2) for i, _ in rows], "bucket long, v long, weight long")
     none = spark.createDataFrame([], "node long, component long")
-    sizes = frame(rows).select("doc_id", F.lit(56).alias("n_shingles"))
-    for block in (near_dups.BLOCK, 1000):
-        links = near_dups.missed(buckets, none, frame(rows), sizes, block).collect()
-        assert sorted(sorted(r) for r in links) == [[2 * i, 2 * i + 1] for i in range(20)]
+    no_pairs = spark.createDataFrame([], "u long, v long")
+    links = near_dups.missed(buckets, none, frame(rows).select("doc_id", "text"), no_pairs).collect()
+    assert sorted(map(tuple, links)) == sorted(want)
+    parts = spark.createDataFrame([(i, 100) for i, _ in rows if i > 102], "node long, component long")
+    some = {tuple(r) for r in near_dups.missed(buckets, parts, frame(rows).select("doc_id", "text"), no_pairs).collect()}
+    of = lambda i: 100 if i > 102 else i
+    assert some == {(a, b) for a, b in want if of(a) != of(b)}
+    first = spark.createDataFrame(sorted(want)[:50], "u long, v long")
+    rest = near_dups.missed(buckets, none, frame(rows).select("doc_id", "text"), first).collect()
+    assert {tuple(r) for r in rest} == want - set(sorted(want)[:50])
+
+
+def test_words_in_pieces(monkeypatch):
+    monkeypatch.setattr(near_dups, "LONG_WORD", 20)
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abXY", k=draw.choice([1, 3, 8, 20, 21, 70, 400]))) for _ in range(200)]
+    text = "  " + "".join(w + draw.choice([" ", "\n", " \t "]) for w in words)
+    whole = near_dups.shingle_sets([text, " ".join(words), "a b"])
+    monkeypatch.setattr(near_dups, "PIECE", 64)
+    near_dups.constants.cache_clear()
+    cut = near_dups.shingle_sets([text, " ".join(words), "a b"])
+    near_dups.constants.cache_clear()
+    assert all((a == b).all() for a, b in zip(whole, cut)) and (whole[0] == whole[1]).all()
+    assert len(whole[0]) == len({tuple(w.lower() for w in words[i : i + 5]) for i in range(196)})
 
 
 def test_shingle_sets_are_sets_of_words():
