@@ -10,9 +10,10 @@ determined, and a token counts as emitted once no open place is before it.
 No piece goes across the start of a run of spaces, so there the transducer is back in
 its first state. The map of a chunk of text (what the state before it still reads, the
 count of what lies between its first and last such start, what is left open) therefore
-composes associatively with the next one's; the maps of a text's chunks are combined
-by a doubling scan, which also tells the tokens before each chunk. Words met before
-come from a cache of state maps.
+composes associatively with the next one's. What is open stays in parts until a start
+closes it, so the transducer reads each character once, also where a text has no spaces.
+The maps of a text's chunks are combined in pairs; a doubling scan of them tells the
+tokens before each chunk. Short words met before come from a cache.
 
 Null and empty texts have no tokens. Every row is counted by itself, so repeated rows
 have equal results.
@@ -30,9 +31,11 @@ from fleetlens.llm.text import whole
 
 LIMIT = 4096
 CHUNK = 16_384
-CACHED_WORDS = 500_000
-CACHED_STATES = 100_000
-CACHED_PAIRS = 300_000
+CACHED_WORDS = 200_000
+CACHED_STATES = 10_000
+CACHED_PAIRS = 100_000
+# Longer words are counted anew each time.
+LONGEST_CACHED = 48
 MARK = "▁"
 
 Open = tuple[str, str | None, int]
@@ -159,7 +162,8 @@ class Transducer:
         """The first token of a word, found from its last one backwards."""
         state, lasts = self.start, []
         for char in word:
-            state, _ = self.step(state, char)
+            move = state.moves.get(char)
+            state, _ = move if move is not None else self.step(state, char)
             lasts.append(state.opens[-1][1])
         end = len(word)
         while end > len(lasts[end - 1]):
@@ -168,13 +172,13 @@ class Transducer:
 
 
 class ChunkMap(NamedTuple):
-    """What a chunk does to the state before it: open is what that state still reads,
-    closed the tokens from the first start of a run of spaces to the last, and rest what
-    follows the last; without such a start rest is None."""
+    """What a chunk does to the state before it: open is what that state still reads, in
+    parts, closed the tokens from the first start of a run of spaces to the last, and rest
+    what follows the last, in parts; without such a start rest is None."""
 
-    open: str
+    open: tuple[str, ...]
     closed: int
-    rest: str | None
+    rest: tuple[str, ...] | None
 
 
 class Words(dict):
@@ -190,18 +194,20 @@ class Words(dict):
         if more:  # no piece has a line end: it is a token by itself, and nothing goes across
             return self[first] + len(more) + sum(map(self.after_line_end, more))
         found = self.transducer.count(MARK + word)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = found
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
     def after_line_end(self, word: str) -> int:
         found = self.bare.get(word)
         if found is None:
             found = self.transducer.count(word)
-            if len(self.bare) >= CACHED_WORDS // 4:
-                self.bare.clear()
-            self.bare[word] = found
+            if len(word) <= LONGEST_CACHED:
+                if len(self.bare) >= CACHED_WORDS // 4:
+                    self.bare.clear()
+                self.bare[word] = found
         return found
 
 
@@ -250,48 +256,59 @@ class Counter:
         return total + (self.spaces(spaces - 1) if spaces > 1 else 0)
 
     def chunk_map(self, text: str) -> ChunkMap:
+        """The map of a chunk that does not begin inside a run of spaces."""
         lead = len(text) - len(text.lstrip(" "))
         first = text.find(" ", lead) if lead < len(text) else -1
         if first < 0:
-            return ChunkMap(text, 0, None)
+            return ChunkMap((text,), 0, None)
         bare = text.rstrip(" ")
         last = len(bare) if len(bare) < len(text) else len(bare[: bare.rfind(" ")].rstrip(" "))
-        return ChunkMap(text[:first], self.runs(text[first:last]), text[last:])
+        return ChunkMap((text[:first],), self.runs(text[first:last]), (text[last:],))
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """The map of a chunk and the one after it."""
         if a.rest is None:
-            m = self.chunk_map(a.open + b.open)
-            if b.rest is None:
-                return m
-            if m.rest is None:
-                return ChunkMap(m.open, b.closed, b.rest)
-            return ChunkMap(m.open, m.closed + self.runs(m.rest) + b.closed, b.rest)
+            return ChunkMap(a.open + b.open, b.closed, b.rest)
         if b.rest is None:
-            m = self.chunk_map(a.rest + b.open)
-            if m.rest is None:
-                return ChunkMap(a.open, a.closed, m.open)
-            return ChunkMap(a.open, a.closed + self.runs(m.open) + m.closed, m.rest)
-        return ChunkMap(a.open, a.closed + self.runs(a.rest + b.open) + b.closed, b.rest)
+            return ChunkMap(a.open, a.closed, a.rest + b.open)
+        return ChunkMap(a.open, a.closed + self.runs("".join(a.rest + b.open)) + b.closed, b.rest)
+
+    def chunks(self, text: str, chunk: int) -> list[ChunkMap]:
+        """Maps of the chunks of a text, cut where no run of spaces goes on."""
+        marked = " " + text.replace(MARK, " ")
+        out, start = [], 0
+        while start < len(marked):
+            end = start + chunk
+            while end < len(marked) and marked[end] == " ":
+                end += 1
+            out.append(self.chunk_map(marked[start:end]))
+            start = end
+        return out
+
+    def tokens(self, m: ChunkMap) -> int:
+        """Tokens of all that a map from the first chunk on has read."""
+        return self.runs("".join(m.open)) + m.closed + self.runs("".join(m.rest or ()))
 
     def scan(self, text: str, chunk: int = CHUNK) -> list[int]:
         """Tokens of the text up to the end of each chunk, by a doubling scan of the maps."""
-        if not text:
-            return []
-        marked = " " + text.replace(MARK, " ")
-        maps = [self.chunk_map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)]
+        maps = self.chunks(text, chunk) if text else []
         reach = 1
         while reach < len(maps):
             maps = maps[:reach] + [self.compose(a, b) for a, b in zip(maps, maps[reach:])]
             reach *= 2
-        return [self.runs(m.open) + m.closed + self.runs(m.rest or "") for m in maps]
+        return [self.tokens(m) for m in maps]
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
+        """Tokens of the text, its maps composed in pairs."""
         if not text:
             return 0
         if len(text) < chunk:
             return self.runs(" " + text.replace(MARK, " "))
-        return self.scan(text, chunk)[-1]
+        maps = self.chunks(text, chunk)
+        while len(maps) > 1:
+            pairs = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])]
+            maps = pairs + maps[len(maps) - len(maps) % 2 :]
+        return self.tokens(maps[0])
 
 
 @lru_cache(maxsize=4)
