@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from fleetlens.llm.batches import Columns, with_columns
 
-CACHED_PIECES = 600_000
+CACHED_PIECES = 150_000
 LONGEST_CACHED = 64
 SHORT_PIECE = 48
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -50,6 +51,11 @@ READ = np.array(
 )
 GROUP = 3
 BLOCK = 64
+# Characters of a text that are looked at together, and how far a symbol looks ahead.
+WINDOW = 400_000
+AHEAD = 3
+# Tokens decoded at once.
+DECODED = 100_000
 
 
 @lru_cache(maxsize=1)
@@ -134,8 +140,11 @@ def symbols(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return out
 
 
-def token_starts(read: np.ndarray) -> np.ndarray:
-    """Positions at which tokens start, by scans of transition functions."""
+def token_starts(read: np.ndarray, before: int = NEW) -> tuple[np.ndarray, int]:
+    """Positions at which tokens start, by scans of transition functions; and the state after.
+
+    before is the state that the first symbol meets.
+    """
     after, marked = automaton()
     n, span = len(read), BLOCK * GROUP
     blocks = -(-n // span)
@@ -154,14 +163,14 @@ def token_starts(read: np.ndarray) -> np.ndarray:
         composed = np.take_along_axis(functions[reach:], functions[:-reach].astype(np.intp), axis=1)
         functions = np.concatenate([functions[:reach], composed])
         reach *= 2
-    state = np.concatenate([[NEW], functions[:-1, NEW]]).astype(np.uint8)
+    state = np.concatenate([[before], functions[:-1, before]]).astype(np.uint8)
     marks = np.empty((blocks, BLOCK), np.uint8)
     for j, row in enumerate(grid):
         at = row + state
         marks[:, j] = marked.take(at)
         state = after.take(at)
     bits = np.unpackbits(marks.ravel()[:, None], axis=1)[:, 8 - GROUP :]
-    return np.flatnonzero(bits.ravel()[:n])
+    return np.flatnonzero(bits.ravel()[:n]), int(functions[-1, before])
 
 
 def pieces(texts: list[str]) -> list[list[str]]:
@@ -173,7 +182,7 @@ def pieces(texts: list[str]) -> list[list[str]]:
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     lengths = np.fromiter(map(len, filled), np.int64, len(filled))
     ends = np.cumsum(lengths)
-    starts = token_starts(symbols(points, ends - lengths))
+    starts, _ = token_starts(symbols(points, ends - lengths))
     cut = np.searchsorted(starts, ends).tolist()
     bounds = [*starts.tolist(), len(joined)]
     found = [joined[a:b] for a, b in zip(bounds, bounds[1:])]
@@ -187,6 +196,23 @@ def pieces(texts: list[str]) -> list[list[str]]:
     return out
 
 
+def pieces_in_windows(text: str, window: int = WINDOW) -> Iterator[list[str]]:
+    """The pre-tokens of one long text, those of some characters at a time.
+
+    The automaton goes on from window to window in the state it was left in; a symbol
+    depends on the characters after it, AHEAD at most.
+    """
+    state, begun = NEW, 0
+    for at in range(0, len(text), window):
+        points = np.frombuffer(text[at : at + window + AHEAD].encode("utf-32-le", "surrogatepass"), np.uint32)
+        firsts = np.zeros(0 if at else 1, np.int64)
+        starts, state = token_starts(symbols(points, firsts)[:window], state)
+        bounds = [begun, *(starts[starts + at > begun] + at).tolist()]
+        yield [text[a:b] for a, b in zip(bounds, bounds[1:])]
+        begun = bounds[-1]
+    yield [text[begun:]] if begun < len(text) else []
+
+
 class Vocabulary:
     """The ranks of a file, pair merging, and a cache of merged pieces."""
 
@@ -268,18 +294,35 @@ class Vocabulary:
         """The byte at which each token starts, and last the number of bytes."""
         return np.concatenate([[0], np.cumsum(self.lengths[np.frombuffer(packed, "<u4")])])
 
+    def decoded(self, packed: bytes) -> Iterator[bytes]:
+        """The bytes of the ids, some tokens at a time."""
+        for at in range(0, len(packed), 4 * DECODED):
+            part = packed[at : at + 4 * DECODED]
+            ids, starts = np.frombuffer(part, "<u4"), self.starts(part)
+            yield self.bytes[np.arange(starts[-1]) + np.repeat(self.offsets[ids] - starts[:-1], self.lengths[ids])].tobytes()
+
     def decode(self, packed: bytes) -> bytes:
-        ids = np.frombuffer(packed, "<u4")
-        starts = self.starts(packed)
-        sizes = self.lengths[ids]
-        return self.bytes[np.arange(starts[-1]) + np.repeat(self.offsets[ids] - starts[:-1], sizes)].tobytes()
+        return b"".join(self.decoded(packed))
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        if len(texts) == 1 and len(texts[0]) > WINDOW:
+            return [b"".join(self.ids(found) for found in pieces_in_windows(texts[0]))]
+        return [self.ids(found) for found in pieces(texts)]
+
+
+def _decoded_sha256(known: Vocabulary, packed: bytes) -> str:
+    made = hashlib.sha256()
+    for part in known.decoded(packed):
+        made.update(part)
+    return made.hexdigest()
 
 
 def _digests(known: Vocabulary, packed: list[bytes]) -> Columns:
     return [
         [len(p) // 4 for p in packed],
         [hashlib.sha256(p).hexdigest() for p in packed],
-        [hashlib.sha256(known.decode(p)).hexdigest() for p in packed],
+        [_decoded_sha256(known, p) for p in packed],
     ]
 
 
@@ -293,7 +336,7 @@ def encoded(docs: DataFrame, path: str, *carried: str) -> DataFrame:
 
     def make(texts: list[str]) -> Columns:
         known = vocabulary(path)
-        packed = [known.ids(found) for found in pieces(texts)]
+        packed = known.encoded(texts)
         return [[np.frombuffer(p, "<u4") for p in packed], [known.starts(p)[:-1] for p in packed]]
 
     return with_columns(docs, "ids array<int>, starts array<long>", make, *carried)
@@ -322,7 +365,7 @@ def encoded_with_digests(docs: DataFrame, path: str, *carried: str) -> DataFrame
 
     def make(texts: list[str]) -> Columns:
         known = vocabulary(path)
-        packed = [known.ids(found) for found in pieces(texts)]
+        packed = known.encoded(texts)
         return [[np.frombuffer(p, "<u4") for p in packed], *_digests(known, packed)]
 
     return with_columns(docs, f"ids array<int>, {DIGESTS}", make, *carried)
@@ -333,6 +376,6 @@ def digests(docs: DataFrame, path: str, *carried: str) -> DataFrame:
 
     def make(texts: list[str]) -> Columns:
         known = vocabulary(path)
-        return _digests(known, [known.ids(found) for found in pieces(texts)])
+        return _digests(known, known.encoded(texts))
 
     return with_columns(docs, DIGESTS, make, *carried)

@@ -38,6 +38,20 @@ def test_byte_bpe_equals_library(reference):
         assert known.decode(packed).decode() == text
 
 
+def test_windows_of_long_texts(reference, monkeypatch):
+    known = byte_bpe.vocabulary(RANKS)
+    for text in texts("ab'strevmld  \n\t\r　é9½٣!?\"#中😀\x1c\x85ﬁ", 400) + ["", "x'll's", "a" * 50, " " * 41 + "b"]:
+        for window in (1, 2, 3, 7):
+            found = [p for some in byte_bpe.pieces_in_windows(text, window) for p in some]
+            assert found == byte_bpe.pieces([text])[0]
+    monkeypatch.setattr(byte_bpe, "WINDOW", 1000)
+    monkeypatch.setattr(byte_bpe, "DECODED", 7)
+    text = "It's 'll   we've\n\n中 " * 300
+    (packed,) = known.encoded([text])
+    assert np.frombuffer(packed, "<u4").tolist() == reference.encode_ordinary(text)
+    assert known.decode(packed).decode() == text
+
+
 def test_classes_equal_the_pattern(reference):
     points = [p for p in range(0, 0x110000, 13) if not 0xD800 <= p < 0xE000]
     samples = [f"a{chr(p)} {chr(p)}1{chr(p)}!" for p in points]
