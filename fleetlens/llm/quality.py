@@ -13,6 +13,8 @@ empty table gives none.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.llm.text import SPACES, let, whole, words
@@ -217,11 +219,12 @@ def judged(docs: DataFrame, *carried: str) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the rules keep, with the columns they have.
 
-    Whole texts are not written twice: the references come from a first pass over the
-    texts, the verdicts from a second.
+    The counts are made once and written with the rows, in the shared folder; references
+    and verdicts are read from there.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    known = references(counted(docs)).checkpoint()
+    folder = f"{ensure_checkpoint_dir(docs.sparkSession)}/quality-{uuid4().hex}"
     whole_row = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    good = verdicts(counted(whole_row, "_row"), known).filter("kept")
+    counted(whole_row, "_row").write.parquet(folder)
+    rows = docs.sparkSession.read.parquet(folder)
+    good = verdicts(rows, references(rows.drop("_row")).checkpoint()).filter("kept")
     return good.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
