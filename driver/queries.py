@@ -22,6 +22,7 @@ from fleetlens.sources import wire
 from fleetlens.sources.store import Store
 from fleetlens.sources.tables import GENERATED, customers_as_devices, events_as_readings, table
 from fleetlens.streaming import queries as streams
+from fleetlens.streaming import stateful
 from fleetlens.streaming.ingest import ingest_batch
 from fleetlens.streaming.queries import start_ingest
 from fleetlens.streaming.rollup import read_rollup, refresh_rollup
@@ -36,7 +37,7 @@ SETTINGS = Settings(
     drift_window=5,
     gap_lookback=8,
     gap_seconds=240 * 3600,
-    limits=tuple(Limits(m, 0.05, 300.0, 50.0, 3.0, 25.0) for m in METRICS),
+    limits=tuple(Limits(m, 0.05, 300.0, 50.0, 2.0, 25.0) for m in METRICS),
 )
 AS_OF = "2024-01-31 00:00:00"
 RANGE = ("2024-01-10 00:00:00", "2024-01-11 00:00:00")
@@ -843,20 +844,83 @@ def stream_stored(spark, folder):
     )
 
 
+def landed(spark: SparkSession, folder: str, place: str, parts: list[DataFrame]) -> None:
+    """Raw messages as JSON-lines files, part after part; a device's go to one file of a part."""
+    for part in parts:
+        rows = part.select("key", "value", "topic", "partition", "offset")
+        rows.repartition(2, "key").write.mode("append").json(place)
+
+
 @query
 def stream_rate(spark, folder):
-    """Events per second of a stream with a watermark; only closed windows are emitted."""
+    """Events per second of a stream, complete, however late an event is."""
     events = spark.readStream.schema(GENERATED["events"])
     source = events.option("pathGlobFilter", "events.parquet").parquet(folder)
     rows = source.select(F.col("ts").cast("timestamp").alias("sampled_at"))
-    rates = streams.stream_rate(rows, "sampled_at", minutes=1, late="5 minutes")
     place = scratch(spark)
-    stream = (
-        rates.writeStream.format("parquet")
-        .option("path", f"{place}/rates")
-        .option("checkpointLocation", f"{place}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
+    stateful.start_rate(rows, "sampled_at", f"{place}/rates", f"{place}/checkpoint", seconds=None).awaitTermination()
+    return stateful.read_rate(spark, f"{place}/rates")
+
+
+def first_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """Both deliveries as files, through the stream that drops repeats, stopped and started
+    again before the second; its first part is delivered twice."""
+    place = scratch(spark)
+    early, late = delivered(spark, folder)
+
+    def drain():
+        rows = stateful.first_readings(wire.file_stream(spark, f"{place}/in", files_per_batch=1))
+        stateful.drained(rows, f"{place}/out", f"{place}/checkpoint").awaitTermination()
+
+    landed(spark, folder, f"{place}/in", [early, early])
+    drain()
+    landed(spark, folder, f"{place}/in", [late])
+    drain()
+    return spark.read.parquet(f"{place}/out")
+
+
+@query
+def stream_first_readings(spark, folder):
+    """Readings of a stream with repeats in a micro-batch, across them and after a restart."""
+    rows = first_readings(spark, folder)
+    return rows.select(
+        "device", "metric", "sampled_at", "source_offset", F.when(~F.isnan("value"), F.col("value")).alias("value"),
+        F.coalesce("reject_reason", F.lit("ok")).alias("reason"),
     )
-    stream.awaitTermination()
-    return spark.read.schema(rates.schema).parquet(f"{place}/rates")
+
+
+def streamed_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """All messages in order of time as files, evaluated by a stream that is stopped half way."""
+    place = scratch(spark)
+    raw = wire.encode(messages(spark, folder).withColumn("_at", F.to_timestamp("sampled_at")))
+    first, second = (F.lit(text).cast("timestamp") for text in DELIVERIES)
+    at = F.col("_at")
+    parts = [raw.filter(at <= first), raw.filter((at > first) & (at <= second)), raw.filter(at > second)]
+
+    def drain():
+        rows = ingest.with_validation(wire.decode(wire.file_stream(spark, f"{place}/in", files_per_batch=1)))
+        rows = rows.filter("quarantine_reason IS NULL").withColumn("reading_id", F.col("source_offset"))
+        stateful.drained(stateful.evaluated(rows, SETTINGS), f"{place}/out", f"{place}/checkpoint").awaitTermination()
+
+    landed(spark, folder, f"{place}/in", parts[:2])
+    drain()
+    landed(spark, folder, f"{place}/in", parts[2:])
+    drain()
+    return spark.read.schema(stateful.EVALUATED).parquet(f"{place}/out")
+
+
+@query
+def stream_evaluated(spark, folder):
+    """Every reading of the stream with its window and finding."""
+    rows = stateful.point_findings(streamed_evaluation(spark, folder), SETTINGS)
+    return rows.select("device", "metric", F.col("reading_id").cast("long").alias("source_offset"),
+                       "mean", "std", F.coalesce("finding", F.lit("ok")).alias("finding"))
+
+
+@query
+def stream_findings(spark, folder):
+    """Anomalies of all four rules from the stream's own state."""
+    rows = streamed_evaluation(spark, folder)
+    points = detect.point_anomalies(stateful.point_findings(rows, SETTINGS))
+    found = points.unionByName(stateful.window_findings(rows, SETTINGS, AS_OF))
+    return found.select("device", "metric", F.col("reading_id").cast("long").alias("source_offset"), "type", "severity", "detected_at")

@@ -31,10 +31,6 @@ _COMMIT = (
     "consumer string, batch_id bigint, snapshot_seq bigint, read_upto bigint, days array<date>, "
     "at timestamp"
 )
-_HOURLY = (
-    "device string, metric string, hour timestamp, avg_value double, min_value double, "
-    "max_value double, n bigint, sum_value double"
-)
 _QUARANTINE = (
     "raw_value string, source_topic string, source_partition int, source_offset bigint, "
     "reason string, at timestamp"
@@ -80,7 +76,6 @@ FACTS = {
     "batch_stats": Facts(INGEST, STATS),
     "sweep_stage": Facts(SWEEP, tables.STAGE, ("stage",), ("reading_id",)),
     "anomaly": Facts(SWEEP, tables.ANOMALY, ("type",)),
-    "hourly": Facts(ROLLUP, _HOURLY + ", day date", ("day",)),
 }
 STATES = {
     "device": State(INGEST, tables.DEVICE, ("device",)),
@@ -222,37 +217,6 @@ class Store:
         paths = [f"{base}/seq={row.seq}/day={row.day}" for row in folders]
         return self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
 
-    def days_touched(self, writer: str, after: int, upto: int) -> list:
-        """The days the batches with number in (after, upto] have written, calendar days only."""
-        commits = self._commits(writer)
-        if commits is None:
-            return []
-        touched = commits.filter(F.col("seq").between(after + 1, upto))
-        return [row.day for row in touched.select(F.explode("days").alias("day")).distinct().collect()]
-
-    def newest_days(self, name: str, days: Callable[[Column], Column] | None = None) -> DataFrame:
-        """Rows of a table whose batches write whole days anew: each day as written last."""
-        table = FACTS[name]
-        head, commits = self.head(table.writer), self._commits(table.writer)
-        schema = f"{table.schema}, seq bigint"
-        folders = []
-        if commits is not None:
-            written = commits.filter(F.col("seq") <= head.seq).select("seq", F.explode("days").alias("day"))
-            if days is not None:
-                written = written.filter(days(F.col("day")))
-            folders = written.groupBy("day").agg(F.max("seq").alias("seq")).collect()  # one per day
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        base = f"{self.root}/{name}"
-        paths = [f"{base}/seq={row.seq}/day={row.day}" for row in folders]
-        return self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
-
-    def days_of(self, name: str, seq: int) -> list:
-        """The day folders a batch has written."""
-        table = FACTS[name]
-        rows = self._read(name, table.schema, range(seq, seq + 1), Head())
-        return [row.day for row in rows.select("day").distinct().collect()]
-
     def state(self, name: str, only: tuple[str, ...] = ()) -> DataFrame:
         """The current row of every key; with `only`, just these columns beside the key."""
         table = STATES[name]

@@ -19,6 +19,7 @@ from fleetlens.operators import detect
 from fleetlens.operators.series import MAX_ROWS, SERIES, newest, rolling_stats, rows_to_check
 from fleetlens.sources.store import INGEST, ROLLUP, SWEEP, Store, utc_now
 from fleetlens.streaming import together
+from fleetlens.streaming.rollup import rollup_by_day
 
 _CONSUMER = "processor"
 _WINDOW_RULES = (detect.DRIFT, detect.OFFLINE_GAP)
@@ -100,7 +101,7 @@ def _context(
         days = _days_before(store, very_late, read_upto, window)
     finally:
         very_late.unpersist()
-    chosen = None if days is None else lambda day: day >= F.lit(days)
+    chosen = None if days is None else lambda day: day.isin(days)
     history = detect.evaluable(store.facts("reading", upto=read_upto, days=chosen))
     series = very_late.select(*SERIES)
     history = history.join(series, list(SERIES), "left_semi")
@@ -109,24 +110,24 @@ def _context(
     ), True
 
 
-def _days_before(store: Store, very_late: DataFrame, read_upto: int, window: int):
-    """The first day to read so that every late reading has `window` predecessors.
+def _days_before(store: Store, very_late: DataFrame, read_upto: int, window: int) -> list | None:
+    """The days to read so that every late reading has `window` predecessors.
 
     The stored rollup counts readings per hour; going back day by day from the day
     before a series' first late reading, the window is full once the counts add up to
-    it. None, for all days, while the rollup is behind the sweep or a series is short.
+    it. Of a series that never had so many, the days it has readings on are read. None,
+    for all days, while the rollup is behind the sweep.
     """
     if store.head(ROLLUP).read_upto < read_upto:
         return None
-    counts = store.newest_days("hourly").groupBy(*SERIES, "day").agg(F.sum("n").alias("n"))
-    before = counts.join(very_late, list(SERIES)).filter(F.col("day") < F.col("_first"))
+    counts = rollup_by_day(store).groupBy(*SERIES, "day").agg(F.sum("n").alias("n"))
+    known = counts.join(very_late, list(SERIES))
     backwards = Window.partitionBy(*SERIES).orderBy(F.col("day").desc())
-    full = before.withColumn("_n", F.sum("n").over(backwards)).filter(F.col("_n") >= window)
-    starts = very_late.select(*SERIES).join(
-        full.groupBy(*SERIES).agg(F.max("day").alias("_start")), list(SERIES), "left"
-    )
-    row = starts.agg(F.min("_start").alias("day"), F.count_if(F.col("_start").isNull()).alias("short")).first()
-    return None if row.short else row.day
+    before = F.when(F.col("day") < F.col("_first"), F.col("n"))
+    summed = known.withColumn("_n", F.sum(before).over(backwards))
+    starts = summed.groupBy(*SERIES).agg(F.max(F.when(F.col("_n") >= window, F.col("day"))).alias("_start"))
+    needed = known.join(starts, list(SERIES)).filter(F.col("_start").isNull() | (F.col("day") >= F.col("_start")))
+    return [row.day for row in needed.select("day").distinct().collect()]  # calendar days
 
 
 def _unpack(state: DataFrame) -> DataFrame:

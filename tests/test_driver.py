@@ -37,3 +37,16 @@ def test_same_rows(spark, twin, name):
     want = [tuple(row[i] for i in order) for row in cursor.fetchall()]
     rows = [tuple(row[c] for c in columns) for row in got.collect()]
     assert sorted(rows, key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["evaluate_points", "anomalies_all", "sweep_findings", "batch_equals_sweep", "pareto"])
+def test_spikes_are_found(spark, name):
+    """The tables hold spikes by the queries' own settings, so the twins above compare some."""
+    rows = registered()[name](spark, str(FOLDER))
+    kind = "type" if "type" in rows.columns else "finding"
+    assert rows.filter(f"{kind} = 'spike'").count() > 0
+
+
+def test_spike_details_are_filled(spark):
+    rows = registered()["anomaly_details"](spark, str(FOLDER)).filter("type = 'spike'")
+    assert rows.count() > 0 and rows.filter("mean_close AND sigma = 2.0").count() == rows.count()

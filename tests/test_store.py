@@ -264,6 +264,41 @@ def test_rollup_keeps_one_row_per_hour(spark, store):
     assert sorted(r.n for r in read_rollup(store).collect()) == [1, 8]
 
 
+def test_refresh_that_died_half_way_is_repeated(spark, store, monkeypatch):
+    """Days swapped in before the refresh was committed do not add their batch again."""
+    ingest_batch(store, raw(spark, series_of("d", [20.0, 21.0], step=10)), 0)
+    refresh_rollup(store)
+    more = series_of("d", [30.0], START + timedelta(minutes=1)) + series_of("d", [40.0], START + timedelta(days=1))
+    ingest_batch(store, raw(spark, more, first=10), 1)
+    commit = store.commit
+    monkeypatch.setattr(store, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        refresh_rollup(store)
+    monkeypatch.setattr(store, "commit", commit)
+    late = series_of("d", [50.0], START + timedelta(minutes=2))
+    ingest_batch(store, raw(spark, late, first=20), 2)
+    assert refresh_rollup(store)
+    assert sorted(rows_of(read_rollup(store), "n", "max_value")) == [(1, 40.0), (4, 50.0)]
+    plan = read_rollup(store, START + timedelta(days=1))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_series_shorter_than_its_window_does_not_read_all_days(spark, store):
+    small = Settings(limits=TEMP.limits, spike_window=3, drift_window=2, gap_lookback=4)
+    for day in range(5):
+        start = START + timedelta(days=day)
+        sent = series_of("d", [22.0] * 6, start) + (series_of("e", [22.0] * 5, start) if day == 3 else [])
+        ingest_batch(store, raw(spark, sent, first=20 * day), day)
+        sweep(store, small)
+        refresh_rollup(store)
+    late = series_of("e", [30.0], START + timedelta(days=2))
+    ingest_batch(store, raw(spark, late, first=200), 5)
+    fresh = store.refresh().facts("reading", after=5).withColumn("fresh", F.lit(True))
+    context, from_history = sweeps_module._context(store, fresh, 5, small)
+    assert from_history
+    assert {str(r.sampled_at.date()) for r in context.collect()} == {str((START + timedelta(days=3)).date())}
+
+
 def test_late_readings_read_only_the_days_they_need(spark, store):
     small = Settings(limits=TEMP.limits, spike_window=3, drift_window=2, gap_lookback=4)
     for day in range(6):

@@ -7,6 +7,7 @@ from conftest import START, message
 from fleetlens.config import Settings
 from fleetlens.sources.wire import file_stream
 from fleetlens.streaming import queries as streams
+from fleetlens.streaming.rollup import read_rollup
 
 
 def drop_file(folder, name, messages, first):
@@ -41,7 +42,7 @@ def test_files_to_store_and_sweeps(spark, store, tmp_path):
     sweeps = str(tmp_path / "sweeps")
     streams.start_sweeps(store, Settings(), sweeps, drain=True).awaitTermination()
     assert [r.type for r in store.refresh().facts("anomaly").collect()] == ["spike"]
-    assert store.facts("hourly").count() == 1
+    assert read_rollup(store).count() == 1
 
     drop_file(folder, "c.json", [message("d", 99.0, START + timedelta(seconds=100))], 40)
     drain()
