@@ -18,9 +18,10 @@ its group once.
 Rounds only connect cheaply what is near central documents. At the end all documents of
 buckets that still hold several components are compared by a prefix filter: of each set
 only the rarest shingles are looked at, as many as must hold one of any set that is
-similar enough, and pairs across components that share one of those are confirmed. So
-documents that are alike, but below the limit, meet through no shingle of their common
-part, and no link between documents that share a bucket is lost.
+similar enough. So documents that are alike, but below the limit, seldom meet through a
+shingle of their common part. What meets a component is compared with its documents and
+among itself, in blocks of bounded size and once for all shingles; no link between
+documents that share a bucket is lost.
 
 Rows that repeat an id are one document, linked by what any of its texts is linked by.
 Rows without an id are not compared: their component is null, and they are kept. Texts
@@ -56,6 +57,9 @@ PIECE = 250_000
 LONG_WORD = 4096
 WHITE = [bytes([c]) for c in (32, *range(9, 14))]
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
+# Shingles in a block of documents to compare; every document counts as SLOT more.
+BLOCK = 200_000
+SLOT = 256
 # Rounds end where fewer than one in so many comparisons gives a link.
 YIELD = 50
 # A key with over 1 / HOT_KEYS of all rows is hot; there are fewer than HOT_KEYS of them.
@@ -337,12 +341,109 @@ def rare_shingles(sets: DataFrame) -> DataFrame:
     return found.select("v", "component", "size", F.inline(F.slice("every", F.lit(1), first.cast("int")))).filter("n > 1")
 
 
-def missed(buckets: DataFrame, parts: DataFrame, texts: DataFrame, tested: DataFrame) -> DataFrame:
-    """All links (u, v) left between components that share a bucket; texts are (doc_id, text).
+def links_across(nodes: list[int], low: list[bool], inside: bool, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between different nodes some of whose sets are similar enough, without cycles.
 
-    The documents of open buckets are compared by their rare shingles, each pair once
-    whatever the number of its buckets: a shingle that only one component has is left
-    out, and sizes must allow the similarity.
+    Each set marked low is counted against all others, through the lists of sets that have
+    a shingle; against low ones only with `inside`. Others are not compared with each other.
+    """
+    own, sizes, first_side = np.array(nodes, np.int64), np.array([len(s) for s in sets], np.int64), np.array(low, bool)
+    parent = {n: n for n in nodes}
+
+    def top(n: int) -> int:
+        while parent[n] != n:
+            parent[n] = n = parent[parent[n]]
+        return n
+
+    if len(parent) < 2 or not first_side.any():
+        return []
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    counts = np.bincount(ids)
+    starts, firsts = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+    out = []
+    for i in np.flatnonzero(first_side).tolist():
+        held = ids[firsts[i] : firsts[i] + sizes[i]]
+        lengths = counts[held]
+        at = np.repeat(starts[held] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        both = np.bincount(holders[at], minlength=len(sets))
+        near = (both > 0) & (100 * both >= PERCENT * (sizes + sizes[i] - both)) & (own != own[i])
+        if not inside:
+            near &= ~first_side
+        for j in np.flatnonzero(near).tolist():
+            a, b = top(nodes[i]), top(nodes[j])
+            if a != b:
+                parent[b] = a
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
+def compared(met_in: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between components, from comparing documents that have met.
+
+    met_in is (hash, v, component, size). Of each hash, the component with most documents
+    is the main one; what any hash sets against a main component is compared with it and
+    among itself, once, whatever the number of hashes. Both sides are cut into blocks of
+    bounded size, and each pair of blocks is one piece of work; documents of the main
+    component are never compared with each other.
+    """
+    per_hash = met_in.groupBy("hash", "component").agg(F.count("*").alias("n"))
+    main = per_hash.groupBy("hash").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    total = met_in.count()
+    main = main.join(per_hash.groupBy("hash").agg(F.sum("n").alias("n")), "hash").checkpoint()
+    sided = met(met_in, main, "hash", total).select("main", "v", "component", "size").distinct()
+    sided = sided.withColumn("is_main", F.col("component") == F.col("main")).checkpoint()
+    loads = sided.groupBy("main").agg(
+        *[F.ceil(F.sum(F.when(side, F.col("size") + SLOT)) / block).cast("int").alias(name)
+          for side, name in ((~F.col("is_main"), "n_low"), (F.col("is_main"), "n_high"))]
+    )
+    draw = F.xxhash64("v")
+    cut = sided.join(loads, "main").withColumn(
+        "at", F.when(F.col("is_main"), F.col("n_low") + F.pmod(draw, F.col("n_high"))).otherwise(F.pmod(draw, F.col("n_low"))).cast("int")
+    )
+    before = F.when(F.col("at") > 0, F.sequence(F.lit(0), F.least("at", "n_low") - 1)).otherwise(F.array().cast("array<int>"))
+    last = F.col("n_low") + F.col("n_high") - 1
+    after = F.when(F.col("is_main"), F.array().cast("array<int>")).otherwise(F.sequence(F.col("at") + 1, last))
+    as_high = F.transform(before, lambda i: F.struct(i.alias("low"), F.col("at").alias("high")))
+    as_low = F.transform(after, lambda i: F.struct(F.col("at").alias("low"), i.alias("high")))
+    pieces = cut.select("main", "v", "component", "at", "n_low", F.inline(F.concat(as_high, as_low)))
+    pieces = pieces.select(
+        "main", "low", "high", "v", "component",
+        (F.col("at") == F.col("low")).alias("is_low"), (F.col("high") == F.col("n_low")).alias("inside"),
+    )
+    rows = pieces.join(texts.select(F.col("doc_id").alias("v"), "text"), "v").drop("v")
+    keys = ["main", "low", "high"]
+    ordered = rows.repartition(partitions(met_in), *keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, held = None, ([], [], [])
+        inside = False
+
+        def record() -> pa.RecordBatch:
+            links = links_across(held[0], held[1], inside, held[2])
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = shingle_sets(["" if t is None else t for t in part.column("text").to_pylist()])
+                names = [part.column(c).to_pylist() for c in (*keys, "inside", "component", "is_low")]
+                for *now, own_inside, node, is_low, own in zip(*names, found):
+                    if now != piece:
+                        yield record()
+                        piece, held, inside = now, ([], [], []), own_inside
+                    for column, value in zip(held, (node, is_low, own)):
+                        column.append(value)
+        yield record()
+
+    return ordered.mapInArrow(run, "u long, v long").distinct()
+
+
+def missed(buckets: DataFrame, parts: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) that join all components of documents that share a bucket and are
+    similar enough; u and v are components. texts are (doc_id, text).
+
+    Documents of open buckets meet in their rare shingles; a shingle that only one
+    component has is left out.
     """
     placed = with_component(buckets, parts)
     spread = placed.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
@@ -352,15 +453,7 @@ def missed(buckets: DataFrame, parts: DataFrame, texts: DataFrame, tested: DataF
     spread = rare.groupBy("hash").agg(F.count("*").alias("n"), F.min("component").alias("_a"), F.max("component").alias("_b"))
     between = spread.filter("_a != _b").select("hash", "n").checkpoint()
     both = met(rare.drop("n"), between, "hash", rare.count()).drop("n").checkpoint()
-    other = both.select("hash", *[F.col(c).alias(f"_{c}") for c in ("v", "component", "size")])
-    near = (
-        (F.col("v") < F.col("_v"))
-        & (F.col("component") != F.col("_component"))
-        & (100 * F.least("size", "_size") >= PERCENT * F.greatest("size", "_size"))
-    )
-    pairs = both.join(other, "hash").filter(near).select(F.col("v").alias("u"), F.col("_v").alias("v")).distinct()
-    known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return confirmed(pairs.join(known, ["u", "v"], "left_anti").checkpoint(), texts)
+    return compared(both, texts, block)
 
 
 def joined_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -416,7 +509,7 @@ def grouped(docs: DataFrame) -> DataFrame:
         if n_more * YIELD <= pairs.count():
             break
 
-    last = missed(buckets, parts, texts, tested).checkpoint()
+    last = missed(buckets, parts, texts).checkpoint()
     parts = joined_parts(parts, last).checkpoint()
     ends = joined_parts(parts, copies).withColumnRenamed("node", "_node")
     return (

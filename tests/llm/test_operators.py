@@ -107,17 +107,53 @@ def test_open_buckets(spark, frame):
     want = {(a, b) for a in sets for b in sets if a < b and like(a, b)}
     assert len([p for p in want if p[0] >= 100]) > 300
     buckets = spark.createDataFrame([(b, i, i) for b in (1, 2) for i, _ in rows], "bucket long, v long, weight long")
-    none = spark.createDataFrame([], "node long, component long")
-    no_pairs = spark.createDataFrame([], "u long, v long")
-    links = near_dups.missed(buckets, none, frame(rows).select("doc_id", "text"), no_pairs).collect()
-    assert sorted(map(tuple, links)) == sorted(want)
-    parts = spark.createDataFrame([(i, 100) for i, _ in rows if i > 102], "node long, component long")
-    some = {tuple(r) for r in near_dups.missed(buckets, parts, frame(rows).select("doc_id", "text"), no_pairs).collect()}
-    of = lambda i: 100 if i > 102 else i
-    assert some == {(a, b) for a, b in want if of(a) != of(b)}
-    first = spark.createDataFrame(sorted(want)[:50], "u long, v long")
-    rest = near_dups.missed(buckets, none, frame(rows).select("doc_id", "text"), first).collect()
-    assert {tuple(r) for r in rest} == want - set(sorted(want)[:50])
+
+    def joined(links, parts):
+        parent = {i: i for i in sets}
+
+        def top(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in [*links, *parts.items()]:
+            a, b = sorted((top(a), top(b)))
+            parent[b] = a
+        return {i: top(i) for i in sets}
+
+    for known, block in ((-1, 3000), (140, near_dups.BLOCK), (120, 1)):
+        parts = {i: 100 for i in sets if 100 <= i <= known}
+        frame_of = spark.createDataFrame(list(parts.items()), "node long, component long")
+        links = {tuple(r) for r in near_dups.missed(buckets, frame_of, frame(rows).select("doc_id", "text"), block).collect()}
+        assert joined(links, parts) == joined(want, parts)
+        own = lambda i: parts.get(i, i)  # noqa: B023, E731
+        assert {tuple(sorted(x)) for x in links} <= {tuple(sorted((own(a), own(b)))) for a, b in want}
+
+
+def test_links_across_counts_each_side_once():
+    draw = random.Random(9)
+    base = draw.sample(range(10**6), 60)
+    sets = [np.unique(np.array(draw.sample(base, 52) + draw.sample(range(10**6), 8), np.uint64)) for _ in range(40)]
+    like = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+    low, nodes = [i < 15 for i in range(40)], [i if i < 30 else 30 for i in range(40)]
+    for inside in (True, False):
+        got = near_dups.links_across(nodes, low, inside, sets)
+        want = {(nodes[i], nodes[j]) for i in range(15) for j in range(40)
+                if nodes[i] != nodes[j] and (inside or not low[j]) and like(sets[i], sets[j])}
+        assert set(got) <= want
+        group = {n: n for n in nodes}
+        for pairs in (want, got):
+            parent = {n: n for n in nodes}
+            def top(n):
+                while parent[n] != n:
+                    n = parent[n]
+                return n
+            for a, b in pairs:
+                a, b = sorted((top(a), top(b)))
+                parent[b] = a
+            if pairs is want:
+                group = {n: top(n) for n in nodes}
+        assert group == {n: top(n) for n in nodes}
 
 
 def test_words_in_pieces(monkeypatch):
