@@ -526,6 +526,26 @@ def statements() -> dict[str, str]:
             "count(*) FILTER (WHERE value IS NULL OR unit = '') AS rejected FROM msg GROUP BY 1, 2",
             "msg",
         ),
+        "anomaly_table_typed": _sql(
+            "SELECT detected_at, type, severity, a.device, a.metric, "
+            "CASE WHEN type IN ('spike', 'out_of_range') THEN round(r.value, 6) END AS value, "
+            "CASE WHEN type = 'spike' THEN 2.0::DOUBLE END AS sigma, "
+            "CASE WHEN type = 'drift' THEN 50.0::DOUBLE END AS baseline, "
+            "CASE WHEN type = 'out_of_range' THEN 0.05::DOUBLE END AS lo, "
+            "CASE WHEN type = 'out_of_range' THEN 300.0::DOUBLE END AS hi "
+            "FROM anom a LEFT JOIN r ON r.reading_id = a.reading_id",
+            "anom",
+        ),
+        "devices_by_day": _sql(
+            "SELECT metric, CAST(sampled_at AS DATE) AS day, count(*) AS n, "
+            "count(DISTINCT device) AS exact, true AS close FROM r GROUP BY 1, 2",
+            "r",
+        ),
+        "lag_quantiles": _sql(
+            "SELECT date_trunc('day', ingested_at)::TIMESTAMP AS window_start, metric, count(*) AS n, "
+            "true AS p50_close, true AS p95_close FROM lags GROUP BY 1, 2",
+            "lags",
+        ),
         "stream_first_readings": _sql(
             "SELECT device, metric, sampled_at, source_offset, round(value, 6) AS value, "
             "CASE WHEN value IS NULL THEN 'non_finite_value' "
@@ -546,6 +566,8 @@ def statements() -> dict[str, str]:
         ),
     }
     out["stream_rate"] = out["event_rate"]
+    out["genealogy_bucketed"] = out["genealogy"]
+    out["genealogy_of_reading"] = f"SELECT * FROM ({out['genealogy']}) WHERE reading_id = 42"
     for name in ("enrich_stats", "reading_gaps", "series_tail", "rolling_full"):
         out[f"{name}_sliced"] = out[name]
     out["hourly_of_store"] = out["stored_rollup"]

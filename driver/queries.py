@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, TimestampType
 
 from fleetlens.config import Limits, Settings
-from fleetlens.operators import detect, ingest, rollup, series
+from fleetlens.operators import detect, ingest, rollup, series, sketches
 from fleetlens.plans import fleet as fleets
 from fleetlens.plans import investigate, quality
 from fleetlens.session import ensure_checkpoint_dir
@@ -22,6 +22,7 @@ from fleetlens.sources import wire
 from fleetlens.sources.store import Store
 from fleetlens.sources.tables import GENERATED, customers_as_devices, events_as_readings, table
 from fleetlens.streaming import queries as streams
+from fleetlens.sources.buckets import save_bucketed
 from fleetlens.streaming import stateful
 from fleetlens.streaming.ingest import ingest_batch
 from fleetlens.streaming.queries import start_ingest
@@ -404,6 +405,35 @@ def genealogy(spark, folder):
     return rows.select("reading_id", "device", "metric", "value", "sampled_at", "stage", "status", "at")
 
 
+GENEALOGY_BUCKETS = 8
+ONE_READING = 42
+
+
+def bucketed_facts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Readings and stages stored in buckets of the reading id."""
+    place, name = scratch(spark), uuid4().hex
+    facts = {"readings": readings(spark, folder), "stages": stages(spark, folder)}
+    saved = [
+        save_bucketed(rows, f"{kind}_{name}", f"{place}/{kind}", "reading_id", GENEALOGY_BUCKETS)
+        for kind, rows in facts.items()
+    ]
+    return saved[0], saved[1]
+
+
+@query
+def genealogy_bucketed(spark, folder):
+    """The same from bucketed tables, joined bucket by bucket."""
+    rows = investigate.genealogy(*bucketed_facts(spark, folder))
+    return rows.select("reading_id", "device", "metric", "value", "sampled_at", "stage", "status", "at")
+
+
+@query
+def genealogy_of_reading(spark, folder):
+    """The trail of one reading; one bucket of each table is read."""
+    rows = investigate.genealogy(*bucketed_facts(spark, folder), reading_id=ONE_READING)
+    return rows.select("reading_id", "device", "metric", "value", "sampled_at", "stage", "status", "at")
+
+
 @query
 def pareto(spark, folder):
     seen = fleets.seen_only(anomalies(spark, folder), heartbeats(spark, folder))
@@ -453,6 +483,12 @@ def anomaly_details(spark, folder):
     )
 
 
+@query
+def anomaly_table_typed(spark, folder):
+    """The table with what the detail holds, but for means, which are shown rounded."""
+    return investigate.anomaly_table_typed(anomalies(spark, folder)).drop("mean", "recent_mean", "gap_seconds")
+
+
 @query
 def range_by_metric(spark, folder):
     return investigate.range_by_metric(readings(spark, folder, *RANGE), *RANGE)
@@ -659,6 +695,30 @@ def gap_histogram(spark, folder):
     return quality.lag_buckets(hours)
 
 
+@query
+def devices_by_day(spark, folder):
+    """Distinct devices by metric and day from hourly sketches, held against the exact number."""
+    rows = readings(spark, folder)
+    day = F.to_date("hour").alias("day")
+    found = sketches.distinct_devices(sketches.hourly_devices(rows), by=("metric", day))
+    exact = rows.groupBy("metric", F.to_date("sampled_at").alias("day")).agg(F.count_distinct("device").alias("exact"))
+    close = F.abs(F.col("devices") - F.col("exact")) <= F.ceil(0.04 * F.col("exact"))
+    return found.join(exact, ["metric", "day"]).select("metric", "day", "n", "exact", close.alias("close"))
+
+
+@query
+def lag_quantiles(spark, folder):
+    """Quantiles of raw lags by metric and day, merged from sketches of minutes; their rank
+    among the raw lags is within two in a hundred of what was asked for."""
+    rows = quality.with_lag(lagged(spark, folder)).withColumn("window_start", F.date_trunc("day", F.col("ingested_at")))
+    found = sketches.lag_quantiles(sketches.lag_sketches(rows, ("metric",)), "1 day", ("metric",))
+    for name, q in (("p50", 0.5), ("p95", 0.95)):
+        found = sketches.rank_bounds(rows, found, name, ("window_start", "metric"))
+        fits = (F.col(f"{name}_below") <= q + 0.02) & (F.col(f"{name}_upto") >= q - 0.02)
+        found = found.withColumn(f"{name}_close", fits)
+    return found.select("window_start", "metric", "n", "p50_close", "p95_close")
+
+
 @query
 def missing_hours(spark, folder):
     rows = readings(spark, folder)

@@ -216,6 +216,27 @@ def with_detail_fields(anomalies: DataFrame) -> DataFrame:
     return parsed.select(*anomalies.columns, *fields, *ends)
 
 
+def with_variant_detail(anomalies: DataFrame) -> DataFrame:
+    """`detail` as a VARIANT: parsed once, read by path, whatever fields a rule writes.
+
+    A null detail stays null; text that is no JSON becomes null as well.
+    """
+    return anomalies.withColumn("detail", F.try_parse_json("detail"))
+
+
+def detail_field(path: str, kind: str = "double"):
+    """A field inside a VARIANT `detail`; null where it is not there or not of the kind."""
+    return F.try_variant_get("detail", path, kind)
+
+
+def anomaly_table_typed(anomalies: DataFrame) -> DataFrame:
+    """The anomaly table with its detail as columns, newest first."""
+    fields = [detail_field(f"$.{name}").alias(name) for name in ("value", "mean", "sigma", "recent_mean", "baseline", "gap_seconds")]
+    ends = [detail_field(f"$.range[{i}]").alias(name) for i, name in enumerate(("lo", "hi"))]
+    rows = with_variant_detail(anomalies).select("detected_at", "type", "severity", "device", "metric", *fields, *ends)
+    return rows.orderBy(F.col("detected_at").desc(), "device", "type")
+
+
 def range_by_metric(readings: DataFrame, start, end) -> DataFrame:
     """Count and average per metric over an inclusive time range."""
     return (
