@@ -1,19 +1,20 @@
 """Personal data: fixed patterns, and spans that weak labelers agree on.
 
 The base kinds (email, ip, card, phone) are found by their patterns alone and always
-stay. Further candidates (phone numbers without a country code, keys, passwords and
-other secrets) get votes from labelers of three sorts: patterns of shape, gazetteers of
-known beginnings and cue words, and context. Votes are counted over the whole corpus
-by pattern of votes, which is bounded by the number of labelers; expectation
+stay. Further candidates are looked for broadly: groups of digits (phone numbers without
+a country code, identity and tax numbers), base patterns whose test fails, account
+numbers, keys, passwords, key blocks, names after a form of address, and street
+addresses in four languages. They get votes from labelers of three sorts: patterns of
+shape and check digits, gazetteers of known beginnings and cue words, and context. Votes
+are counted over the whole corpus by pattern of votes, which is bounded by the number of
+labelers; base matches that a labeler can judge are counted with them. Expectation
 maximisation over those counts estimates how reliable each labeler is and how likely
-each pattern is personal data. With these as soft labels a logistic span classifier
-over votes and shape is fitted, and it decides about every candidate. Base matches and
-their failures are no evidence for it, and nothing else is a candidate: no other
-national phone form, name, address or id number.
+each pattern is personal data. With these as soft labels a logistic span classifier over
+votes and shape is fitted for each kind, and it decides about every candidate.
 
 Null and empty texts have no spans. Rows are judged by themselves, so repeated rows
 have equal spans. With no candidates in the corpus there is nothing to fit, and only
-base spans are returned.
+base spans are returned. Names without a form of address are not looked for.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from fleetlens.llm.batches import Columns, with_columns
 from fleetlens.session import ensure_checkpoint_dir
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret")
+KINDS = (*BASE, "secret", "id", "name", "address")
 SURE = 0.5
 ROUNDS = 50
 
@@ -43,18 +44,40 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 LOOSE_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-]*[0-9])")
-KEY = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{4}[A-Z0-9]{16}|[A-Za-z]{2,5}_[A-Za-z0-9]{20,}+|[0-9a-f]{32,}+)(?![A-Za-z0-9])")
+# Groups of digits by themselves; what they are is told by their sizes.
+GROUPS = re.compile(r"(?<![\w+.,-])\(?[0-9]++\)?(?:[ ./-]\(?[0-9]++\)?)*+(?![\w]|[.,][0-9])")
+ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+KEY = re.compile(
+    r"(?<![A-Za-z0-9/+_-])(?:[A-Z]{4}[A-Z0-9]{16}|[A-Za-z]{2,5}_[A-Za-z0-9]{20,}+|[0-9a-f]{32,}+|sk-[A-Za-z0-9_-]{16,}+"
+    r"|(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9/+]{40})(?![A-Za-z0-9/+_-])"
+)
+BLOCK_START = re.compile(r"-----BEGIN ([A-Z ]{0,30})PRIVATE KEY-----")
 ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(password|passwd|pwd|secret|token|api_?key|access_?key)(\s{0,3}[=:]\s{0,3})([\"']?)([^\s\"'#*$%&|<>]{6,}+)")
+# Forms of address and words of streets in the languages of the corpus.
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra")
+NAMED = re.compile(r"(?<!\w)(?:" + "|".join(TITLES) + r")\.? ((?:[^\W\d_a-zà-ÿ][^\W\d_]+(?:[ -](?=[^\W\d_a-zà-ÿ]))?){1,3})")
+STREET = re.compile(
+    r"(?<!\w)(?:[0-9]{1,5},? (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard)(?!\w)"
+    r"|[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz|gasse) [0-9]{1,4}[a-z]?(?!\w)"
+    r"|[0-9]{1,4},? (?:rue|avenue|boulevard|place) (?:de |du |des |de la |la )?[A-ZÀ-Ý][\w-]+"
+    r"|(?:Calle|calle|Avenida|avenida|Plaza|plaza) (?:de |del |de la )?[A-ZÀ-Ý][\w-]+,? (?:n\.?º? ?)?[0-9]{1,4}(?!\w))"
+)
+STREETS = ("treet", " St", "ve", "oad", "Rd", "ane", "rive", "oulevard", "tra", "weg", "latz", "gasse", "rue", "place", "alle", "venida", "laza")
 DIGIT = re.compile(r"[0-9]")
 NAMES = ("passw", "pwd", "secret", "token", "key")
 
 # Beginnings of well-known keys, and words that announce personal data.
-KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "sk_", "pk_", "xoxb_", "glpat_")
+KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "sk_", "sk-", "pk_", "xoxb_", "glpat_", "-----BEGIN")
 # Spans longer than this are as varied as can be asked of so many characters.
 VARIED = 64
+# Votes look at so much of a span.
+LONGEST_JUDGED = 4096
 CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono", "+1"),
     "secret": ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key"),
+    "id": ("ssn", "social", "iban", "account", "konto", "compte", "cuenta", "tax", "steuer", "fiscal", "card", "karte", "carte", "tarjeta", "id", "nif"),
+    "name": ("dear", "name", "signed", "contact", "liebe", "cher", "estimad", "nombre", "nom"),
+    "address": ("address", "lives", "adresse", "wohn", "dirección", "vive", "habite"),
 }
 VOTES = 6
 SHAPES = 6
@@ -116,29 +139,78 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def account_checks(span: str) -> bool:
+    """The check digits of an international account number (remainder 1 by 97)."""
+    compact = span.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+
+
+def tax_checks(digits: str) -> bool:
+    """The check digit of eleven-digit tax numbers, by tens and elevens in turn."""
+    rest = 10
+    for c in digits[:10]:
+        rest = ((rest + int(c)) % 10 or 10) * 2 % 11
+    return digits[0] != "0" and (11 - rest) % 10 == int(digits[10])
+
+
+def _grouped(span: str) -> str | None:
+    """The kind of a group of digits, none if its sizes are those of no number looked for."""
+    sizes = [len(g) for g in re.findall("[0-9]+", span)]
+    n, spread = sum(sizes), len(sizes) > 1
+    if sizes == [3, 2, 4] and "-" in span:
+        return "id"
+    if sizes == [3, 3, 4]:
+        return "phone"
+    if span.lstrip("(").startswith("0") and spread and 9 <= n <= 13 and "." not in span.strip("."):
+        return "phone"
+    if sizes == [11] or sizes == [2, 3, 3, 3] or (13 <= n <= 19 and all(s >= 4 for s in sizes[:-1])):
+        return "id"
+    return None
+
+
+def _checked(kind: str, span: str, digits: str) -> int:
+    """What check digits and fixed shapes say."""
+    if kind == "phone":
+        return 1 if "(" in span or span.count("-") == 2 or (digits[:1] == "0" and " " in span) else 0
+    if kind == "id":
+        if span[:1].isalpha():
+            return 1 if account_checks(span) else -1
+        if len(digits) == 9:
+            return 1 if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" else -1
+        if len(digits) == 11:
+            return 1 if tax_checks(digits) else -1
+        return 1 if luhn(digits) else -1
+    if kind == "secret":
+        mixed = any(c.isdigit() for c in span) and any(c.isalpha() for c in span)
+        return 1 if mixed or span.startswith("-----BEGIN") else -1
+    return 1
+
+
+def _known(kind: str, span: str, digits: str) -> int:
+    """What gazetteers of beginnings say."""
+    if kind == "phone":
+        return 1 if digits[:1] == "0" or (digits[:1] != "1" and digits[3:4] != "0") else -1
+    if kind == "secret":
+        return 1 if span.startswith(KEY_STARTS) else 0
+    return 0
+
+
 def _votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     """What each labeler says of a span: 1 for, 0 nothing, -1 against."""
-    span = text[start:end]
+    span = text[start : min(end, start + LONGEST_JUDGED)]
     before, after = text[max(0, start - 24) : start], text[end : end + 2]
-    digits = "".join(c for c in span if c.isdigit())
+    digits = "".join(c for c in span if c in "0123456789")
     cue = any(c in before.lower() for c in CUES[kind])
     spread = len(set(span.lower())) / max(1, min(VARIED, len(span)))
-    if kind == "phone":
-        shape = 1 if "(" in span or span.count("-") == 2 else 0
-        known = 1 if digits[:1] not in ("0", "1") and digits[3:4] != "0" else -1
-        single = -1 if len(set(digits)) <= 2 else 0
-    else:
-        shape = 1 if any(c.isdigit() for c in span) and any(c.isalpha() for c in span) else -1
-        known = 1 if span.startswith(KEY_STARTS) else 0
-        single = -1 if spread < 0.2 else 0
+    single = -1 if (spread < 0.2 if kind == "secret" else len(set(digits)) <= 2 if digits and kind != "address" else False) else 0
     joined = -1 if before[-1:].isalnum() or after[:1].isalnum() else 0
     assigned = 1 if before.rstrip("\"' ")[-1:] in ("=", ":") and before else 0
-    return (shape, known, 1 if cue else 0, assigned, joined, single)
+    return (_checked(kind, span, digits), _known(kind, span, digits), 1 if cue else 0, assigned, joined, single)
 
 
 def _shape(text: str, start: int, end: int) -> tuple[int, ...]:
     """Coarse facts about a span, each 0 or 1."""
-    span = text[start:end]
+    span = text[start : min(end, start + LONGEST_JUDGED)]
     digits = sum(c.isdigit() for c in span)
     return (
         int(digits >= 7),
@@ -150,15 +222,43 @@ def _shape(text: str, start: int, end: int) -> tuple[int, ...]:
     )
 
 
+def key_blocks(text: str) -> list[tuple[str, int, int]]:
+    """Private keys between their first and last line, or up to the end."""
+    out, at = [], 0
+    while m := BLOCK_START.search(text, at):
+        last = f"-----END {m[1]}PRIVATE KEY-----"
+        end = text.find(last, m.end())
+        at = len(text) if end < 0 else end + len(last)
+        out.append(("secret", m.start(), at))
+    return out
+
+
+def _digit_groups(text: str) -> list[tuple[str, int, int]]:
+    out = []
+    for m in GROUPS.finditer(text):
+        if m.end() - m.start() >= 9:
+            kind = _grouped(m[0]) if m.end() - m.start() <= 40 else None
+            if kind:
+                out.append((kind, *m.span()))
+    return out
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[Candidate]:
     """Spans that may be personal data besides the base ones, apart from each other."""
     found = []
     if DIGIT.search(text):
         found += [("phone", *m.span()) for m in LOOSE_PHONE.finditer(text)]
+        found += _digit_groups(text)
+        found += [("id", *m.span()) for m in ACCOUNT.finditer(text)]
         found += [("secret", *m.span()) for m in KEY.finditer(text)]
+        if any(s in text for s in STREETS):
+            found += [("address", *m.span()) for m in STREET.finditer(text)]
+    if "-----BEGIN" in text:
+        found += key_blocks(text)
     lower = text.lower()
     if any(name in lower for name in NAMES):
         found += [("secret", *m.span(4)) for m in ASSIGNED.finditer(text)]
+    found += [("name", *m.span(1)) for m in NAMED.finditer(text)]
     if not found:
         return []
     taken = sorted((a, b) for _, a, b in base)
@@ -173,13 +273,23 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[Candidate]:
     return out
 
 
+def evidence(text: str) -> list[Candidate]:
+    """Candidates, and base matches of the kinds that labelers judge."""
+    base = base_spans(text)
+    kinds = {"phone": "phone", "card": "id"}
+    sure = [
+        Candidate(kinds[kind], a, b, _votes(kinds[kind], text, a, b), _shape(text, a, b)) for kind, a, b in base if kind in kinds
+    ]
+    return candidates(text, base) + sure
+
+
 def estimate(votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """How likely each pattern of votes is right, by expectation maximisation.
 
     Each labeler has, for right and for wrong spans, a chance of each vote. It starts
     from labelers being right more often than not.
     """
-    likely = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1) - 0.5))
+    likely = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1) + 0.5 * (votes.sum(axis=1) <= 0) - 0.25))
     for _ in range(ROUNDS):
         share = np.clip((likely * counts).sum() / counts.sum(), 0.01, 0.99)
         right = np.full(len(votes), np.log(share))
@@ -221,8 +331,7 @@ def learn(docs: DataFrame) -> Model:
     def patterns(texts: list[str]) -> Columns:
         rows = []
         for text in texts:
-            found = candidates(text, base_spans(text))
-            rows.append([f"{c.kind} {' '.join(map(str, c.votes + c.shape))}" for c in found])
+            rows.append([f"{c.kind} {' '.join(map(str, c.votes + c.shape))}" for c in evidence(text)])
         return [rows]
 
     counted = with_columns(docs, "patterns array<string>", patterns).select(F.explode("patterns").alias("pattern"))
