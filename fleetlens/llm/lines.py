@@ -5,9 +5,10 @@ stands as two 64-bit hashes. Occurrences are range-partitioned by key and a shar
 the documents, and sorted by document and position, so each run of a key streams past
 once: where the document changes, a first occurrence is counted. A key that fills a
 third of all rows is spread over as many shares as there are partitions; the shares'
-counts are added up afterwards. Documents get back a sparse bitmap of what they lose,
-64 lines to a word, words without a dropped line left out; no text is moved but to meet
-its bitmap.
+counts are added up afterwards, and its occurrences meet it through a broadcast. Lines
+are hashed once and written to the checkpoint folder. Documents get back a sparse bitmap
+of what they lose, 64 lines to a word, words without a dropped line left out; no text is
+moved but to meet its bitmap.
 
 A null text is an empty line. Empty keys are never dropped. Rows that repeat an id
 count as one document; each row loses its own lines. Null is an id like any other.
@@ -17,7 +18,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetlens.llm.filter_audit import met
 from fleetlens.llm.text import SPACES, let, lower_ascii, partitions, whole
+from fleetlens.session import ensure_checkpoint_dir
 
 DOCUMENTS = 10
 CODE_POINTS = 1
@@ -48,13 +51,13 @@ def occurrences(docs: DataFrame, code_points: int = CODE_POINTS) -> DataFrame:
 
 
 def shared_keys(ranged: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
-    """(h1, h2, n_documents) of the keys found in at least so many documents."""
+    """(h1, h2, n, n_documents) of the keys found in at least so many documents, n times."""
     run = Window.partitionBy("h1", "h2", "share").orderBy("doc_id", "version", "pos")
     before = F.lag(F.struct("doc_id")).over(run)
     first = before.isNull() | ~before["doc_id"].eqNullSafe(F.col("doc_id"))
     streamed = ranged.withColumn("first", first.cast("long"))
-    by_share = streamed.groupBy("h1", "h2", "share").agg(F.sum("first").alias("n"))
-    totals = by_share.groupBy("h1", "h2").agg(F.sum("n").alias("n_documents"))
+    by_share = streamed.groupBy("h1", "h2", "share").agg(F.count("*").alias("n"), F.sum("first").alias("n_documents"))
+    totals = by_share.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.sum("n_documents").alias("n_documents"))
     return totals.filter(F.col("n_documents") >= documents)
 
 
@@ -66,9 +69,10 @@ def drop_bitmaps(docs: DataFrame, documents: int = DOCUMENTS, code_points: int =
     """
     n = partitions(docs)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-    found = occurrences(docs, code_points)
+    ensure_checkpoint_dir(docs.sparkSession)
+    found = occurrences(docs, code_points).checkpoint()
     ranged = found.withColumn("share", share).repartitionByRange(n, "h1", "h2", "share")
-    dropped = found.join(shared_keys(ranged, documents), ["h1", "h2"], "left_semi")
+    dropped = met(found, shared_keys(ranged, documents).checkpoint(), ["h1", "h2"], found.count())
     bit = F.expr("shiftleft(1L, pos % 64)")
     by_word = (
         dropped.groupBy("doc_id", "version", F.expr("pos div 64").cast("int").alias("word"))
