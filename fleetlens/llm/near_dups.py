@@ -7,15 +7,14 @@ class, and only a class's first document goes on.
 
 Within a bucket (equal band) nothing is paired with everything. Documents are tied to
 the most central one of the bucket, the one that meets most others over all bands; of
-each document's ties the one that shares most bands is confirmed first. After that,
-only buckets that still hold several components are looked at: documents outside the
-most central one's component are tied to it and to the most central one outside. Rounds
-go on as long as they pay. So each round costs a few comparisons a document, however
-large a group is, and what is known to be connected is not compared again.
-Comparisons are made where the first document's set is: its text goes to each part of
+each document's ties the one that shares most bands is confirmed first. In a second
+round only buckets that still hold several components are looked at: documents outside
+the most central one's component are tied to it and to the most central one outside. So
+a round costs a few comparisons a document, however large a group is, and what is known
+to be connected is not compared again. Comparisons are made where the first document's set is: its text goes to each part of
 its group once.
 
-Rounds only connect cheaply what is near central documents. At the end all documents of
+These rounds only connect cheaply what is near central documents. Then all documents of
 buckets that still hold several components are compared by a prefix filter: of each set
 only the rarest shingles are looked at, as many as must hold one of any set that is
 similar enough. So documents that are alike, but below the limit, seldom meet through a
@@ -41,6 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.llm.batches import Columns, slices, with_columns
 from fleetlens.llm.components import components
+from fleetlens.llm.filter_audit import met
 from fleetlens.llm.text import partitions
 from fleetlens.session import ensure_checkpoint_dir
 
@@ -60,10 +60,6 @@ SPACE = re.compile(rb"[\x20\x09-\x0D]")
 # Shingles in a block of documents to compare; every document counts as SLOT more.
 BLOCK = 200_000
 SLOT = 256
-# Rounds end where fewer than one in so many comparisons gives a link.
-YIELD = 50
-# A key with over 1 / HOT_KEYS of all rows is hot; there are fewer than HOT_KEYS of them.
-HOT_KEYS = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -295,17 +291,6 @@ def ties(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     return to_first.unionByName(to_second).groupBy("u", "v").agg(F.count("*").alias("n_bands"))
 
 
-def met(rows: DataFrame, groups: DataFrame, on: str, total: int) -> DataFrame:
-    """Inner join of rows with groups, one row (on, n, ...) for each key with n rows.
-
-    Keys with many rows are few and broadcast, so none of them meets in one task.
-    """
-    is_hot = F.col("n") * HOT_KEYS > total
-    hot, cold = groups.filter(is_hot), groups.filter(~is_hot)
-    light = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
-    return light.unionByName(rows.join(F.broadcast(hot), on))
-
-
 def exploded(texts: DataFrame) -> DataFrame:
     """(v, k, size, component, hash): a row for each shingle of each text of (v, component, text)."""
 
@@ -334,7 +319,7 @@ def rare_shingles(sets: DataFrame) -> DataFrame:
     """
     counts = sets.groupBy("hash").agg(F.count("*").alias("n")).checkpoint()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = met(sets, counts, "hash", total).groupBy("v", "k", "component", "size").agg(
+    found = met(sets, counts, ["hash"], total).groupBy("v", "k", "component", "size").agg(
         F.sort_array(F.collect_list(F.struct("n", "hash"))).alias("every")
     )
     first = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1
@@ -391,7 +376,7 @@ def compared(met_in: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFra
     main = per_hash.groupBy("hash").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     total = met_in.count()
     main = main.join(per_hash.groupBy("hash").agg(F.sum("n").alias("n")), "hash").checkpoint()
-    sided = met(met_in, main, "hash", total).select("main", "v", "component", "size").distinct()
+    sided = met(met_in, main, ["hash"], total).select("main", "v", "component", "size").distinct()
     sided = sided.withColumn("is_main", F.col("component") == F.col("main")).checkpoint()
     loads = sided.groupBy("main").agg(
         *[F.ceil(F.sum(F.when(side, F.col("size") + SLOT)) / block).cast("int").alias(name)
@@ -452,7 +437,7 @@ def missed(buckets: DataFrame, parts: DataFrame, texts: DataFrame, block: int =
     rare = rare_shingles(exploded(open_texts).checkpoint()).checkpoint()
     spread = rare.groupBy("hash").agg(F.count("*").alias("n"), F.min("component").alias("_a"), F.max("component").alias("_b"))
     between = spread.filter("_a != _b").select("hash", "n").checkpoint()
-    both = met(rare.drop("n"), between, "hash", rare.count()).drop("n").checkpoint()
+    both = met(rare.drop("n"), between, ["hash"], rare.count()).drop("n").checkpoint()
     return compared(both, texts, block)
 
 
@@ -480,9 +465,9 @@ def grouped(docs: DataFrame) -> DataFrame:
         named.filter(F.col("n_shingles") > 0).groupBy("s1", "s2").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
     )
     # Copies are linked to the first of their class; the class goes on as that document.
+    several = classes.filter(F.col("n") > 1).checkpoint()
     copies = (
-        named.filter(F.col("n_shingles") > 0)
-        .join(classes.filter(F.col("n") > 1), ["s1", "s2"])
+        met(named.filter(F.col("n_shingles") > 0), several, ["s1", "s2"], named.count())
         .select(F.col("head").alias("u"), F.col("doc_id").alias("v"))
         .filter(F.col("u") != F.col("v"))
         .distinct()
@@ -498,20 +483,12 @@ def grouped(docs: DataFrame) -> DataFrame:
     asked = every.groupBy("v").agg(F.max(F.struct("n_bands", (-F.col("u")).alias("minus_u"))).alias("best"))
     pairs = in_order(asked.select((-F.col("best.minus_u")).alias("u"), "v")).checkpoint()
     links = confirmed(pairs, texts).checkpoint()
-    parts, tested = components(links).checkpoint(), pairs
-    while True:
-        pairs = in_order(ties(buckets, parts)).join(tested, ["u", "v"], "left_anti").checkpoint()
-        more = confirmed(pairs, texts).checkpoint()
-        n_more = more.count()
-        if n_more:
-            parts = joined_parts(parts, more).checkpoint()
-        tested = tested.unionByName(pairs).checkpoint()
-        if n_more * YIELD <= pairs.count():
-            break
-
-    last = missed(buckets, parts, texts).checkpoint()
-    parts = joined_parts(parts, last).checkpoint()
-    ends = joined_parts(parts, copies).withColumnRenamed("node", "_node")
+    parts = components(links).checkpoint()
+    pairs = in_order(ties(buckets, parts)).join(pairs, ["u", "v"], "left_anti").checkpoint()
+    parts = joined_parts(parts, confirmed(pairs, texts).checkpoint()).checkpoint()
+
+    last = missed(buckets, parts, texts)
+    ends = joined_parts(parts, last.unionByName(copies).checkpoint()).withColumnRenamed("node", "_node")
     return (
         prints.select("doc_id", "n_shingles")
         .join(ends, F.col("doc_id") == F.col("_node"), "left")
