@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from fleetlens.llm.stored import stored
+
 ROUNDS = 60
 
 
@@ -35,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     component is the smallest node of it. Edges of a node to itself, repeated edges and
     either direction are allowed; an empty graph has no rows.
     """
-    now = edges.filter(F.col("u") != F.col("v")).distinct().checkpoint()
+    now = stored(edges.filter(F.col("u") != F.col("v")).distinct())
     mark = _mark(now)
     for _ in range(ROUNDS):
         if not mark[0]:
@@ -45,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = _smallest(down)
         own = small.select("u", F.col("m").alias("v"))
         moved = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = own.unionByName(moved).filter(F.col("u") != F.col("v")).distinct().checkpoint()
+        now = stored(own.unionByName(moved).filter(F.col("u") != F.col("v")).distinct())
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from fleetlens.llm.batches import Columns, slices, with_columns
 from fleetlens.llm.components import components
 from fleetlens.llm.filter_audit import met
+from fleetlens.llm.stored import stored
 from fleetlens.llm.text import partitions
 from fleetlens.session import ensure_checkpoint_dir
 
@@ -255,10 +256,10 @@ def ordered_by_centrality(members: DataFrame) -> DataFrame:
     equal ones apart.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    shared = members.join(sizes, "bucket").withColumnRenamed("doc_id", "v").checkpoint()
+    shared = stored(members.join(sizes, "bucket").withColumnRenamed("doc_id", "v"))
     total = shared.groupBy("v").agg(F.sum("size").alias("met"))
     weight = F.col("met") * TIES + F.pmod(F.xxhash64("v"), F.lit(TIES))
-    return shared.select("bucket", "v").join(total.select("v", weight.alias("weight")), "v").checkpoint()
+    return stored(shared.select("bucket", "v").join(total.select("v", weight.alias("weight")), "v"))
 
 
 def with_component(buckets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -317,7 +318,7 @@ def rare_shingles(sets: DataFrame) -> DataFrame:
     shingles of each, in any order that is the same for both, where needed is PERCENT of
     the size; here the rarest come first.
     """
-    counts = sets.groupBy("hash").agg(F.count("*").alias("n")).checkpoint()
+    counts = stored(sets.groupBy("hash").agg(F.count("*").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = met(sets, counts, ["hash"], total).groupBy("v", "k", "component", "size").agg(
         F.sort_array(F.collect_list(F.struct("n", "hash"))).alias("every")
@@ -375,9 +376,9 @@ def compared(met_in: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFra
     per_hash = met_in.groupBy("hash", "component").agg(F.count("*").alias("n"))
     main = per_hash.groupBy("hash").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     total = met_in.count()
-    main = main.join(per_hash.groupBy("hash").agg(F.sum("n").alias("n")), "hash").checkpoint()
+    main = stored(main.join(per_hash.groupBy("hash").agg(F.sum("n").alias("n")), "hash"))
     sided = met(met_in, main, ["hash"], total).select("main", "v", "component", "size").distinct()
-    sided = sided.withColumn("is_main", F.col("component") == F.col("main")).checkpoint()
+    sided = stored(sided.withColumn("is_main", F.col("component") == F.col("main")))
     loads = sided.groupBy("main").agg(
         *[F.ceil(F.sum(F.when(side, F.col("size") + SLOT)) / block).cast("int").alias(name)
           for side, name in ((~F.col("is_main"), "n_low"), (F.col("is_main"), "n_high"))]
@@ -434,10 +435,10 @@ def missed(buckets: DataFrame, parts: DataFrame, texts: DataFrame, block: int =
     spread = placed.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
     held = placed.join(spread.filter("_a != _b").select("bucket"), "bucket").select("v", "component").distinct()
     open_texts = texts.withColumnRenamed("doc_id", "v").join(held, "v").select("v", "component", "text")
-    rare = rare_shingles(exploded(open_texts).checkpoint()).checkpoint()
+    rare = stored(rare_shingles(stored(exploded(open_texts))))
     spread = rare.groupBy("hash").agg(F.count("*").alias("n"), F.min("component").alias("_a"), F.max("component").alias("_b"))
-    between = spread.filter("_a != _b").select("hash", "n").checkpoint()
-    both = met(rare.drop("n"), between, ["hash"], rare.count()).drop("n").checkpoint()
+    between = stored(spread.filter("_a != _b").select("hash", "n"))
+    both = stored(met(rare.drop("n"), between, ["hash"], rare.count()).drop("n"))
     return compared(both, texts, block)
 
 
@@ -465,30 +466,24 @@ def grouped(docs: DataFrame) -> DataFrame:
         named.filter(F.col("n_shingles") > 0).groupBy("s1", "s2").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
     )
     # Copies are linked to the first of their class; the class goes on as that document.
-    several = classes.filter(F.col("n") > 1).checkpoint()
-    copies = (
-        met(named.filter(F.col("n_shingles") > 0), several, ["s1", "s2"], named.count())
-        .select(F.col("head").alias("u"), F.col("doc_id").alias("v"))
-        .filter(F.col("u") != F.col("v"))
-        .distinct()
-        .checkpoint()
-    )
+    several = stored(classes.filter(F.col("n") > 1))
+    of_class = met(named.filter(F.col("n_shingles") > 0), several, ["s1", "s2"], named.count())
+    copies = stored(in_order(of_class.select(F.col("head").alias("u"), F.col("doc_id").alias("v"))))
     heads = named.join(classes.select("s1", "s2", F.col("head").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
     buckets = ordered_by_centrality(heads.select("doc_id", F.explode("bands").alias("bucket")))
     wanted = buckets.select(F.col("v").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").checkpoint()
 
     alone = buckets.select(F.col("v").alias("node"), F.col("v").alias("component")).limit(0)
-    every = ties(buckets, alone).checkpoint()
+    every = ties(buckets, alone)
     asked = every.groupBy("v").agg(F.max(F.struct("n_bands", (-F.col("u")).alias("minus_u"))).alias("best"))
-    pairs = in_order(asked.select((-F.col("best.minus_u")).alias("u"), "v")).checkpoint()
-    links = confirmed(pairs, texts).checkpoint()
-    parts = components(links).checkpoint()
-    pairs = in_order(ties(buckets, parts)).join(pairs, ["u", "v"], "left_anti").checkpoint()
-    parts = joined_parts(parts, confirmed(pairs, texts).checkpoint()).checkpoint()
+    pairs = stored(in_order(asked.select((-F.col("best.minus_u")).alias("u"), "v")))
+    parts = stored(components(stored(confirmed(pairs, texts))))
+    pairs = stored(in_order(ties(buckets, parts)).join(pairs, ["u", "v"], "left_anti"))
+    parts = stored(joined_parts(parts, stored(confirmed(pairs, texts))))
 
     last = missed(buckets, parts, texts)
-    ends = joined_parts(parts, last.unionByName(copies).checkpoint()).withColumnRenamed("node", "_node")
+    ends = joined_parts(parts, stored(last.unionByName(copies))).withColumnRenamed("node", "_node")
     return (
         prints.select("doc_id", "n_shingles")
         .join(ends, F.col("doc_id") == F.col("_node"), "left")

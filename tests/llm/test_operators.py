@@ -121,7 +121,7 @@ def test_open_buckets(spark, frame):
             parent[b] = a
         return {i: top(i) for i in sets}
 
-    for known, block in ((-1, 3000), (140, near_dups.BLOCK), (120, 1)):
+    for known, block in ((-1, 3000), (140, near_dups.BLOCK)):
         parts = {i: 100 for i in sets if 100 <= i <= known}
         frame_of = spark.createDataFrame(list(parts.items()), "node long, component long")
         links = {tuple(r) for r in near_dups.missed(buckets, frame_of, frame(rows).select("doc_id", "text"), block).collect()}
