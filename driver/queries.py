@@ -8,6 +8,7 @@ compare exactly with another engine.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -50,6 +51,7 @@ ONLINE, STALE = 6 * 3600.0, 48 * 3600.0
 LONG_SILENCE = 24 * 3600.0
 POINTS = 8
 PARTITIONS = 4
+DELIVERED_AT = (datetime(2024, 1, 20, 12, 0, 30, tzinfo=UTC), datetime(2024, 2, 1, 8, 15, tzinfo=UTC))
 DELIVERIES = ("2024-01-15 00:00:00", "2024-01-20 00:00:00")
 
 _REGISTRY: dict[str, Query] = {}
@@ -764,7 +766,7 @@ def filled_store(spark: SparkSession, folder: str) -> Store:
     if key not in _STORES:
         store = Store(spark, scratch(spark))
         for number, raw in enumerate(delivered(spark, folder)):
-            ingest_batch(store, raw, number)
+            ingest_batch(store, raw, number, now=DELIVERED_AT[number])
             sweep(store, SETTINGS)
             refresh_rollup(store)
         _STORES[key] = store
@@ -843,6 +845,12 @@ def store_batch_stats(spark, folder):
     return filled_store(spark, folder).facts("batch_stats").agg(*[F.sum(n).alias(n) for n in names])
 
 
+@query
+def duplicate_rate(spark, folder):
+    """Repeated messages per second at the minutes of the two deliveries."""
+    return quality.duplicate_rate(filled_store(spark, folder).facts("batch_stats"))
+
+
 @query
 def store_offsets(spark, folder):
     rows = filled_store(spark, folder).state("offsets")

@@ -41,6 +41,15 @@ def event_rate(rows: DataFrame, time: str, minutes: int = 1, by: tuple[str, ...]
     )
 
 
+def duplicate_rate(stats: DataFrame, minutes: int = 1) -> DataFrame:
+    """Repeated messages per second in tumbling windows, from the counts of ingest batches."""
+    window = F.window(F.col("at"), f"{minutes} minutes")
+    summed = stats.groupBy(window["start"].alias("window_start")).agg(
+        F.sum("arrived").alias("arrived"), F.sum("duplicates").alias("duplicates")
+    )
+    return summed.withColumn("per_second", F.col("duplicates") / F.lit(minutes * 60.0))
+
+
 def with_lag(readings: DataFrame) -> DataFrame:
     """Add the ingest lag in seconds, never negative."""
     return readings.withColumn("lag_seconds", ingest_lag(F.col("sampled_at"), F.col("ingested_at")))
