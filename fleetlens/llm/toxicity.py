@@ -62,6 +62,8 @@ ENDS = frozenset(".!?;:\n")
 QUOTES = "\"“„«"
 BARE = ".,;:!?\"'“”„«»()[]{}*_#$%&|<>-"
 
+BLANKS = {c: " " for c in (9, 11, 12, 13)}
+
 KINDS = 8
 FEATURES = KINDS + 3
 # Kinds that are neither negated nor reported: insults, aimed ones, threats.
@@ -82,7 +84,8 @@ class Model(NamedTuple):
 
 
 def tokens(text: str) -> list[str]:
-    return text.lower().replace("\n", " \n ").split(" ")
+    """Words between ASCII white space; a line end is a token of its own."""
+    return text.lower().translate(BLANKS).replace("\n", " \n ").split(" ")
 
 
 def bare(token: str) -> str:
@@ -229,7 +232,7 @@ def learn_grammar(rows: DataFrame) -> Grammar:
     def found(texts: list[str]) -> Columns:
         out = []
         for text in texts:
-            seen = {w for w in map(bare, set(tokens(text))) if 2 < len(w) <= 30}
+            seen = {w for w in map(bare, set(tokens(text))) if len(w) > 2}
             starts = {f"{w[:n]}-" for w in seen for n in BEGINNINGS if len(w) > n}
             out.append(sorted(seen | starts))
         return [out]
