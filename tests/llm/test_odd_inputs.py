@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fleetlens.llm import (
     byte_bpe,
-    conversations,
     filter_audit,
     fingerprints,
     lines,
