@@ -22,6 +22,8 @@ from fleetlens.sources.wire import decode
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# More make the state that a reading's bucket rewrites smaller, fewer make fewer calls.
+BUCKETS = 4096
 EVALUATED = (
     "device string, metric string, reading_id string, sampled_at timestamp, value double, mean double, "
     "std double, covered boolean, n long, recent_mean double, max_gap_seconds double"
@@ -66,77 +68,105 @@ def first_readings(raw: DataFrame, within: str = "7 days") -> DataFrame:
 
 
 class _Evaluator(StatefulProcessor):
-    """Window statistics of one series, its newest readings being the state."""
+    """Window statistics of a bucket of series; the newest readings of each are the state."""
 
     def __init__(self, window: int, tail_rows: int, drift_window: int, gap_lookback: int):
         self.window, self.tail_rows = window, tail_rows
         self.drift_window, self.gap_lookback = drift_window, gap_lookback
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getListState("tail", "micros long, value double")
-        self.count = handle.getValueState("count", "n long")
+        self.series = handle.getListState(
+            "series", "device string, metric string, n long, micros array<long>, readings array<double>"
+        )
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True).sort_values(["micros", "reading_id"], kind="stable")
-        held = list(self.tail.get()) if self.tail.exists() else []
-        before = self.count.get()[0] if self.count.exists() else 0
-        n_old = len(held)
-        micros = np.concatenate([np.array([r[0] for r in held], np.int64), new["micros"].to_numpy(np.int64)])
-        values = np.concatenate([np.array([r[1] for r in held], float), new["value"].to_numpy(float)])
-        order = np.argsort(micros, kind="stable")
-        micros, values = micros[order], values[order]
+        names = new[list(SERIES)].astype(object)
+        names = names.where(names.notna(), None)
+        held = [tuple(r) for r in self.series.get()] if self.series.exists() else []
+        numbers = {r[:2]: i for i, r in enumerate(held)}
+        own = np.array([numbers.setdefault(k, len(numbers)) for k in zip(*[names[c] for c in SERIES])], np.int64)
+        fresh = len(numbers) - len(held)
+        n_old = np.array([len(r[3]) for r in held] + [0] * fresh, np.int64)
+        before = np.array([r[2] for r in held] + [0] * fresh, np.int64)
+        total = before + np.bincount(own, minlength=len(numbers))
+
+        # All rows by series and time; of equal times those held come first.
+        of = np.concatenate([np.repeat(np.arange(len(numbers)), n_old), own])
+        micros = np.concatenate([*[np.array(r[3], np.int64) for r in held], new["micros"].to_numpy(np.int64)])
+        values = np.concatenate([*[np.array(r[4], float) for r in held], new["value"].to_numpy(float)])
+        order = np.lexsort((micros, of))
+        micros, values, of = micros[order], values[order], of[order]
         places = np.empty(len(order), np.int64)
         places[order] = np.arange(len(order))
-        at = places[n_old:]
-        padded = np.concatenate([np.full(self.window, np.nan), values])
-        windows = np.lib.stride_tricks.sliding_window_view(padded, self.window + 1)[at]
-        known = ~np.isnan(windows)
-        filled = np.where(known, windows, 0.0)
-        sizes = known.sum(axis=1)
-        means = filled.sum(axis=1) / sizes
+        at = places[n_old.sum() :]
+        bounds = np.searchsorted(of, np.arange(len(numbers) + 1))
+        depth = np.arange(len(of)) - bounds[of]
+
+        sums, sizes, windows, known = self._back(values, at, depth, self.window + 1)
+        means = sums / sizes
         spread = np.where(known, windows - means[:, None], 0.0)
         stds = np.sqrt((spread * spread).sum(axis=1) / sizes)
-        total = before + len(new)
-        newest, last = micros[-self.tail_rows :], values[-self.tail_rows :]
-        gaps = np.diff(newest[-(self.gap_lookback + 1) :]) / 1e6
-        self.tail.put([(int(m), float(v)) for m, v in zip(newest, last)])
-        self.count.update((int(total),))
+        last = bounds[1:] - 1
+        recent, recent_sizes, _, _ = self._back(values, last, depth, self.drift_window)
+        # A gap belongs to the later of its two readings, so a series' first has none.
+        steps = np.diff(micros, prepend=0) / 1e6
+        _, _, gaps, known = self._back(steps, last, depth - 1, self.gap_lookback)
+        gaps = np.where(known, gaps, -1.0).max(axis=1)
+
+        found = dict(enumerate(held))
+        for pair, i in numbers.items():
+            if total[i] > before[i]:
+                newest = slice(max(bounds[i], bounds[i + 1] - self.tail_rows), bounds[i + 1])
+                found[i] = (*pair, int(total[i]), micros[newest].tolist(), values[newest].tolist())
+        self.series.put([found[i] for i in range(len(numbers))])
         yield pd.DataFrame(
             {
-                "device": key[0],
-                "metric": key[1],
+                **{c: names[c].to_numpy() for c in SERIES},
                 "reading_id": new["reading_id"].to_numpy(),
                 "sampled_at": pd.to_datetime(new["micros"].to_numpy(), unit="us"),
                 "value": new["value"].to_numpy(float),
                 "mean": means,
                 "std": stds,
                 # The window is whole, or the series has no earlier readings than it holds.
-                "covered": (at >= self.window) | (before <= n_old),
-                "n": total,
-                "recent_mean": last[-self.drift_window :].mean(),
-                "max_gap_seconds": gaps.max() if len(gaps) else None,
+                "covered": (depth[at] >= self.window) | (before[own] <= n_old[own]),
+                "n": total[own],
+                "recent_mean": (recent / recent_sizes)[own],
+                "max_gap_seconds": np.where(gaps >= 0, gaps, np.nan)[own],
             }
         )
 
+    @staticmethod
+    def _back(values: np.ndarray, at: np.ndarray, depth: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+        """Sums and sizes of up to `most` values ending at `at` that `depth` says are there,
+        the values themselves and which of them are."""
+        padded = np.concatenate([np.zeros(most - 1), values])
+        windows = np.lib.stride_tricks.sliding_window_view(padded, most)[at]
+        known = depth[at][:, None] >= np.arange(most - 1, -1, -1)
+        return np.where(known, windows, 0.0).sum(axis=1), known.sum(axis=1), windows, known
+
 
-def evaluated(readings: DataFrame, settings: Settings) -> DataFrame:
+def evaluated(readings: DataFrame, settings: Settings, buckets: int = BUCKETS) -> DataFrame:
     """Every reading of a stream with its window statistics and the condition of its series.
 
     readings are (reading_id, device, metric, sampled_at, value); those the rules do not
     judge are left out. What a series needs of its past, its newest readings, is list
     state, so history is never read again. Rows of a micro-batch are put in order; one
     that is older than the state reaches back is judged by what is held of its window
-    and has covered false, for the sweep over the store to judge. Memory of a task is
-    bounded by what one micro-batch holds of a series.
+    and has covered false, for the sweep over the store to judge. Series share the state
+    of their hash bucket, so what a call costs is paid per bucket and not per series; a
+    checkpoint belongs to one number of buckets. Memory of a task is bounded by what one
+    micro-batch and the state hold of a bucket.
     """
     usable = detect.judgeable(readings, settings).select(
         *SERIES, F.col("reading_id").cast("string").alias("reading_id"), F.unix_micros("sampled_at").alias("micros"), "value"
     )
+    dealt = usable.withColumn("bucket", F.pmod(F.xxhash64(*SERIES), F.lit(buckets)))
     made = _Evaluator(settings.spike_window, settings.tail_rows, settings.drift_window, settings.gap_lookback)
-    return usable.groupBy(*SERIES).transformWithStateInPandas(made, EVALUATED, "Append", "None")
+    return dealt.groupBy("bucket").transformWithStateInPandas(made, EVALUATED, "Append", "None")
 
 
 def point_findings(rows: DataFrame, settings: Settings) -> DataFrame:

@@ -86,6 +86,37 @@ def test_evaluation_equals_the_batch_after_restarts(spark, tmp_path):
     assert [r.covered for r in late] == [False]
 
 
+def test_series_share_buckets_of_state(spark, tmp_path):
+    """Calls and state keys are as many as buckets, not as series; results are those of the batch."""
+    folder, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    whole = []
+    for part in range(3):
+        sent = [
+            message(f"d{d}", 20.0 + (d * 7 + i * 5) % 11 + (80 if (d, i) == (3, 7) else 0), START + timedelta(seconds=200 * i + d))
+            for i in range(4 * part, 4 * part + 4)
+            for d in range(30)
+            if (d + part) % 3  # some series of a bucket rest while others go on
+        ]
+        drop_file(folder, f"{part}.json", sent, 1000 * part)
+        raw = file_stream(spark, str(folder), files_per_batch=1)
+        rows = ingest.with_validation(decode(raw)).withColumn("reading_id", F.col("source_offset"))
+        query = stateful.drained(stateful.evaluated(rows, SMALL, buckets=2), out, mark)
+        query.awaitTermination()
+        whole += [json.dumps({"key": "k", "value": json.dumps(m), "topic": "t", "partition": 0, "offset": 1000 * part + i}) for i, m in enumerate(sent)]
+    keys = spark.read.format("statestore").option("path", mark).option("stateVarName", "series").load().select("key").distinct()
+    assert keys.count() <= 2
+    rows = spark.read.schema(stateful.EVALUATED).parquet(out)
+    text = spark.createDataFrame([(w,) for w in whole], "line string")
+    raw = text.select(F.from_json("line", "key string, value string, topic string, partition int, offset long").alias("m")).select("m.*")
+    readings = ingest.with_validation(decode(raw)).withColumn("reading_id", F.col("source_offset"))
+    close = lambda r: (r.device, r.sampled_at, round(r["mean"], 9), round(r["std"], 9), r.finding)
+    want = sorted(map(close, detect.evaluate_points(readings, SMALL).collect()), key=str)
+    assert sorted(map(close, stateful.point_findings(rows, SMALL).collect()), key=str) == want and len(want) == 240
+    windows = detect.window_anomalies(detect.series_condition(readings, SMALL), SMALL, START).select("device", "type", "detail")
+    found = stateful.window_findings(rows, SMALL, START).select("device", "type", "detail")
+    assert sorted(found.collect()) == sorted(windows.collect()) and windows.count() > 0
+
+
 def test_rates_are_complete_and_replays_replace(spark, tmp_path):
     schema = "at timestamp"
     source, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
