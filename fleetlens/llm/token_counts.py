@@ -32,8 +32,10 @@ from fleetlens.llm.text import whole
 LIMIT = 4096
 CHUNK = 16_384
 CACHED_WORDS = 200_000
-CACHED_STATES = 10_000
-CACHED_PAIRS = 100_000
+CACHED_STATES = 30_000
+CACHED_PAIRS = 300_000
+# After so many steps that found no room to be compiled, compiling begins anew.
+PASSED_STEPS = 20_000_000
 # Longer words are counted anew each time.
 LONGEST_CACHED = 48
 MARK = "▁"
@@ -79,7 +81,8 @@ class State:
 
 
 class Transducer:
-    """Compiled lazily; forgetting what is compiled changes no result."""
+    """Compiled lazily, as long as there is room: states that many texts pass come early.
+    What is not compiled is worked out on the way; forgetting changes no result."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
@@ -90,6 +93,14 @@ class Transducer:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.start = State((("", None, 0),))
         self.states: dict[tuple[Open, ...], State] = {}
+        self.passed = 0
+        # Of each letters that a piece may begin with: the next letters, with the piece
+        # they complete and the letters after them.
+        self.nexts: dict[str, dict[str, tuple]] = {"": {}}
+        for read in sorted(self.opens | set(scores), key=len, reverse=True):
+            after = self.nexts.setdefault(read, {}) if read in self.opens else None
+            own = (read if read in scores else None, after)
+            self.nexts.setdefault(read[:-1], {})[read[-1]] = own
 
     def split(self, token: str) -> tuple[str, str] | None:
         """The two parts a token is merged from last; none if merging never makes it."""
@@ -142,25 +153,70 @@ class Transducer:
         alive.append(("", found, count))
         emitted = min(ahead for _, _, ahead in alive)
         opens = tuple((read, last, ahead - emitted) for read, last, ahead in alive)
-        if len(self.states) >= CACHED_STATES:
-            self.states.clear()
-            self.start = State(self.start.opens)
+        if not self.room():
+            return State(opens), emitted
         move = self.states.setdefault(opens, State(opens)), emitted
         state.moves[char] = move
         return move
 
+    def room(self) -> bool:
+        """Whether a state more may be compiled."""
+        if len(self.states) < CACHED_STATES:
+            return True
+        if self.passed >= PASSED_STEPS:
+            self.states.clear()
+            self.start, self.passed = State(self.start.opens), 0
+            return True
+        return False
+
+    def ahead(self, state: State, chars: str) -> int:
+        """Tokens ahead of those emitted after more characters, without compiling states."""
+        self.passed += len(chars)
+        nexts, pairs, root = self.nexts, self.pairs, self.nexts[""]
+        opens = [(nexts[read], last, ahead) for read, last, ahead in state.opens]
+        for char in chars:
+            alive, found = [], None
+            # The place that opened last has read nothing yet; a letter is a token there.
+            _, last, count = opens.pop()
+            for after, before, ahead in opens:
+                step = after.get(char)
+                if step is not None:
+                    token, after = step
+                    if token is not None and found is None:
+                        fits = pairs.get((before, token))
+                        if self.follows(before, token) if fits is None else fits:
+                            found, total = token, ahead + 1
+                    if after is not None:
+                        alive.append((after, before, ahead))
+            step = root.get(char)
+            if found is None and self.follows(last, char):
+                known = step is not None and step[0] is not None
+                found, total = char, count + (1 if known else len(char.encode()))
+            elif found is None:
+                total = 0
+            if step is not None and step[1] is not None:
+                alive.append((step[1], last, count))
+            alive.append((root, found, total))
+            opens = alive
+        return opens[-1][2]
+
     def count(self, word: str) -> int:
         """Tokens of a word, from the first state."""
         state, total = self.start, 0
-        for char in word:
+        for i, char in enumerate(word):
             move = state.moves.get(char)
-            state, emitted = move if move is not None else self.step(state, char)
-            total += emitted
+            if move is None:
+                if not self.room():
+                    return total + self.ahead(state, word[i:])
+                move = self.step(state, char)
+            state = move[0]
+            total += move[1]
         return total + state.opens[-1][2]
 
     def first_token(self, word: str) -> str:
         """The first token of a word, found from its last one backwards."""
         state, lasts = self.start, []
+        self.passed += len(word)
         for char in word:
             move = state.moves.get(char)
             state, _ = move if move is not None else self.step(state, char)

@@ -111,3 +111,26 @@ def test_count_rows(odd, pieces):
         text = r["text"] or ""
         n = len(pieces.encode(text))
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 100)
+
+
+def test_states_are_compiled_while_there_is_room(monkeypatch):
+    """Counts hold whatever is compiled, and no state is compiled twice to be forgotten again."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    samples = texts("thea  nrsio.,\né中😀▁#1", 1500) + ["", "the" * 700, "中" * 90, "  a   b  "]
+    want = [len(model.encode(t)) for t in samples]
+    scores = token_counts.read_pieces(PIECES)
+    for room, passed in ((40, 10**9), (1, 10**9), (40, 500)):
+        monkeypatch.setattr(token_counts, "CACHED_STATES", room)
+        monkeypatch.setattr(token_counts, "PASSED_STEPS", passed)
+        known = token_counts.Counter(scores)
+        assert [known.count(t) for t in samples] == want
+        assert len(known.transducer.states) <= room
+    known = token_counts.Counter(scores)
+    monkeypatch.setattr(token_counts, "CACHED_STATES", 40)
+    monkeypatch.setattr(token_counts, "PASSED_STEPS", 10**9)
+    made, step = [], known.transducer.step
+    monkeypatch.setattr(known.transducer, "step", lambda *a: made.append(a) or step(*a))
+    for word in texts("thenrsio", 3000):
+        known.transducer.count(word)
+    assert len(made) < 40 * 10
