@@ -232,6 +232,17 @@ def test_scoring_gradients():
         assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(slopes[name][at], rel=0.05, abs=1e-4)
 
 
+def test_scoring_learns_from_every_word(frame):
+    """Each word is learnt in one of the rounds: the first of a text in the first, and so on."""
+    common, start = ("a", "b"), scoring.untrained()
+    alone, pair = frame([(0, "a")]), frame([(0, "a b"), (1, None), (2, "")])
+    changed = lambda docs, number: not np.array_equal(scoring.one_round(scoring.numbered(docs, common), start, number), start)
+    assert [changed(alone, r) for r in range(scoring.ROUNDS)] == [True, False]
+    assert [changed(pair, r) for r in range(scoring.ROUNDS)] == [True, True]
+    flat, inside, owners = scoring.laid_out(["a b a", "", "b", "a a"], scoring.Vocabulary(["a", "b"]))
+    assert scoring.places(owners).tolist() == [0, 1, 2, 0, 0, 1] and len(inside) == 6
+
+
 def test_scoring_prefers_the_order_of_the_corpus(spark, frame):
     """Held out from training, texts in the corpus' order beat the same words shuffled."""
     draw, cycle = random.Random(2), [f"c{i}" for i in range(12)]
