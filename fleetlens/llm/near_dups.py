@@ -75,7 +75,8 @@ def constants() -> dict[str, np.ndarray]:
     letters[65:91] = letters[97:123]
     return {
         "letters": letters,
-        "offsets": odd(LONG_WORD),
+        # Always as many draws, so what is drawn after them does not depend on LONG_WORD.
+        "offsets": odd(4096)[:LONG_WORD],
         "places": odd(SHINGLE),
         "lengths": odd(SHINGLE + 1),
         "factors": odd(PERMUTATIONS),
