@@ -749,9 +749,9 @@ def scratch(spark: SparkSession) -> str:
 
 def delivered(spark: SparkSession, folder: str) -> list[DataFrame]:
     """All messages in two deliveries; the second repeats five days of the first."""
-    raw = wire.encode(messages(spark, folder).withColumn("_at", F.to_timestamp("sampled_at")))
-    first, second = (F.lit(text).cast("timestamp") for text in DELIVERIES)
-    return [raw.filter(F.col("_at") <= second), raw.filter(F.col("_at") > first)]
+    rows, at = table(spark, folder, "events"), F.col("ts")  # the stored column, so scans skip
+    first, second = (F.lit(text).cast("timestamp_ntz") for text in DELIVERIES)
+    return [wire.encode(as_messages(part)) for part in (rows.filter(at <= second), rows.filter(at > first))]
 
 
 _STORES: dict[tuple[str, str], Store] = {}

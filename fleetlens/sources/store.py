@@ -267,6 +267,26 @@ class Store:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(f"{self.root}/{name}/seq={seq}")
 
+    def stage(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows that several tables of a batch start from, written once and read back.
+
+        Before a write Spark packs small shuffle partitions together, before caching it
+        does not: the tables written from these rows get few files, however many
+        partitions a shuffle has.
+        """
+        folder = self._staging(name)
+        rows.write.mode("overwrite").parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
+
+    def unstage(self, name: str) -> None:
+        """Drop staged rows; those of a batch that died are overwritten by the next one."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self._staging(name))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _staging(self, name: str) -> str:
+        return f"{self.root}/staging/{name}"
+
     def write_state(self, name: str, seq: int, touched: DataFrame) -> None:
         """Store the new state of the touched keys, or of all keys when it is time."""
         table = STATES[name]

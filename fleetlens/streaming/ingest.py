@@ -39,13 +39,16 @@ def ingest_batch(
     head = store.head(INGEST)
     seq = head.seq + 1
     # Parsed once, and spilled to disk by the executors; after the loss of one, Spark
-    # reads the same offsets from the source again.
-    messages = wire.decode(raw).persist(StorageLevel.MEMORY_AND_DISK)
-    marked = _first_arrivals(store, messages).persist(StorageLevel.MEMORY_AND_DISK)
+    # reads the same offsets from the source again. Only of unusable ones the text is kept.
+    messages = wire.decode(raw)
+    unusable = F.col("quarantine_reason").isNotNull()
+    messages = messages.withColumn("raw_value", F.when(unusable, F.col("raw_value")))
+    messages = messages.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        marked = store.stage("arrivals", _first_arrivals(store, messages))
         days = _store(store, messages, marked, head.seq, seq, consumer, now)
     finally:
-        marked.unpersist()
+        store.unstage("arrivals")
         messages.unpersist()
     store.commit(INGEST, seq, origin, batch_id, now, days=days)
     return True

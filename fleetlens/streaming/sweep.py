@@ -16,7 +16,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetlens.config import Settings
 from fleetlens.operators import detect
-from fleetlens.operators.series import MAX_ROWS, SERIES, newest, rolling_stats, rows_to_check
+from fleetlens.operators.series import (
+    MAX_ROWS,
+    SERIES,
+    hot_series,
+    newest,
+    rolling_stats,
+    rows_to_check,
+)
 from fleetlens.sources.store import INGEST, ROLLUP, SWEEP, Store, utc_now
 from fleetlens.streaming import together
 from fleetlens.streaming.rollup import rollup_by_day
@@ -54,10 +61,12 @@ def sweep(
     if max_rows is not None and not from_history:
         # with the state, a series has at most its new readings and its tail
         max_rows = rows_to_check(fresh_rows, max_rows - settings.tail_rows)
+    if hot_series(rows, max_rows) is None:  # asked once for both windows over the rows
+        max_rows = None
 
     stats = rolling_stats(rows, settings.spike_window, max_rows).filter("fresh").drop("fresh")
-    judged = detect.judge(detect.with_limits(stats, settings)).persist(StorageLevel.DISK_ONLY)
     try:
+        judged = store.stage("judged", detect.judge(detect.with_limits(stats, settings)))
         together(
             lambda: store.write_facts("sweep_stage", seq, detect.evaluation_stages(judged, now)),
             lambda: store.write_state(
@@ -68,7 +77,7 @@ def sweep(
         windows = _window_rules(store, settings, seq, now, all_series)
         store.write_facts("anomaly", seq, _with_id(points.unionByName(windows), seq))
     finally:
-        judged.unpersist()
+        store.unstage("judged")
     store.commit(SWEEP, seq, _CONSUMER, seq, now, read_upto=last)
     return True
 

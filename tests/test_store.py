@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -330,3 +331,31 @@ def test_lag_of_very_late_messages_is_not_spread_over_readings(spark):
     naive = START.replace(tzinfo=None)
     want = {naive + timedelta(minutes=m): sum(late >= m for late in (3, 3, 90, 60 * 24 * 40)) for m in range(1, 60 * 24 * 40 + 1)}
     assert lags == want
+
+
+def test_few_files_however_many_shuffle_partitions(spark, store):
+    sent = [m for n in range(60) for m in series_of(f"d{n}", [22.0] * 3 + [90.0])]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        ingest_batch(store, raw(spark, sent), 0)
+        sweep(store, Settings(limits=TEMP.limits))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for name, kinds in (("sweep_stage", 2), ("anomaly", 4)):
+        files = list(Path(store.root, name).rglob("*.parquet"))
+        assert len(files) <= 8 * kinds, name
+    assert store.facts("sweep_stage").count() == 2 * 240
+    assert store.facts("anomaly").filter("type = 'out_of_range'").count() == 60
+    assert not any(Path(store.root, "staging").iterdir())
+
+
+def test_text_of_unusable_messages_only_is_cached(spark, store, monkeypatch):
+    import fleetlens.streaming.ingest as ingests
+
+    cached = []
+    first = ingests._first_arrivals
+    monkeypatch.setattr(ingests, "_first_arrivals", lambda s, m: cached.extend(m.collect()) or first(s, m))
+    ingest_batch(store, raw(spark, [*series_of("d", [22.0] * 3), "{no json"]), 0)
+    assert sorted(str(r.raw_value) for r in cached) == ["None"] * 3 + ["{no json"]
+    assert [r.raw_value for r in store.facts("quarantine").collect()] == ["{no json"]
