@@ -96,7 +96,9 @@ def _context(
     )
     window = settings.spike_window
     covered_from = F.get(F.col("tail"), F.lit(window - 1))["sampled_at"]
-    partial = state.filter(F.col("n") > F.size("tail")).select(*SERIES, covered_from.alias("_from"))
+    # a full tail counts as cut, also where its series has not one reading more
+    cut = (F.col("n") > F.size("tail")) | (F.size("tail") >= settings.tail_rows)
+    partial = state.filter(cut).select(*SERIES, covered_from.alias("_from"))
     very_late = (
         fresh.join(partial, list(SERIES))
         .filter(F.col("sampled_at") <= F.col("_from"))
